@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clearlines import fixed
-from clearlines.functions.text import strip
+from clearlines.functions.text import WS, strip
 
 
 def language_tag(name: Column, languages: Mapping[str, str] = fixed.LANGUAGES) -> Column:
@@ -29,9 +29,8 @@ def ensure_lang_tags(text: Column, tag: Column, languages: Mapping[str, str] = f
 
 def clean_translation(text: Column) -> Column:
     """Spacing around punctuation, brackets and double quotes in translated text."""
-    ws = fixed.WS
-    text = F.regexp_replace(text, f"{ws}+", " ")
-    text = F.regexp_replace(text, f"{ws}+([।,;:!?])", "$1")
-    text = F.regexp_replace(text, f'([("]){ws}+', "$1")
-    text = F.regexp_replace(text, f'{ws}+([)"])', "$1")
+    text = F.regexp_replace(text, f"{WS}+", " ")
+    text = F.regexp_replace(text, f"{WS}+([।,;:!?])", "$1")
+    text = F.regexp_replace(text, f'([("]){WS}+', "$1")
+    text = F.regexp_replace(text, f'{WS}+([)"])', "$1")
     return strip(text)

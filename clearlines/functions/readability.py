@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clearlines import fixed
-from clearlines.functions.text import sentence_count, word_count
+from clearlines.functions.text import NOT_WS, not_ws_or, sentence_count, word_count
 
 # A word without any vowel still counts as one syllable.
-_MUTE_WORD = f"(?<!{fixed.NOT_WS})[^{fixed.WS[1:-1]}aeiouy]+(?!{fixed.NOT_WS})"
+_MUTE_WORD = f"(?<!{NOT_WS}){not_ws_or(fixed.VOWELS[1:-2])}+(?!{NOT_WS})"
 
 
 def syllable_count(text: Column) -> Column:

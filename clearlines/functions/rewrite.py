@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clearlines import fixed
-from clearlines.functions.text import clean_sentence, strip
+from clearlines.functions.text import WS, clean_sentence, not_ws_or, strip
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -23,24 +23,44 @@ def _whole_word(key: str) -> str:
     def inside(ch: str) -> bool:
         return ch.isalnum() or ch == "_"
 
-    before = f"(?<!{WORD})" if inside(key[0]) else f"(?<={WORD})"
+    sign = "!" if inside(key[0]) else "="
+    before = f"(?s:(?<{sign}{WORD}.{{{len(key)}}}))"  # looked at only where the key was found
     after = f"(?!{WORD})" if inside(key[-1]) else f"(?={WORD})"
-    return f"(?iu){before}{re.escape(key)}{after}"
+    return f"(?iu){re.escape(key)}{before}{after}"
+
+
+def _may_hold(text: Column, lexicon: Mapping[str, str]) -> Column | None:
+    """False only for texts without any key; None if that cannot be told cheaply.
+
+    Upper and then lower case maps every letter that matches an ASCII letter regardless of
+    case to that letter, but for the dotted capital I.
+    """
+    if not lexicon or not all(key.isascii() for key in lexicon):
+        return None
+    folded = F.lower(F.upper(text))
+    test = F.contains(text, F.lit("\u0130"))
+    for key in lexicon:
+        test = test | F.contains(folded, F.lit(key.lower()))
+    return test
 
 
 def lexicon_replace(text: Column, lexicon: Mapping[str, str] = fixed.LEXICON) -> Column:
-    """Replace whole words, longest key first, each key over the result of the former."""
+    """Replace whole words, longest key first, each key over the result of the former.
+
+    Most texts hold no key at all; a plain search for all keys spares them the patterns.
+    """
+    original, found = text, _may_hold(text, lexicon)
     for old in sorted(lexicon, key=len, reverse=True):
         new = lexicon[old].replace("\\", "\\\\").replace("$", "\\$")
         text = F.regexp_replace(text, _whole_word(old), new)
-    return text
+    return text if found is None else F.when(found, text).otherwise(original)
 
 
 def first_clause(text: Column, min_words: int = fixed.MIN_CLAUSE_WORDS) -> Column:
     """Text before the first ``,;:`` when that holds enough words, else the text."""
-    space, mark = fixed.WS, fixed.CLAUSE_MARKS
-    part = f"[^{space[1:-1]}{mark[1:-1]}]"
-    enough = f"{space}*(?:{part}+{space}+){{{min_words - 1}}}{part}[^{mark[1:-1]}]*"
+    mark = fixed.CLAUSE_MARKS
+    part = not_ws_or(mark[1:-1])
+    enough = f"{WS}*(?:{part}+{WS}+){{{min_words - 1}}}{part}[^{mark[1:-1]}]*"
     return strip(F.regexp_replace(text, rf"\A({enough}){mark}(?s:.*)\z", "$1"))
 
 

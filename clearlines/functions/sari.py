@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from clearlines import fixed
+from clearlines.functions.text import WS, strip
 
 SIZES = (1, 2, 3, 4)
+# Up to this many repeated words are counted one by one.
+FEW = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,28 +33,34 @@ def punctuation_tokens(text: Column) -> Column:
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.concat(F.lit(" "), text, F.lit(" "))
-    text = F.regexp_replace(text, r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{20}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}/])", " $1 ")
+    # the scheme also pads spaces, which changes nothing once words are split at whitespace
+    text = F.regexp_replace(text, r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{21}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}/])", " $1 ")
     text = F.regexp_replace(text, r"([^0-9])([.,])", "$1 $2 ")
     text = F.regexp_replace(text, r"([.,])([^0-9])", " $1 $2")
     text = F.regexp_replace(text, r"([0-9])(-)", "$1 $2 ")
-    return F.split(F.btrim(F.regexp_replace(text, f"{fixed.WS}+", " ")), " ", -1)
+    return space_tokens(text)
 
 
 def space_tokens(text: Column) -> Column:
     """Tokens between whitespace; blank text is one empty token."""
-    return F.split(F.btrim(F.regexp_replace(text, f"{fixed.WS}+", " ")), " ", -1)
+    return F.split(strip(text), f"{WS}+", -1)
 
 
 TOKENIZERS = {"13a": punctuation_tokens, "space": space_tokens}
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """The n-grams of an array of tokens as text, in order, repeats included."""
-    if n == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+def longer_ngrams(grams: Column, tokens: Column, n: int) -> Column:
+    """The n-grams of ``tokens`` from its (n-1)-grams: one token more at the end of each."""
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(grams, F.lit(1), size), F.slice(tokens, F.lit(n), size),
+                      lambda gram, token: F.concat(gram, F.lit(" "), token))
+
+
+_SUMS = ("keep_share", "kept", "keep_good", "keep_all", "delete_share", "deleted", "add_good", "added", "add_all")
+
+
+def _plus(total: Column, term: Column) -> Column:
+    return F.struct(*[(total[n] + term[n]).alias(n) for n in _SUMS])
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -73,26 +81,51 @@ def _scores(sums: Column) -> Column:
     )
 
 
-def _sums_of_sets(s: Column, c: Column, r: Column) -> Column:
-    """The sums where no side repeats an n-gram: sizes of set operations."""
-    kept, fresh = F.array_intersect(s, c), F.array_except(c, s)
-    gone = F.array_except(s, c)
-    keep_good = F.size(F.array_intersect(kept, r))
-    add_good = F.size(F.array_intersect(fresh, r))
-    keep_all = F.size(F.array_intersect(s, r))
+def _set_sizes(s: Column, c: Column, r: Column, sc: Column) -> Column:
+    """Sizes of three arrays without repeats and of their intersections."""
     return F.struct(
-        keep_good.cast("double").alias("keep_share"), F.size(kept).alias("kept"),
-        keep_good.alias("keep_good"), keep_all.alias("keep_all"),
-        F.size(F.array_except(gone, r)).cast("double").alias("delete_share"), F.size(gone).alias("deleted"),
-        add_good.alias("add_good"), F.size(fresh).alias("added"), (F.size(r) - keep_all).alias("add_all"),
+        F.size(s).alias("s"), F.size(c).alias("c"), F.size(r).alias("r"), F.size(sc).alias("sc"),
+        F.size(F.array_intersect(sc, r)).alias("scr"), F.size(F.array_intersect(s, r)).alias("sr"),
+        F.size(F.array_intersect(c, r)).alias("cr"))
+
+
+def _sums_of_sets(sets: Column) -> Column:
+    """The sums where no side repeats an n-gram, from the sizes of sets and intersections."""
+    gone = sets["s"] - sets["sc"]
+    return F.struct(
+        sets["scr"].cast("double").alias("keep_share"), sets["sc"].alias("kept"),
+        sets["scr"].alias("keep_good"), sets["sr"].alias("keep_all"),
+        (gone - (sets["sr"] - sets["scr"])).cast("double").alias("delete_share"), gone.alias("deleted"),
+        (sets["cr"] - sets["scr"]).alias("add_good"), (sets["c"] - sets["sc"]).alias("added"),
+        (sets["r"] - sets["sr"]).alias("add_all"),
     )
 
 
+def _repeated(side: Column) -> Column:
+    """The values an array holds more than once, found next to each other once sorted."""
+    return let(F.array_sort(side), lambda a: F.filter(a, lambda g, at: (at > 0) & (F.get(a, at - 1) == g)))
+
+
+def _count_each(grams: Column, s: Column, c: Column, r: Column) -> Column:
+    """Counts (s, c, r) of the given n-grams; takes a pass over the sides for each of them."""
+    def count(side: Column, gram: Column) -> Column:
+        return F.size(side) - F.size(F.array_remove(side, gram))
+
+    return F.transform(grams, lambda g: F.struct(
+        count(s, g).alias("s"), count(c, g).alias("c"), count(r, g).alias("r")))
+
+
 def _count_runs(s: Column, c: Column, r: Column) -> Column:
-    """Counts (s, c, r) of every distinct n-gram: sort all n-grams, measure the runs."""
+    """Counts (s, c, r) of every distinct n-gram: sort all n-grams, measure the runs.
+
+    Takes sorting time whatever the number of repeats.
+    """
     def tagged(side: Column, tag: int) -> Column:
         return F.transform(side, lambda g: F.struct(g.alias("gram"), F.lit(tag).alias("side")))
 
+    def of_side(run: Column, tag: int) -> Column:
+        return F.size(F.filter(run, lambda x: x["side"] == tag))
+
     def runs(all_: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(all_) - 1),
@@ -101,7 +134,7 @@ def _count_runs(s: Column, c: Column, r: Column) -> Column:
         def counts(first: Column, at: Column, firsts: Column) -> Column:
             end = F.coalesce(F.get(firsts, at + 1), F.size(all_))
             return let(F.slice(all_, first + 1, end - first), lambda run: F.struct(
-                *[F.size(F.filter(run, lambda x, t=t: x["side"] == t)).alias(n) for t, n in enumerate("scr")]))
+                *[of_side(run, tag).alias(name) for tag, name in enumerate("scr")]))
 
         return let(starts, lambda firsts: F.transform(firsts, lambda first, at: counts(first, at, firsts)))
 
@@ -109,8 +142,8 @@ def _count_runs(s: Column, c: Column, r: Column) -> Column:
     return let(everything, runs)
 
 
-def _sums_of_counts(s: Column, c: Column, r: Column, references: Column) -> Column:
-    """The sums in the general case, from the counts of every distinct n-gram."""
+def _sums_of_counts(counts: Column, references: Column) -> Column:
+    """The sums from the counts of distinct n-grams."""
     def terms(count: Column) -> Column:
         src, out, ref = count["s"] * references, count["c"] * references, count["r"]
         kept, gone = F.least(src, out), F.greatest(src - out, F.lit(0))
@@ -124,13 +157,8 @@ def _sums_of_counts(s: Column, c: Column, r: Column, references: Column) -> Colu
             ((ref > 0) & (src == 0)).cast("int").alias("add_all"),
         )
 
-    names = ("keep_share", "kept", "keep_good", "keep_all", "delete_share", "deleted", "add_good", "added", "add_all")
-    start = F.struct(*[F.lit(0.0 if n.endswith("share") else 0).alias(n) for n in names])
-
-    def plus(total: Column, term: Column) -> Column:
-        return F.struct(*[(total[n] + term[n]).alias(n) for n in names])
-
-    return F.aggregate(F.transform(_count_runs(s, c, r), terms), start, plus)
+    start = F.struct(*[F.lit(0.0 if n.endswith("share") else 0).alias(n) for n in _SUMS])
+    return F.aggregate(F.transform(counts, terms), start, _plus)
 
 
 def no_repeats(*sides: Column) -> Column:
@@ -153,20 +181,43 @@ def with_sari(df: DataFrame, source: str, prediction: str, references: str, into
 
     many = isinstance(df.schema[references].dataType, ArrayType)
     kept = df.columns
-    df = df.withColumn("_s", prepared(F.col(source))).withColumn("_c", prepared(F.col(prediction)))
-    if many:
-        df = df.withColumn("_r", F.transform(F.col(references), prepared)).withColumn("_k", F.size(references))
-    else:
-        df = df.withColumn("_r", prepared(F.col(references))).withColumn("_k", F.lit(1))
-    grams = {}
-    for n in SIZES:
-        of_references = (F.flatten(F.transform(F.col("_r"), lambda one, n=n: ngrams(one, n))) if many
-                         else ngrams(F.col("_r"), n))
-        grams |= {f"_s{n}": ngrams(F.col("_s"), n), f"_c{n}": ngrams(F.col("_c"), n), f"_r{n}": of_references}
-    df = df.withColumns(grams)
-    sides = {n: (F.col(f"_s{n}"), F.col(f"_c{n}"), F.col(f"_r{n}")) for n in SIZES}
-    df = df.withColumns({f"_sums{n}": F.when((F.col("_k") == 1) & no_repeats(*sides[n]), _sums_of_sets(*sides[n]))
-                         .otherwise(_sums_of_counts(*sides[n], F.col("_k"))) for n in SIZES})
+    df = df.withColumns({
+        "_s1": prepared(F.col(source)), "_c1": prepared(F.col(prediction)),
+        "_r1": F.transform(F.col(references), prepared) if many else prepared(F.col(references)),
+        "_k": F.size(references) if many else F.lit(1),
+    })
+    for n in SIZES[1:]:
+        def longer(side: str, n: int = n) -> Column:
+            before, tokens = F.col(f"_{side}{n - 1}"), F.col(f"_{side}1")
+            if side == "r" and many:
+                return F.zip_with(before, tokens, lambda g, t: longer_ngrams(g, t, n))
+            return longer_ngrams(before, tokens, n)
+
+        df = df.withColumns({f"_{side}{n}": longer(side) for side in "scr"})
+
+    def sides(n: int) -> tuple[Column, Column, Column]:
+        r = F.col(f"_r{n}")
+        return F.col(f"_s{n}"), F.col(f"_c{n}"), F.flatten(r) if many else r
+
+    # Without repeats on any side (where no word repeats, no n-gram does) sizes of sets are enough.
+    # Single words do repeat: a few such (_d) are counted one by one, the rest stay sets. Else
+    # all n-grams are counted in one sorting pass. Each costly value is a column, computed once.
+    one = F.col("_k") == 1
+    df = df.withColumn("_plain1", one & no_repeats(*sides(1)))
+    df = df.withColumns({f"_plain{n}": F.col("_plain1") | (one & no_repeats(*sides(n))) for n in SIZES[1:]})
+    df = df.withColumn("_d", F.when(one & ~F.col("_plain1"), F.array_distinct(F.concat(*[_repeated(x) for x in sides(1)]))))
+    df = df.withColumn("_few", F.coalesce(F.size("_d") <= FEW, F.lit(False)))
+    df = df.withColumns({f"_{x}0": F.when(F.col("_few"), F.array_except(side, F.col("_d"))).otherwise(side)
+                         for x, side in zip("scr", sides(1))})
+    sets = {n: [F.col(f"_{x}{0 if n == 1 else n}") for x in "sc"] + [F.col("_r0") if n == 1 else sides(n)[2]] for n in SIZES}
+    as_sets = {n: F.col(f"_plain{n}") | F.col("_few") if n == 1 else F.col(f"_plain{n}") for n in SIZES}
+    df = df.withColumns({f"_sc{n}": F.when(as_sets[n], F.array_intersect(*sets[n][:2])) for n in SIZES})
+    df = df.withColumns({f"_sets{n}": F.when(as_sets[n], _set_sizes(*sets[n], F.col(f"_sc{n}"))) for n in SIZES})
+    df = df.withColumns({f"_sums{n}": F.when(as_sets[n], _sums_of_sets(F.col(f"_sets{n}")))
+                         .otherwise(_sums_of_counts(_count_runs(*sides(n)), F.col("_k"))) for n in SIZES})
+    counted = _sums_of_counts(_count_each(F.col("_d"), *sides(1)), F.lit(1))
+    df = df.withColumn("_sums1", F.when(F.col("_few"), let(counted, lambda more: _plus(F.col("_sums1"), more)))
+                       .otherwise(F.col("_sums1")))
     df = df.withColumns({f"_score{n}": _scores(F.col(f"_sums{n}")) for n in SIZES})
 
     def mean(part: str) -> Column:

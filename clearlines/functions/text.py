@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 
 from clearlines import fixed
 
-BREAK = f"(?<={fixed.SENTENCE_END}){fixed.WS}+(?={fixed.SENTENCE_START})"
+# The whitespace class in Java's own terms, several times faster there than the spelled-out list.
+WS = r"(?U:[\s\x1c-\x1f])"
+NOT_WS = r"(?U:[^\s\x1c-\x1f])"
+BREAK = f"(?<={fixed.SENTENCE_END}){WS}+(?={fixed.SENTENCE_START})"
+
+
+def not_ws_or(chars: str) -> str:
+    """Class of what is neither whitespace nor one of ``chars``."""
+    return rf"(?U:[^\s\x1c-\x1f{chars}])"
 
 
 def strip(text: Column) -> Column:
@@ -23,17 +31,17 @@ def strip(text: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """One space between words, none at the ends."""
-    return F.btrim(F.regexp_replace(text, f"{fixed.WS}+", " "))
+    return F.btrim(F.regexp_replace(text, f"{WS}+", " "))
 
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words."""
-    return F.regexp_count(text, F.lit(f"{fixed.NOT_WS}+"))
+    return F.regexp_count(text, F.lit(f"{NOT_WS}+"))
 
 
 def words(text: Column) -> Column:
     """The whitespace-separated words as an array."""
-    return F.regexp_extract_all(text, F.lit(f"{fixed.NOT_WS}+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{NOT_WS}+"), F.lit(0))
 
 
 def split_sentences(text: Column) -> Column:
@@ -57,7 +65,7 @@ def first_sentence(text: Column) -> Column:
 
     A first sentence never spans a line feed, as ``.`` does not match one.
     """
-    pattern = rf"(?d)\A(.*?{fixed.SENTENCE_END})(?:{fixed.WS}(?s:.*)|\z)"
+    pattern = rf"(?d)\A(.*?{fixed.SENTENCE_END})(?:{WS}(?s:.*)|\z)"
     return F.regexp_replace(strip(text), pattern, "$1")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearlines import fixed
-from clearlines.functions.text import collapse_ws, strip
+from clearlines.functions.text import NOT_WS, WS, collapse_ws, strip
 from clearlines.operators.documents import explode_sentences
 
 # The prose of the test tables is invented, so these common words stand in for hard ones.
@@ -42,13 +42,13 @@ def clause(sentence: Column) -> Column:
 
 def short_words(sentence: Column) -> Column:
     """The words of at most eight characters."""
-    return collapse_ws(F.regexp_replace(sentence, f"{fixed.NOT_WS}{{9,}}", ""))
+    return collapse_ws(F.regexp_replace(sentence, f"{NOT_WS}{{9,}}", ""))
 
 
 def first_words(sentence: Column, n: int) -> Column:
     """The start of the sentence up to its n-th word, a prefix of it."""
-    more = f"(?:{fixed.WS}+{fixed.NOT_WS}+){{0,{n - 1}}}"
-    return F.regexp_extract(sentence, rf"\A{fixed.NOT_WS}+{more}", 0)
+    more = f"(?:{WS}+{NOT_WS}+){{0,{n - 1}}}"
+    return F.regexp_extract(sentence, rf"\A{NOT_WS}+{more}", 0)
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,14 +64,9 @@ def first_clause(text: Column, min_words: int = fixed.MIN_CLAUSE_WORDS) -> Colum
     return strip(F.regexp_replace(text, rf"\A({enough}){mark}(?s:.*)\z", "$1"))
 
 
-def rewrite_words(text: Column, lexicon: Mapping[str, str] = fixed.LEXICON) -> Column:
-    """Lexicon, then first clause: the simplifier before its final cleaning."""
-    return first_clause(lexicon_replace(text, lexicon))
-
-
 def heuristic_simplify(text: Column, lexicon: Mapping[str, str] = fixed.LEXICON) -> Column:
     """Deterministic simplifier: lexicon, first clause, cleaned sentence."""
-    return clean_sentence(rewrite_words(text, lexicon))
+    return clean_sentence(first_clause(lexicon_replace(text, lexicon)))
 
 
 def strip_the(prediction: Column, is_copy: Column) -> Column:

@@ -69,11 +69,20 @@ def first_sentence(text: Column) -> Column:
     return F.regexp_replace(strip(text), pattern, "$1")
 
 
+def close_sentence(text: Column, collapse: bool = True) -> Column:
+    """Tidy spaces and closing punctuation; blank text becomes empty."""
+    body = collapse_ws(text) if collapse else strip(text)
+    return F.regexp_replace(body, r"([^.!?])\z", "$1.")
+
+
+def capitalise(text: Column) -> Column:
+    """Capital first letter, the rest as it is."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+
+
 def clean_sentence(text: Column, collapse: bool = True) -> Column:
     """Capital first letter and closing punctuation; blank text becomes empty."""
-    body = collapse_ws(text) if collapse else strip(text)
-    closed = F.regexp_replace(body, r"([^.!?])\z", "$1.")
-    return F.concat(F.upper(F.substring(closed, 1, 1)), F.substr(closed, F.lit(2)))
+    return capitalise(close_sentence(text, collapse))
 
 
 def extract_response(text: Column, markers: tuple[str, ...] = fixed.RESPONSE_MARKERS) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearlines.functions.text import split_sentences
+from clearlines.functions.text import BREAK, split_sentences, strip
 
 
 def explode_sentences(df: DataFrame, text: str) -> DataFrame:
@@ -14,13 +16,20 @@ def explode_sentences(df: DataFrame, text: str) -> DataFrame:
     return df.select(*others, F.posexplode(split_sentences(F.col(text))).alias("pos", "sentence"))
 
 
-def map_sentences(text: Column, rule) -> Column:
-    """Split, rewrite each sentence with ``rule`` and join, all inside the row.
+def _of_one(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """``step`` with one argument: a second, optional one would be given the position."""
+    return lambda sentence: step(sentence)
+
+
+def map_sentences(text: Column, steps: Sequence[Callable[[Column], Column]]) -> Column:
+    """Split, rewrite each sentence step by step and join, all inside the row.
 
     Text without a sentence stays as it is.
     """
-    sentences = split_sentences(text)
-    return F.when(F.size(sentences) == 0, text).otherwise(F.array_join(F.transform(sentences, rule), " "))
+    sentences = F.split(strip(text), BREAK, -1)
+    for step in steps:
+        sentences = F.transform(sentences, _of_one(step))
+    return F.when(strip(text) == "", text).otherwise(F.array_join(sentences, " "))
 
 
 def join_sentences(parts: DataFrame, keys: list[str], text: str, pos: str = "pos", into: str = "simplified",

@@ -8,7 +8,7 @@ prompt. It is loaded once per Python worker and fed real batches.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +16,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearlines.functions.rewrite import heuristic_simplify
+from clearlines import fixed
+from clearlines.functions.rewrite import first_clause, lexicon_replace
+from clearlines.functions.text import capitalise, close_sentence
 
 BatchCall = Callable[[list[str], list[int]], list[str]]
 
@@ -30,13 +32,27 @@ class Generator:
 
 @dataclass(frozen=True)
 class Rule:
-    """A generator written as a column expression of (sentence, attempt number from 1)."""
+    """A generator made of column functions, applied one after the other.
 
-    expression: Callable[[Column, int], Column]
+    Steps are kept apart so that, inside an array, each runs once per sentence: a step may
+    mention its input more than once, and expressions are not shared there.
+    """
+
+    steps: tuple[Callable[[Column], Column], ...]
+
+    def __call__(self, sentence: Column) -> Column:
+        for step in self.steps:
+            sentence = step(sentence)
+        return sentence
+
+
+def heuristic(lexicon: Mapping[str, str] = fixed.LEXICON) -> Rule:
+    """The rule-based simplifier with a lexicon of one's own."""
+    return Rule((lambda s: first_clause(lexicon_replace(s, lexicon)), close_sentence, capitalise))
 
 
-HEURISTIC = Rule(lambda sentence, attempt: heuristic_simplify(sentence))
-IDENTITY = Rule(lambda sentence, attempt: sentence)
+HEURISTIC = heuristic()
+IDENTITY = Rule(())
 
 
 def batch_udf(factory: Callable, schema: str = "text string, error string"):

@@ -99,7 +99,7 @@ def _rule_ladder(df: DataFrame, rule: Rule, ladder: Ladder) -> DataFrame:
     helpers = []
     for i, _ in enumerate(ladder.attempts, 1):
         name, ok = f"_try_{i}", f"_ok_{i}"
-        df = df.withColumn(name, ladder.decode(rule.expression(F.col("sentence"), i)))
+        df = df.withColumn(name, ladder.decode(rule(F.col("sentence"))))
         tries.append(name)
         helpers += [name, ok]
         if ladder.gate is None:

@@ -19,7 +19,7 @@ def simplify_by_rule(df: DataFrame, text: str = "text", rule: Rule = HEURISTIC,
 
     Works on streams as it does on tables.
     """
-    return df.withColumn(into, map_sentences(F.col(text), lambda s: rule.expression(s, 1)))
+    return df.withColumn(into, map_sentences(F.col(text), rule.steps))
 
 
 def simplify(df: DataFrame, key: str = "doc_id", text: str = "text", generator: Generator | Rule = HEURISTIC,

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from clearlines.queries import gates, text  # noqa: F401  (registers)
+from clearlines.queries import gates, jobs, latency, scores, text  # noqa: F401  (each registers its queries)
+from clearlines.queries.jobs import flagship
 from clearlines.queries.registry import ORACLES, QUERIES
 
-
-def flagship(spark, folder):
-    return QUERIES["split_sentences"](spark, folder)
+__all__ = ["all_oracles", "all_queries", "flagship"]
 
 
 def all_queries():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clearlines import fixed
 from clearlines.functions.text import NOT_WS, WS, collapse_ws, strip
 from clearlines.operators.documents import explode_sentences
+from clearlines.sources.tables import spread
 
 # The prose of the test tables is invented, so these common words stand in for hard ones.
 TRIAL_LEXICON = {
@@ -26,7 +27,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,14 +77,14 @@ def _extracted(x, markers=fixed.RESPONSE_MARKERS):
     return sql.strip(f"CASE {options} ELSE {x} END")
 
 
-def _cut(x, stops=fixed.STOP_MARKERS):
+def cut(x, stops=fixed.STOP_MARKERS):
     for stop in stops:
         x = sql.strip(f"string_split({x}, {sql.lit(stop)})[1]")
     return x
 
 
 _STEP_SQL = (f"WITH {_OUTPUTS}, taken AS (SELECT conv_id, turn, kind, {_extracted('raw')} AS response FROM outputs), "
-             f"stopped AS (SELECT *, {_cut('response')} AS stopped FROM taken) ")
+             f"stopped AS (SELECT *, {cut('response')} AS stopped FROM taken) ")
 
 
 @query("extract_response", _STEP_SQL + "SELECT conv_id, turn, kind, response AS value FROM stopped")
@@ -92,7 +92,7 @@ def extract_response(spark, folder):
     return _outputs(spark, folder).select("conv_id", "turn", "kind", text.extract_response(F.col("raw")).alias("value"))
 
 
-@query("cut_at_stop", f"WITH {_OUTPUTS} SELECT conv_id, turn, kind, {_cut('raw')} AS value FROM outputs")
+@query("cut_at_stop", f"WITH {_OUTPUTS} SELECT conv_id, turn, kind, {cut('raw')} AS value FROM outputs")
 def cut_at_stop(spark, folder):
     return _outputs(spark, folder).select("conv_id", "turn", "kind", text.cut_at_stop(F.col("raw")).alias("value"))
 

@@ -103,7 +103,7 @@ def _sums_of_sets(sets: Column) -> Column:
 
 def _repeated(side: Column) -> Column:
     """The values an array holds more than once, found next to each other once sorted."""
-    return let(F.array_sort(side), lambda a: F.filter(a, lambda g, at: (at > 0) & (F.get(a, at - 1) == g)))
+    return let(F.sort_array(side), lambda a: F.filter(a, lambda g, at: (at > 0) & (F.get(a, at - 1) == g)))
 
 
 def _count_each(grams: Column, s: Column, c: Column, r: Column) -> Column:
@@ -118,28 +118,38 @@ def _count_each(grams: Column, s: Column, c: Column, r: Column) -> Column:
 def _count_runs(s: Column, c: Column, r: Column) -> Column:
     """Counts (s, c, r) of every distinct n-gram: sort all n-grams, measure the runs.
 
-    Takes sorting time whatever the number of repeats.
+    Takes sorting time whatever the number of repeats: after sorting, each step looks only
+    at neighbours.
     """
     def tagged(side: Column, tag: int) -> Column:
         return F.transform(side, lambda g: F.struct(g.alias("gram"), F.lit(tag).alias("side")))
 
-    def of_side(run: Column, tag: int) -> Column:
-        return F.size(F.filter(run, lambda x: x["side"] == tag))
+    def firsts(items: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """Positions at which something else begins."""
+        places = F.sequence(F.lit(0), F.size(items) - 1)
+        return F.filter(places, lambda i: (i == 0) | ~same(F.get(items, i), F.get(items, i - 1)))
 
-    def runs(all_: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(all_) - 1),
-            lambda i: (i == 0) | (F.get(all_, i)["gram"] != F.get(all_, i - 1)["gram"]))
+    def lengths(items: Column) -> Column:
+        """(gram, side, times) of each run of equal items."""
+        def run(starts: Column) -> Column:
+            return F.transform(starts, lambda first, at: F.struct(
+                F.get(items, first)["gram"].alias("gram"), F.get(items, first)["side"].alias("side"),
+                (F.coalesce(F.get(starts, at + 1), F.size(items)) - first).alias("times")))
 
-        def counts(first: Column, at: Column, firsts: Column) -> Column:
-            end = F.coalesce(F.get(firsts, at + 1), F.size(all_))
-            return let(F.slice(all_, first + 1, end - first), lambda run: F.struct(
-                *[of_side(run, tag).alias(name) for tag, name in enumerate("scr")]))
+        return let(firsts(items, lambda a, b: a == b), run)
 
-        return let(starts, lambda firsts: F.transform(firsts, lambda first, at: counts(first, at, firsts)))
+    def by_gram(runs: Column) -> Column:
+        """A gram has up to three runs next to each other, one per side."""
+        def times(first: Column, tag: int) -> Column:
+            gram = F.get(runs, first)["gram"]
+            here = [F.get(runs, first + k) for k in range(tag + 1)]
+            return F.coalesce(*[F.when((x["side"] == tag) & (x["gram"] == gram), x["times"]) for x in here], F.lit(0))
 
-    everything = F.array_sort(F.concat(tagged(s, 0), tagged(c, 1), tagged(r, 2)))
-    return let(everything, runs)
+        return F.transform(firsts(runs, lambda a, b: a["gram"] == b["gram"]), lambda first: F.struct(
+            *[times(first, tag).alias(name) for tag, name in enumerate("scr")]))
+
+    everything = F.sort_array(F.concat(tagged(s, 0), tagged(c, 1), tagged(r, 2)))
+    return let(let(everything, lengths), by_gram)
 
 
 def _sums_of_counts(counts: Column, references: Column) -> Column:

@@ -39,5 +39,5 @@ def join_sentences(parts: DataFrame, keys: list[str], text: str, pos: str = "pos
     A group holds the sentences of one row of the document table, never more than that.
     ``more`` are further aggregates over the sentences.
     """
-    in_order = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))))
+    in_order = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))))
     return parts.groupBy(*keys).agg(F.array_join(F.transform(in_order, lambda s: s["text"]), " ").alias(into), *more)

@@ -46,7 +46,7 @@ def embedding_f1(vectors: DataFrame, baseline: float = 0.0, block: int = BLOCK,
     A pair with tokens on only one side scores 0. (pair, side, pos) must be unique.
     """
     is_predicted = F.col("side") == predicted_side
-    in_block = F.array_sort(F.collect_list(F.struct("pos", "vec")))
+    in_block = F.sort_array(F.collect_list(F.struct("pos", "vec")))
     blocks = (vectors.select(pair, is_predicted.alias("p"), F.floor(F.col("pos") / block).alias("block"), "pos", "vec")
               .groupBy(pair, "p", "block").agg(in_block.alias("rows"))
               .select(pair, "p", "block", F.transform("rows", lambda r: r["vec"]).alias("vecs")))

@@ -41,11 +41,12 @@ def _chunked(df: DataFrame, keys: list[str], order: list[str], values: list[str]
 
 
 def trailing_mean(df: DataFrame, keys: list[str], order: list[str], values: list[str], rows: int = fixed.HISTORY,
-                  hot_rows: int = HOT_ROWS, staging: Staging | None = None) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, chunk_rows: int | None = None, staging: Staging | None = None) -> DataFrame:
     """Add ``<value>_mean`` and ``history`` over the ``rows`` rows before each row of its group.
 
     ``order`` must be unique within a group. Groups of more than ``hot_rows`` rows are
-    processed in chunks of about that size; there are at most rows / hot_rows of them.
+    processed in chunks of about ``chunk_rows`` (by default the same number); there are at
+    most rows / hot_rows such groups.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     total, groups = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
@@ -57,7 +58,7 @@ def trailing_mean(df: DataFrame, keys: list[str], order: list[str], values: list
     for test in same[1:]:
         condition = condition & test
     cold_part = _windowed(df.join(hot, condition, "left_anti"), keys, order, values, rows)
-    chunks = int(total // hot_rows) + 1
+    chunks = int(total // (chunk_rows or hot_rows)) + 1
     hot_part = _chunked(df.join(hot, condition, "left_semi"), keys, order, values, rows, chunks,
                         staging or Staging(df.sparkSession))
     return cold_part.unionByName(hot_part)

@@ -301,7 +301,8 @@ def stream_by_rule(spark, folder):
     """The documents as a stream through the rule."""
     staging = Staging(spark)
     docs = _stream(spark, folder, "documents").select("doc_id", "text")
-    simplify_stream(docs, staging.path("out"), staging.path("state"), TRIAL).awaitTermination()
+    simplify_stream(docs, staging.path("out"), staging.path("state"), TRIAL,
+                    partitions=3 * spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.parquet(staging.path("out")).select("doc_id", "simplified")
 
 

@@ -22,7 +22,7 @@ def _per_sentence(name: str, column, expression: str):
 
 
 def _sorted_text(items):
-    return F.array_join(F.array_sort(items), "|")
+    return F.array_join(F.sort_array(items), "|")
 
 
 @query("split_sentences", f"WITH {sql.SENTENCES} SELECT doc_id, pos, sentence FROM sentences")

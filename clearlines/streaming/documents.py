@@ -19,9 +19,15 @@ from clearlines.plans.staging import Staging
 def simplify_stream(docs: DataFrame, output: str, checkpoint: str, generator: Generator | Rule = HEURISTIC,
                     ladder: Ladder | None = None, key: str = "doc_id", text: str = "text",
                     partitions: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Start writing simplified documents to parquet; without a ladder a rule is applied directly."""
+    """Start writing simplified documents to parquet; without a ladder a rule is applied directly.
+
+    ``partitions`` spreads each micro-batch over that many tasks (model tasks with a ladder),
+    for sources that deliver few large pieces.
+    """
     trigger = trigger or {"availableNow": True}
     if ladder is None and isinstance(generator, Rule):
+        if partitions:
+            docs = docs.repartition(partitions, key)
         out = simplify_by_rule(docs, text, generator)
         return (out.writeStream.format("parquet").option("path", output)
                 .option("checkpointLocation", checkpoint).trigger(**trigger).start())

@@ -73,3 +73,81 @@ def tokens_13a(text):
                         (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
         text = re.sub(pattern, to, text)
     return " ".join(text.split()).split(" ")
+
+
+def ratio(a, b):
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def reason(source, candidate, gate):
+    """First failed gate rule, ``ok`` if none."""
+    if gate.reject_blank and not candidate.strip():
+        return "blank"
+    if source.strip().lower() == candidate.strip().lower():
+        return "same"
+    if gate.max_ratio is not None and ratio(source.lower(), candidate.lower()) >= gate.max_ratio:
+        return "ratio"
+    if numbers(candidate) - numbers(source):
+        return "numbers"
+    old, new = terms(source, gate.stop_words), terms(candidate, gate.stop_words)
+    if not old:
+        return "ok"
+    if len(old - new) / len(old) > gate.max_missing:
+        return "missing"
+    allowed = len(old) * gate.added_share
+    return "added" if len(new - old) > max(gate.min_added, int(allowed) if gate.whole_added else allowed) else "ok"
+
+
+def letters(text):
+    return re.findall(r"[A-Za-z]+", text)
+
+
+def simpler(source, candidate):
+    def mean(text):
+        found = letters(text)
+        return sum(map(len, found)) / len(found) if found else 0.0
+
+    def long(text):
+        return sum(len(w) >= 9 for w in letters(text))
+
+    shorter = max(1, len(letters(candidate))) <= int(max(1, len(letters(source))) * 1.05)
+    return shorter and (mean(candidate) <= mean(source) - 0.25 or long(candidate) <= long(source) - 1)
+
+
+def copied(source, candidate, threshold=0.985):
+    if not candidate.strip() or candidate.strip().lower() == source.strip().lower():
+        return True
+    return ratio(source.lower(), candidate.lower()) >= threshold
+
+
+def heuristic(sentence, lexicon):
+    for old in sorted(lexicon, key=len, reverse=True):
+        sentence = re.sub(rf"\b{re.escape(old)}\b", lexicon[old], sentence, flags=re.IGNORECASE)
+    clause = re.split("[,;:]", sentence)[0]
+    return clean(clause.strip() if len(clause.split()) >= 6 else sentence)
+
+
+def cut(text, stops):
+    for stop in stops:
+        text = text.split(stop)[0]
+    return text
+
+
+def ladder_two(sentence, tries, gate):
+    """What the two tries of a model become."""
+    tries = [" ".join(first_sentence(cut(t.strip(), ("###", "\n\n"))).split()) for t in tries]
+    for t in tries:
+        if reason(sentence, t, gate) == "ok":
+            return clean(t, collapse=False)
+    return clean(min(tries, key=len), collapse=False)
+
+
+def ladder_three(sentence, tries, gate, lexicon):
+    tries = [first_sentence(cut(t, ("###", "\n\n"))) for t in tries]
+    for t in tries:
+        if reason(sentence, t, gate) == "ok":
+            return clean(t)
+    usable = [c for c in map(clean, (t for t in tries if t.strip())) if not copied(sentence, c) and simpler(sentence, c)]
+    return min(usable, key=len) if usable else heuristic(sentence, lexicon)

@@ -1,9 +1,9 @@
 """Attempt ladders: ask, decode, gate, ask again for what failed, fall back.
 
 A ladder is data: prompts with their token budgets, a decoder, a gate and a fallback.
-With a batch model every attempt is a written table that holds the candidates so far,
-and only its failed rows go on to the next attempt. With a :class:`Rule` the whole ladder is
-one projection and nothing is shuffled or written.
+Every gated attempt is a written table that holds the candidates so far, and only its failed
+rows go on to the next attempt: no model is asked twice, and plans stay small however many
+attempts there are. A :class:`Rule` without a gate is one projection and writes nothing.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def shortest_candidate(df: DataFrame, keys: list[str], attempt: str, text: str)
     return df.where(F.col(text).isNotNull()).groupBy(*keys).agg(best.alias(text))
 
 
-def _with_fallback(df: DataFrame, ladder: Ladder, tries: list[str], needed: Column) -> DataFrame:
+def _with_fallback(df: DataFrame, ladder: Ladder, tries: list[str], staging: Staging) -> DataFrame:
     """Add ``_fallback``: what a sentence becomes when no attempt passed."""
     source = F.col("sentence")
     if ladder.fallback == "source":
@@ -83,70 +83,32 @@ def _with_fallback(df: DataFrame, ladder: Ladder, tries: list[str], needed: Colu
     if ladder.fallback == "shorter":
         return df.withColumn("_fallback", clean_sentence(shortest([F.col(t) for t in tries]), ladder.collapse))
     skip_frequent = ladder.gate is None or ladder.gate.skip_frequent
-    cleaned = [f"_clean_{t}" for t in tries]
-    for name, t in zip(cleaned, tries):
-        df = df.withColumn(name, F.when(needed, clean_sentence(F.col(t), ladder.collapse)))
-    for name in cleaned:
-        worth = F.coalesce(simpler_surface(source, F.col(name)) & (F.col(name) != ""), F.lit(False))
-        copy = mostly_copy(source, F.col(name), where=worth, skip_frequent=skip_frequent)
-        df = df.withColumn(name, F.when(worth & ~copy, F.col(name)))
-    usable = shortest([F.col(name) for name in cleaned])
-    return df.withColumn("_fallback", F.coalesce(usable, heuristic_simplify(source))).drop(*cleaned)
-
-
-def _rule_ladder(df: DataFrame, rule: Rule, ladder: Ladder) -> DataFrame:
-    tries, result, open_ = [], None, F.lit(True)
-    helpers = []
-    for i, _ in enumerate(ladder.attempts, 1):
-        name, ok = f"_try_{i}", f"_ok_{i}"
-        df = df.withColumn(name, ladder.decode(rule(F.col("sentence"))))
-        tries.append(name)
-        helpers += [name, ok]
-        if ladder.gate is None:
-            df = df.withColumn(ok, F.lit(False))
-        else:
-            # rows that already passed offer no candidate, so their gate costs nothing
-            masked = f"_asked_{i}"
-            df = df.withColumn(masked, F.when(open_, F.col(name)))
-            df = with_verdict(df, "sentence", masked, ladder.gate, into=ok).drop(masked)
-        picked = F.when(F.col(ok), F.col(name))
-        result = picked if result is None else F.coalesce(result, picked)
-        open_ = open_ & ~F.col(ok)
-    df = _with_fallback(df, ladder, tries, open_)
-    chosen = clean_sentence(result, ladder.collapse)
-    return (df.withColumn("simplified", F.when(open_, F.col("_fallback")).otherwise(chosen))
-            .withColumn("error", F.lit(None).cast("string")).drop("_fallback", *helpers))
-
-
-def _model_ladder(df: DataFrame, generator: Generator, ladder: Ladder, keys: list[str],
-                  staging: Staging, partitions: int) -> DataFrame:
-    done, tries = [], []
-    pending = df
-    budget_by_size = generation_budget(F.size(ladder.tokens(F.col("sentence"))))
-    for i, attempt in enumerate(ladder.attempts, 1):
-        name, ok = f"_try_{i}", f"_ok_{i}"
-        budget = budget_by_size if attempt.budget is None else F.lit(attempt.budget)
+    cleaned = {f"_clean_{t}": f"_worth_{t}" for t in tries}
+    df = df.withColumns({f"_clean_{t}": clean_sentence(F.col(t), ladder.collapse) for t in tries})
+    df = df.withColumns({worth: F.coalesce((F.col(name) != "") & simpler_surface(source, F.col(name)), F.lit(False))
+                         for name, worth in cleaned.items()})
+    df = staging.write(df, "candidates")
+    usable = []
+    for name, worth in cleaned.items():
+        copy = mostly_copy(source, F.col(name), where=F.col(worth), skip_frequent=skip_frequent)
+        usable.append(F.when(F.col(worth) & ~copy, F.col(name)))
+    return df.withColumn("_fallback", F.coalesce(shortest(usable), heuristic_simplify(source)))
+
+
+def _ask(pending: DataFrame, generator: Generator | Rule, ladder: Ladder, number: int, keys: list[str],
+         partitions: int) -> DataFrame:
+    """Add the decoded answers to one prompt and the errors of failed calls."""
+    name, error, attempt = f"_try_{number}", f"_error_{number}", ladder.attempts[number - 1]
+    if isinstance(generator, Rule):
+        answered = pending.withColumn(name, generator(F.col("sentence"))).withColumn(error, F.lit(None).cast("string"))
+    else:
+        by_size = generation_budget(F.size(ladder.tokens(F.col("sentence"))))
+        budget = by_size if attempt.budget is None else F.lit(attempt.budget)
         # model time per row dwarfs the shuffle: spread the rows that are left evenly
-        asked = pending.repartition(partitions, *keys)
-        asked = asked.withColumn("_prompt", build_prompt(F.col("sentence"), attempt.template)).withColumn("_budget", budget)
-        answered = generate(asked, generator, F.col("_prompt"), F.col("_budget"), into=name, error=f"_error_{i}")
-        answered = answered.drop("_prompt", "_budget").withColumn(name, ladder.decode(F.col(name)))
-        tries.append(name)
-        if ladder.gate is not None:
-            answered = with_verdict(answered, "sentence", name, ladder.gate, into=ok)
-        # answers and verdicts are on disk before anything reads them twice
-        stage = staging.write(answered, f"attempt_{i}")
-        if ladder.gate is None:
-            pending = stage
-            break
-        passed = stage.where(F.col(ok))
-        done.append(passed.withColumn("simplified", clean_sentence(F.col(name), ladder.collapse))
-                    .withColumn("error", F.col(f"_error_{i}")).select(*df.columns, "simplified", "error"))
-        pending = stage.where(~F.col(ok)).drop(ok)
-    rest = _with_fallback(pending, ladder, tries, F.lit(True))
-    errors = F.coalesce(*[F.col(f"_error_{i}") for i in range(1, len(tries) + 1)])
-    rest = rest.withColumn("simplified", F.col("_fallback")).withColumn("error", errors)
-    return reduce(DataFrame.unionByName, [*done, rest.select(*df.columns, "simplified", "error")])
+        asked = (pending.repartition(partitions, *keys)
+                 .withColumn("_prompt", build_prompt(F.col("sentence"), attempt.template)).withColumn("_budget", budget))
+        answered = generate(asked, generator, F.col("_prompt"), F.col("_budget"), name, error).drop("_prompt", "_budget")
+    return answered.withColumn(name, ladder.decode(F.col(name)))
 
 
 def run_ladder(sentences: DataFrame, keys: list[str], generator: Generator | Rule, ladder: Ladder,
@@ -155,9 +117,25 @@ def run_ladder(sentences: DataFrame, keys: list[str], generator: Generator | Rul
 
     ``keys`` identify a row. ``partitions`` is the number of model tasks per attempt.
     """
-    if isinstance(generator, Rule):
-        return _rule_ladder(sentences, generator, ladder)
     spark = sentences.sparkSession
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                                    spark.sparkContext.defaultParallelism)
-    return _model_ladder(sentences, generator, ladder, keys, staging or Staging(spark), partitions)
+    staging = staging or Staging(spark)
+    done, tries, pending = [], [], sentences
+    for i in range(1, len(ladder.attempts) + 1):
+        name, ok = f"_try_{i}", f"_ok_{i}"
+        answered = _ask(pending, generator, ladder, i, keys, partitions)
+        tries.append(name)
+        if ladder.gate is None:
+            pending = answered if isinstance(generator, Rule) else staging.write(answered, "attempt_1")
+            break
+        # answers and verdicts are on disk before anything reads them twice
+        stage = staging.write(with_verdict(answered, "sentence", name, ladder.gate, into=ok), f"attempt_{i}")
+        passed = stage.where(F.col(ok))
+        done.append(passed.withColumn("simplified", clean_sentence(F.col(name), ladder.collapse))
+                    .withColumn("error", F.col(f"_error_{i}")).select(*sentences.columns, "simplified", "error"))
+        pending = stage.where(~F.col(ok)).drop(ok)
+    rest = _with_fallback(pending, ladder, tries, staging)
+    errors = F.coalesce(*[F.col(f"_error_{i}") for i in range(1, len(tries) + 1)])
+    rest = rest.withColumn("simplified", F.col("_fallback")).withColumn("error", errors)
+    return reduce(DataFrame.unionByName, [*done, rest.select(*sentences.columns, "simplified", "error")])

@@ -63,17 +63,11 @@ def echo_translator():
 
 # --- sources -----------------------------------------------------------------------------
 
-def _training_pairs(spark, folder):
-    key = F.concat_ws("-", "doc_id", "pos")
-    return pairs(spark, folder).select(key.alias("key"), F.col("normal").alias("Normal"), F.col("simple").alias("Simple"))
-
-
 @query("read_pairs", f"WITH {sql.PAIRS} SELECT nullif(normal, '') AS normal, nullif(simple, '') AS simple FROM pairs")
 def read_pairs(spark, folder):
     """Pairs written as CSV and read again; the reader numbers the rows."""
     path = Staging(spark).path("pairs_csv")
-    (_training_pairs(spark, folder).select("Normal", "Simple").write.option("header", True)
-     .option("escape", '"').option("quoteAll", True).csv(path))
+    sources.write_csv(pairs(spark, folder).select(F.col("normal").alias("Normal"), F.col("simple").alias("Simple")), path)
     return sources.read_pairs(spark, path).select(F.nullif("normal", F.lit("")).alias("normal"),
                                                   F.nullif("simple", F.lit("")).alias("simple"))
 

@@ -30,6 +30,12 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType = PA
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV that :func:`read_csv` gives back unchanged: all cells quoted, spaces kept."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def read_pairs(spark: SparkSession, path: str | list[str], key: str | None = None, multi_line: bool = True) -> DataFrame:
     """(pair_id, normal, simple) from CSV, or from a parquet folder (path ending in ``.parquet``).
 
@@ -75,8 +81,10 @@ def write_predictions(pairs: DataFrame, predictions: DataFrame, path: str, fmt:
     """Predictions next to their sources, matched by key."""
     joined = pairs.join(predictions, "pair_id").withColumnsRenamed(
         {"normal": "Normal", "simple": "Simple", "predicted": "Predicted"})
-    writer = joined.write.mode("overwrite")
-    writer.parquet(path) if fmt == "parquet" else writer.option("header", True).option("escape", '"').csv(path)
+    if fmt == "parquet":
+        joined.write.mode("overwrite").parquet(path)
+    else:
+        write_csv(joined, path)
 
 
 def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -192,7 +192,7 @@ PAIRS = [(1, 'A "quoted", cell', "plain"), (2, "two\nlines", "b"), (3, None, "c"
 def test_pairs_round_trip(spark, tmp_path):
     df = spark.createDataFrame(PAIRS, "pair_id long, Normal string, Simple string")
     path = str(tmp_path / "pairs")
-    df.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    sources.write_csv(df.coalesce(1), path)
     read = sources.read_pairs(spark, path, key="pair_id")
     assert sorted(map(tuple, read.collect())) == PAIRS
     assert sources.missing_counts(read).first().asDict() == {"normal": 1, "simple": 0}

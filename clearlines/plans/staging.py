@@ -2,28 +2,20 @@
 
 A model's answers must not be computed twice and must survive a lost executor, so each
 attempt is written as a parquet table and read back. Tables live below the folder that
-``spark.checkpoint.dir`` names. Only a local session without that setting gets a
-temporary folder of its own.
+``spark.checkpoint.dir`` names, or, where it is unset, below the session's warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session, or a new temporary one in local mode."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="clearlines-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+    """The checkpoint folder that the session names, else one in its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
 class Staging:

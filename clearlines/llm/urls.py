@@ -84,20 +84,20 @@ def verdict_of(site: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def link_target(url: Column, html: Column) -> Column:
-    """The absolute address of a page's canonical link, else of its refresh redirect, else NULL.
-
-    Targets may be absolute, or start with ``//`` or ``/``; others are left out.
-    """
+def page_link(html: Column) -> Column:
+    """As an array of at most one: the target of a page's canonical link, else of its refresh redirect."""
     low = F.lower(html)
     canonical = F.when(low.contains("canonical"), F.regexp_extract(html, _LINK, 1))
     refresh = F.when(low.contains("http-equiv"), F.regexp_extract(html, _REFRESH, 1))
-    found = F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(refresh, F.lit("")))
-    found = F.replace(found, F.lit("&amp;"), F.lit("&"))
-    scheme = F.substring_index(url, "://", 1)
-    return (F.when(found.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), found)
-            .when(found.startswith("//"), F.concat(scheme, F.lit(":"), found))
-            .when(found.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), found)))
+    return F.slice(F.filter(F.array(canonical, refresh), lambda link: link != ""), 1, 1)
+
+
+def absolute(url: Column, link: Column) -> Column:
+    """A link's address. It may be absolute, or start with ``//`` or ``/``; NULL for others."""
+    link, scheme = F.replace(link, F.lit("&amp;"), F.lit("&")), F.substring_index(url, "://", 1)
+    return (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link)))
 
 
 def _node(place: Column) -> Column:
@@ -112,10 +112,12 @@ def _ruled(rows: DataFrame, url: str, rules: tuple[Rule, ...]) -> DataFrame:
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """``source, target`` addresses from the pages' links and from a table (``source, target``) of redirects."""
-    own = pages.select(F.col(url).alias("source"), link_target(F.col(url), F.col(html)).alias("target"))
-    edges = own if redirects is None else own.unionByName(redirects.select("source", "target"))
-    edges = edges.where(F.col("target").isNotNull()).select(address(F.col("source")).alias("source"),
-                                                            address(F.col("target")).alias("target"))
+    # exploding and writing the few links found keeps the patterns from being worked out again
+    found = staged(pages.select(F.col(url).alias("source"), F.explode(page_link(F.col(html))).alias("link")), "page-links")
+    edges = found.select("source", absolute(F.col("source"), F.col("link")).alias("target"))
+    if redirects is not None:
+        edges = edges.unionByName(redirects.select("source", "target"))
+    edges = staged(edges.select(address(F.col("source")).alias("source"), address(F.col("target")).alias("target")), "aliases")
     return edges.where(F.col("source") != F.col("target"))
 
 
@@ -129,7 +131,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: Dat
     NULL and repeated keys and rows give a row each; the same address on many pages is one node. An
     empty table gives no rows. Only the three columns are read.
     """
-    edges = staged(alias_edges(pages, redirects, url, html), "aliases")
+    edges = alias_edges(pages, redirects, url, html)
     groups = connected_components(edges.select(_node(F.col("source")).alias("left"), _node(F.col("target")).alias("right")))
     ends = edges.select(F.col("source").alias("url")).unionByName(edges.select(F.col("target").alias("url")))
     ruled = _ruled(ends, "url", rules).select("node", verdict_of(F.col("rule"), rules).alias("verdict"))

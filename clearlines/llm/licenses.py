@@ -71,6 +71,7 @@ FORMS = {
                     "(?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?@(?: licen[cs]e)?"),
     "subject": (0.9, "(?:subject to|governed by|covered by|in accordance with) (?:the )?(?:terms of )?(?:the )?@(?: licen[cs]e)?"),
     "field": (0.85, "licen[cs]e[ds]? (?:is |type |name )?@"),
+    "title": (0.8, "@"),  # only of names that hold the word license themselves
     "named": (0.7, "@ licen[cs]e[ds]?"),
 }
 GATES = (b"licen", b" under ", b"spdx", b"subject to", b"governed by", b"covered by", b"in accordance with")
@@ -85,6 +86,8 @@ def rules() -> list[tuple[str, str, float, re.Pattern, list[str]]]:
     made = []
     for form, (confidence, around) in FORMS.items():
         for label, name in names:
+            if form == "title" and "license" not in name:
+                continue
             words = [re.sub(r"\(\?:[^)]*\)\??", " ", part).split() for part in re.split(r"\|(?![^(]*\))", name)]
             keys = [next((w for w in sorted(part, key=len, reverse=True) if w.isalnum()), "") for part in words]
             pattern = re.compile(f"(?<= ){around.replace('@', f'(?:{name})')}(?= )".encode())

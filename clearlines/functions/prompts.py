@@ -35,9 +35,10 @@ def training_text(normal: Column, simple: Column, template: str = fixed.TRAINING
     return fill(template, normal=normal, simple=simple)
 
 
-def generation_budget(tokens: Column, max_length: int = fixed.MAX_LENGTH) -> Column:
+def generation_budget(tokens: Column, max_length: int = fixed.MAX_LENGTH, least: int = fixed.MIN_BUDGET,
+                      most: int = fixed.MAX_BUDGET) -> Column:
     """How many tokens a model may produce for an input of ``tokens`` tokens."""
-    return F.least(F.lit(max_length), F.greatest(tokens, F.lit(fixed.MIN_BUDGET)), F.lit(fixed.MAX_BUDGET))
+    return F.least(F.lit(max_length), F.greatest(tokens, F.lit(least)), F.lit(most))
 
 
 def default_tokens(text: Column) -> Column:
@@ -50,8 +51,14 @@ def truncate_tokens(tokens: Column, max_tokens: int = fixed.PROMPT_TOKENS) -> Co
     return F.slice(tokens, 1, max_tokens)
 
 
+def token_parts(tokens: Column, size: int = fixed.TRAINING_TOKENS) -> Column:
+    """The tokens in parts of ``size``, the last one shorter; one empty part for no tokens."""
+    last = F.floor((F.greatest(F.size(tokens), F.lit(1)) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * size + 1, size))
+
+
 def pad_tokens(tokens: Column, pad: Column, size: int = fixed.TRAINING_TOKENS, side: str = "left") -> Column:
-    """Exactly ``size`` tokens: cut at the end, filled up on the given side."""
+    """Exactly ``size`` tokens, filled up on the given side. Longer arrays are cut: see :func:`token_parts`."""
     kept = truncate_tokens(tokens, size)
     filling = F.array_repeat(pad, F.greatest(F.lit(size) - F.size(tokens), F.lit(0)))
     return F.concat(filling, kept) if side == "left" else F.concat(kept, filling)

@@ -5,9 +5,11 @@ most rows away from Python, without changing any result:
 
 * ``ratio <= 2 * min(la, lb) / (la + lb)``, so a test against a threshold above that
   bound is already lost;
-* where one text contains the other and the second is shorter than 200 characters (below
-  which no character is ever skipped as too frequent) the longest match is the whole of the
-  shorter text, so the ratio *is* that bound.
+* where one text contains the other the longest match is the whole of the shorter text, so
+  the ratio *is* that bound (if frequent characters are skipped, only below 200 characters).
+
+Rows that are decided here reach Python as NULLs: they are not compared, but still counted
+through the Arrow exchange.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.when(la + lb == 0, F.lit(1.0)).otherwise(bound)
 
 
-def closed_ratio(a: Column, b: Column, skip_frequent: bool = True) -> Column:
+def closed_ratio(a: Column, b: Column, skip_frequent: bool = False) -> Column:
     """The exact ratio where it follows from lengths alone, else NULL."""
     contained = a.contains(b) | b.contains(a)
     if skip_frequent:
@@ -76,11 +78,11 @@ def _reaches_udf(threshold: float, above: bool, skip_frequent: bool):
     return F.pandas_udf(reaches, "boolean")
 
 
-def similarity_ratio(a: Column, b: Column, skip_frequent: bool = True) -> Column:
+def similarity_ratio(a: Column, b: Column, skip_frequent: bool = False) -> Column:
     """``difflib`` ratio of two texts, case as given; not symmetric.
 
-    With ``skip_frequent=False`` frequent characters count in long texts too, so that
-    long near copies are recognised.
+    With ``skip_frequent=True`` the frequent characters of texts of 200 characters and more do not
+    count, ``difflib``'s own rule, with which long near copies may score low.
     """
     known = closed_ratio(a, b, skip_frequent)
     open_ = known.isNull()
@@ -88,11 +90,10 @@ def similarity_ratio(a: Column, b: Column, skip_frequent: bool = True) -> Column
 
 
 def reaches(a: Column, b: Column, threshold: float, above: bool = False,
-            where: Column | None = None, skip_frequent: bool = True) -> Column:
+            where: Column | None = None, skip_frequent: bool = False) -> Column:
     """Whether the ratio is at least (``above``: more than) the threshold.
 
-    ``where`` names the rows that need the answer; the others get NULL or a cheap answer
-    and never reach Python.
+    ``where`` names the rows that need the answer; the others get NULL or a cheap answer.
     """
     def enough(ratio: Column) -> Column:
         return ratio > threshold if above else ratio >= threshold
@@ -103,6 +104,6 @@ def reaches(a: Column, b: Column, threshold: float, above: bool = False,
     return F.coalesce(cheap, _reaches_udf(threshold, above, skip_frequent)(F.when(open_, a), F.when(open_, b)))
 
 
-def is_copy(source: Column, prediction: Column, threshold: float = 0.95, skip_frequent: bool = True) -> Column:
+def is_copy(source: Column, prediction: Column, threshold: float = 0.95, skip_frequent: bool = False) -> Column:
     """Prediction and source are nearly the same text (case as given)."""
     return reaches(source, prediction, threshold, above=True, skip_frequent=skip_frequent)

@@ -25,7 +25,8 @@ class GateConfig:
 
     ``whole_added`` rounds the share of added terms down to a whole number;
     ``reject_blank`` refuses blank candidates before any other rule. ``max_ratio=None``
-    leaves the similarity rule out; ``skip_frequent=False`` lets it see long near copies.
+    leaves the similarity rule out; ``skip_frequent=True`` leaves out characters that are
+    frequent in long texts, as ``difflib`` does on its own: long near copies may then pass.
     """
 
     max_ratio: float | None
@@ -35,7 +36,7 @@ class GateConfig:
     whole_added: bool
     reject_blank: bool
     stop_words: tuple[str, ...] = fixed.STOP_WORDS
-    skip_frequent: bool = True
+    skip_frequent: bool = False
 
 
 # --- fixed values: the two gates ---
@@ -116,7 +117,7 @@ def simpler_surface(source: Column, candidate: Column) -> Column:
     return shorter & (simpler | fewer)
 
 
-def mostly_copy(source: Column, candidate: Column, where: Column | None = None, skip_frequent: bool = True) -> Column:
+def mostly_copy(source: Column, candidate: Column, where: Column | None = None, skip_frequent: bool = False) -> Column:
     """Blank, the same text in any case, or above the near-copy ratio."""
     plain = (strip(candidate) == "") | (normalise(candidate) == normalise(source))
     needed = ~plain if where is None else where & ~plain

@@ -59,7 +59,7 @@ def batch_udf(factory: Callable, schema: str = "text string, error string"):
     """Arrow UDF (prompt, argument) -> (text, error) around a batch callable.
 
     A failing batch is tried again prompt by prompt, so that one bad prompt costs only its
-    own answer. The function carries no reference to this package: workers need not have it.
+    own answer, which is NULL. The package's functions travel by value: workers need not have it.
     """
     token = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
@@ -78,14 +78,14 @@ def batch_udf(factory: Callable, schema: str = "text string, error string"):
             answers = list(call(prompts, arguments))
             if len(answers) != len(prompts):
                 raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
-            return [("" if a is None else a, None) for a in answers]
+            return [(a, None) for a in answers]
 
         def ask_safely(prompts, arguments):
             try:
                 return ask(prompts, arguments)
             except Exception as problem:
                 if len(prompts) == 1:
-                    return [("", f"{type(problem).__name__}: {problem}")]
+                    return [(None, f"{type(problem).__name__}: {problem}")]
                 return [ask_safely([p], [a])[0] for p, a in zip(prompts, arguments)]
 
         for prompts, arguments in batches:

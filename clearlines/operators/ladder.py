@@ -34,7 +34,11 @@ class Attempt:
 
 @dataclass(frozen=True)
 class Ladder:
-    """``fallback`` is ``shorter`` (of all tries), ``simplest`` (usable try, else rules) or ``source``."""
+    """``fallback`` is ``shorter`` (of all tries), ``simplest`` (usable try, else rules) or ``source``.
+
+    An attempt without a budget of its own asks for as many tokens as its input has, within
+    ``min_budget``, ``max_budget`` and ``max_length``: longer answers are cut by the model.
+    """
 
     attempts: tuple[Attempt, ...]
     decode: Callable[[Column], Column]
@@ -42,6 +46,9 @@ class Ladder:
     fallback: str
     collapse: bool = True
     tokens: Callable[[Column], Column] = default_tokens
+    max_length: int = fixed.MAX_LENGTH
+    min_budget: int = fixed.MIN_BUDGET
+    max_budget: int = fixed.MAX_BUDGET
 
 
 TWO = Ladder(
@@ -81,8 +88,9 @@ def _with_fallback(df: DataFrame, ladder: Ladder, tries: list[str], staging: Sta
         return df.withColumn("_fallback", F.when(cleaned != "", cleaned).otherwise(
             clean_sentence(source, ladder.collapse)))
     if ladder.fallback == "shorter":
-        return df.withColumn("_fallback", clean_sentence(shortest([F.col(t) for t in tries]), ladder.collapse))
-    skip_frequent = ladder.gate is None or ladder.gate.skip_frequent
+        best = clean_sentence(shortest([F.col(t) for t in tries]), ladder.collapse)
+        return df.withColumn("_fallback", F.coalesce(best, clean_sentence(source, ladder.collapse)))
+    skip_frequent = ladder.gate is not None and ladder.gate.skip_frequent
     cleaned = {f"_clean_{t}": f"_worth_{t}" for t in tries}
     df = df.withColumns({f"_clean_{t}": clean_sentence(F.col(t), ladder.collapse) for t in tries})
     df = df.withColumns({worth: F.coalesce((F.col(name) != "") & simpler_surface(source, F.col(name)), F.lit(False))
@@ -102,7 +110,8 @@ def _ask(pending: DataFrame, generator: Generator | Rule, ladder: Ladder, number
     if isinstance(generator, Rule):
         answered = pending.withColumn(name, generator(F.col("sentence"))).withColumn(error, F.lit(None).cast("string"))
     else:
-        by_size = generation_budget(F.size(ladder.tokens(F.col("sentence"))))
+        by_size = generation_budget(F.size(ladder.tokens(F.col("sentence"))), ladder.max_length, ladder.min_budget,
+                                    ladder.max_budget)
         budget = by_size if attempt.budget is None else F.lit(attempt.budget)
         # model time per row dwarfs the shuffle: spread the rows that are left evenly
         asked = (pending.repartition(partitions, *keys)
@@ -111,16 +120,25 @@ def _ask(pending: DataFrame, generator: Generator | Rule, ladder: Ladder, number
     return answered.withColumn(name, ladder.decode(F.col(name)))
 
 
+def _with_errors(df: DataFrame, attempts: int) -> DataFrame:
+    """Add the first error of the attempts so far, and how many failed."""
+    errors = [F.col(f"_error_{i}") for i in range(1, attempts + 1)]
+    failed = reduce(lambda a, b: a + b, [e.isNotNull().cast("bigint") for e in errors])
+    return df.withColumn("error", F.coalesce(*errors)).withColumn("failed_calls", failed)
+
+
 def run_ladder(sentences: DataFrame, keys: list[str], generator: Generator | Rule, ladder: Ladder,
                staging: Staging | None = None, partitions: int | None = None) -> DataFrame:
-    """Add ``simplified`` and ``error`` to rows that hold a ``sentence``.
+    """Add ``simplified``, ``error`` (of the first failed call) and ``failed_calls`` to rows that hold a ``sentence``.
 
-    ``keys`` identify a row. ``partitions`` is the number of model tasks per attempt.
+    ``keys`` identify a row. ``partitions`` is the number of model tasks per attempt. A failed call
+    has no text: it fails the gate and never competes; without any text the cleaned sentence stays.
     """
     spark = sentences.sparkSession
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                                    spark.sparkContext.defaultParallelism)
-    staging = staging or Staging(spark)
+    staging = (staging or Staging(spark)).part("ladder")
+    out = [*sentences.columns, "simplified", "error", "failed_calls"]
     done, tries, pending = [], [], sentences
     for i in range(1, len(ladder.attempts) + 1):
         name, ok = f"_try_{i}", f"_ok_{i}"
@@ -130,12 +148,12 @@ def run_ladder(sentences: DataFrame, keys: list[str], generator: Generator | Rul
             pending = answered if isinstance(generator, Rule) else staging.write(answered, "attempt_1")
             break
         # answers and verdicts are on disk before anything reads them twice
-        stage = staging.write(with_verdict(answered, "sentence", name, ladder.gate, into=ok), f"attempt_{i}")
+        # and each branch reads the rows of its verdict alone
+        judged = with_verdict(answered, "sentence", name, ladder.gate, into=ok)
+        stage = staging.write(judged, f"attempt_{i}", [ok])
         passed = stage.where(F.col(ok))
-        done.append(passed.withColumn("simplified", clean_sentence(F.col(name), ladder.collapse))
-                    .withColumn("error", F.col(f"_error_{i}")).select(*sentences.columns, "simplified", "error"))
+        done.append(_with_errors(passed.withColumn("simplified", clean_sentence(F.col(name), ladder.collapse)), i).select(*out))
         pending = stage.where(~F.col(ok)).drop(ok)
     rest = _with_fallback(pending, ladder, tries, staging)
-    errors = F.coalesce(*[F.col(f"_error_{i}") for i in range(1, len(tries) + 1)])
-    rest = rest.withColumn("simplified", F.col("_fallback")).withColumn("error", errors)
-    return reduce(DataFrame.unionByName, [*done, rest.select(*sentences.columns, "simplified", "error")])
+    rest = _with_errors(rest.withColumn("simplified", F.col("_fallback")), len(tries))
+    return reduce(DataFrame.unionByName, [*done, rest.select(*out)])

@@ -30,7 +30,7 @@ def length_ratio(source: Column, prediction: Column) -> Column:
 
 
 def with_copy(df: DataFrame, source: str = "normal", prediction: str = "predicted", into: str = "copied",
-              lower: bool = True, skip_frequent: bool = True) -> DataFrame:
+              lower: bool = True, skip_frequent: bool = False) -> DataFrame:
     """Add whether the prediction is nearly the source; both sides are lower-cased unless told not to."""
     def text(name: str) -> Column:
         return F.lower(F.col(name)) if lower else F.col(name)
@@ -39,7 +39,7 @@ def with_copy(df: DataFrame, source: str = "normal", prediction: str = "predicte
 
 
 def with_scores(df: DataFrame, source: str = "normal", prediction: str = "predicted", reference: str = "simple",
-                tokenizer: str = "13a", skip_frequent: bool = True) -> DataFrame:
+                tokenizer: str = "13a", skip_frequent: bool = False) -> DataFrame:
     """Add every per-pair score."""
     df = with_copy(df, source, prediction, skip_frequent=skip_frequent)
     df = df.withColumns({"_source": text_counts(F.col(source)), "_predicted": text_counts(F.col(prediction))})
@@ -52,7 +52,7 @@ def with_scores(df: DataFrame, source: str = "normal", prediction: str = "predic
 
 
 def score_systems(df: DataFrame, system: str = "system", source: str = "normal", prediction: str = "predicted",
-                  reference: str = "simple", tokenizer: str = "13a", skip_frequent: bool = True) -> DataFrame:
+                  reference: str = "simple", tokenizer: str = "13a", skip_frequent: bool = False) -> DataFrame:
     """One row per system with all scores; pairs with a missing text are left out and counted."""
     whole = F.col(source).isNotNull() & F.col(prediction).isNotNull() & F.col(reference).isNotNull()
     scored = with_scores(df.select(system, source, prediction, reference), source, prediction, reference,

@@ -26,16 +26,19 @@ def simplify(df: DataFrame, key: str = "doc_id", text: str = "text", generator:
              ladder: Ladder = TWO, staging: Staging | None = None, partitions: int | None = None) -> DataFrame:
     """Add ``simplified``, ``sentences`` and ``failed_calls`` to a table of documents.
 
-    ``key`` must be unique. Documents without a sentence keep their text. Sentences, not
+    ``key`` must be unique: a NULL key or one of two different texts with sentences raises an error. Documents without a sentence keep their text. Sentences, not
     documents, are the unit of work, so one long document does not hold up a task.
     """
-    sentences = explode_sentences(df.select(key, text), text)
+    sentences = explode_sentences(df.select(key, text, F.xxhash64(text).alias("_mark")), text)
     answered = run_ladder(sentences, [key, "pos"], generator, ladder, staging, partitions)
     joined = join_sentences(answered, [key], "simplified", "pos", "simplified",
-                            F.count(F.lit(1)).alias("sentences"), F.count("error").alias("failed_calls"))
+                            F.count(F.lit(1)).alias("sentences"), F.sum("failed_calls").alias("failed_calls"),
+                            F.first("_mark").alias("_mark"))
     zero = F.lit(0).cast("bigint")
+    own = (F.col("_mark").isNull() | (F.col("_mark") == F.xxhash64(text)))
     return (df.join(joined, key, "left")
-            .withColumn("simplified", F.coalesce(F.col("simplified"), F.col(text)))
+            .withColumn("simplified", F.when(own, F.coalesce(F.col("simplified"), F.col(text)))
+                        .otherwise(F.raise_error(F.lit("two documents have one key")))).drop("_mark")
             .withColumn("sentences", F.coalesce(F.col("sentences"), zero))
             .withColumn("failed_calls", F.coalesce(F.col("failed_calls"), zero)))
 
@@ -44,9 +47,9 @@ def simplify_and_translate(df: DataFrame, translator: Callable, languages: list[
                            text: str = "text", generator: Generator | Rule = HEURISTIC, ladder: Ladder = TWO,
                            staging: Staging | None = None, partitions: int | None = None) -> DataFrame:
     """Both stages: one row per document and language."""
-    staging = staging or Staging(df.sparkSession)
+    staging = (staging or Staging(df.sparkSession)).part("two_stages")
     simple = simplify(df, key, text, generator, ladder, staging, partitions)
     if isinstance(generator, Generator):
         simple = staging.write(simple, "simplified")
     return translate(in_languages(simple, languages), "simplified", "language", translator,
-                     keys=[key, "language"], partitions=partitions)
+                     keys=[key, "language"], partitions=partitions, staging=staging)

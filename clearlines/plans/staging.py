@@ -19,16 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Staging:
-    """Names and writes the stage tables of one run."""
+    """Names and writes the stage tables of one run. A stage is written once: an existing one is an error."""
 
     def __init__(self, spark: SparkSession, run: str | None = None):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/clearlines/{run or uuid.uuid4().hex}"
 
+    def part(self, name: str) -> Staging:
+        """A folder of its own below this run, for one call of an operator."""
+        return Staging(self.spark, f"{self.folder.rpartition('/clearlines/')[2]}/{name}-{uuid.uuid4().hex[:12]}")
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the table."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        """Write ``df`` once, in folders by the columns ``by``, and return the table."""
+        df.write.partitionBy(*(by or [])).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def close(self) -> None:
+        """Remove this run's tables. What was made from them must have been written by then."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,29 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearlines import fixed
 from clearlines.functions.text import NOT_WS, WS, collapse_ws, strip
 from clearlines.operators.documents import explode_sentences
+from clearlines.queries import sql
+from clearlines.queries.sql import TRIAL_LEXICON  # noqa: F401
 from clearlines.sources.tables import spread
 
-# The prose of the test tables is invented, so these common words stand in for hard ones.
-TRIAL_LEXICON = {
-    **fixed.LEXICON,
-    "and": "plus",
-    "thing": "item",
-    "in the": "inside",
-    "of": "from",
-    "und": "sowie",
-    "de la": "della",
-}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    """The documents. The test tables are one file of one row group, so they are spread over the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    return spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id", 3 * cores)
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +50,20 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "pos", "source", s.alias("normal"), clause(s).alias("clause"), short_words(s).alias("simple"))
 
 
+def strange_middle(text: Column, size: Column) -> Column:
+    """The text with strange characters in its middle, ``size`` of them per character, at least one."""
+    half = F.floor((F.length(text) + 1) / 2).cast("int")
+    strange = F.repeat(F.lit(sql.STRANGE), F.greatest(F.lit(1), F.floor(F.length(text) * size + 0.5)).cast("int"))
+    return F.concat(F.substring(text, F.lit(1), half), strange, F.substring(text, half + 1, F.length(text)))
+
+
+def near_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`pairs` with ``near``, a near copy of the sentence whose ratio is known."""
+    sizes = F.array(*[F.lit(sql.near_size(r)) for r in sql.NEAR_RATIOS])
+    size = F.get(sizes, ((F.col("doc_id") + F.col("pos")) % 8).cast("int"))
+    return pairs(spark, folder).withColumn("near", strange_middle(F.col("normal"), size))
+
+
 def systems(spark: SparkSession, folder: str) -> DataFrame:
     """(system, normal, predicted, simple) for two derived systems: the clause, and the source itself."""
     made = F.array(F.struct(F.lit("clause").alias("system"), F.col("clause").alias("predicted")),

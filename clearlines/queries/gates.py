@@ -11,7 +11,7 @@ from clearlines.operators.gate import (
 )
 from clearlines.operators.ladder import shortest_candidate
 from clearlines.queries import sql
-from clearlines.queries.data import candidates, pairs
+from clearlines.queries.data import candidates, near_pairs, pairs
 from clearlines.queries.registry import query
 
 KEYS = ["doc_id", "pos", "kind"]
@@ -43,25 +43,34 @@ def _whole_sql(loose: bool) -> str:
 @query("faithful_strict_whole", _whole_sql(False))
 def faithful_strict_whole(spark, folder):
     """The whole strict gate on clauses, frequent characters counted."""
-    gate = replace(STRICT, skip_frequent=False)
-    return with_verdict(_clauses(spark, folder), "normal", "clause", gate).select("doc_id", "pos", "passed")
+    return with_verdict(_clauses(spark, folder), "normal", "clause", STRICT).select("doc_id", "pos", "passed")
 
 
 @query("faithful_loose_whole", _whole_sql(True))
 def faithful_loose_whole(spark, folder):
-    gate = replace(LOOSE, skip_frequent=False)
-    return with_verdict(_clauses(spark, folder), "normal", "clause", gate).select("doc_id", "pos", "passed")
+    return with_verdict(_clauses(spark, folder), "normal", "clause", LOOSE).select("doc_id", "pos", "passed")
 
 
-@query("faithful_strict")
+def _near_sql(loose: bool) -> str:
+    ratio = sql.near_ratio("lower(normal)", "lower(near)")
+    return f"WITH {sql.NEAR} SELECT doc_id, pos, {sql.rule('normal', 'near', loose, ratio)} IS NULL AS passed FROM near_pairs"
+
+
+@query("faithful_strict", _near_sql(False))
 def faithful_strict(spark, folder):
-    """The whole strict gate on all kinds of candidates; ``difflib`` has no SQL form."""
-    return with_verdict(candidates(spark, folder), "normal", "candidate", STRICT).select("doc_id", "pos", "kind", "passed")
+    """The whole strict gate on near copies, whose ratio ``difflib`` must work out."""
+    return with_verdict(near_pairs(spark, folder), "normal", "near", STRICT).select("doc_id", "pos", "passed")
 
 
-@query("faithful_loose")
+@query("faithful_loose", _near_sql(True))
 def faithful_loose(spark, folder):
-    return with_verdict(candidates(spark, folder), "normal", "candidate", LOOSE).select("doc_id", "pos", "kind", "passed")
+    return with_verdict(near_pairs(spark, folder), "normal", "near", LOOSE).select("doc_id", "pos", "passed")
+
+
+@query("faithful_kinds")
+def faithful_kinds(spark, folder):
+    """The whole strict gate on all kinds of candidates; some ratios have no SQL form."""
+    return with_verdict(candidates(spark, folder), "normal", "candidate", STRICT).select("doc_id", "pos", "kind", "passed")
 
 
 @query("gate_reasons", f"""WITH {sql.CANDIDATES}, judged AS (
@@ -82,8 +91,7 @@ def gate_reasons(spark, folder):
 SELECT source, reason, count(*) AS sentences FROM judged GROUP BY source, reason""")
 def gate_reasons_whole(spark, folder):
     """Reasons of the strict gate on clauses, similarity included, per document source."""
-    gate = replace(STRICT, skip_frequent=False)
-    judged = with_reason(pairs(spark, folder), "normal", "clause", gate)
+    judged = with_reason(pairs(spark, folder), "normal", "clause", STRICT)
     return judged.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("sentences"))
 
 
@@ -95,7 +103,7 @@ def simpler(spark, folder):
 @query("mostly_copy", f"""WITH {sql.PAIRS} SELECT doc_id, pos, {sql.strip('clause')} = '' OR {sql.strip('lower(clause)')} = {sql.strip('lower(normal)')}
   OR {sql.bound('normal', 'clause')} >= 0.985::DOUBLE AS copied FROM pairs""")
 def copies(spark, folder):
-    copied = mostly_copy(F.col("normal"), F.col("clause"), skip_frequent=False)
+    copied = mostly_copy(F.col("normal"), F.col("clause"))
     return _clauses(spark, folder).select("doc_id", "pos", copied.alias("copied"))
 
 

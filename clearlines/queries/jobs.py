@@ -25,36 +25,67 @@ from clearlines.streaming.documents import simplify_stream
 TRIAL = heuristic(TRIAL_LEXICON)
 
 
-# --- stand-in models (module-level functions that close over nothing) -------------------
+# --- stand-in models (they travel by value; each attempt's prompt tells it which attempt it is) ---
 
-def shortening_model():
-    """Answers a prompt with a start of its sentence, a shorter one at each kind of prompt."""
+def reader():
+    """A function that takes a prompt apart: the number of the attempt, and the sentence."""
+    templates = [(number, *template.split("{text}")) for number, template in (
+        (1, fixed.STANDARD_PROMPT), (2, fixed.RETRY_PROMPT), (1, fixed.QUANTISED_PROMPT),
+        (2, fixed.QUANTISED_RETRY_PROMPT), (3, fixed.QUANTISED_LAST_PROMPT), (1, fixed.MERGED_PROMPT))]
+
+    def read(prompt):
+        for number, before, after in templates:
+            if prompt.startswith(before) and prompt.endswith(after):
+                return number, prompt[len(before):len(prompt) - len(after)]
+        raise ValueError("no known prompt")
+
+    return read
+
+
+def answering(answer):
+    """A model that gives ``answer(attempt, sentence)`` to each prompt."""
+    def build():
+        read = reader()
+        return lambda prompts, budgets: [answer(*read(p)) for p in prompts]
+
+    return build
+
+
+def shorter(attempt, sentence):
+    """A start of the sentence, a shorter one at each attempt."""
     import re
 
-    kinds = (("### Input:\n", "\n\n### Response:", None), ("Input: ", "\nOutput:\n", None),
-             ("Sentence: ", "\nSimple:\n", 6), ("Sentence: ", "\nPlain English:\n", 3))
+    if attempt == 1:
+        return re.match(r"[^,;:]*", sentence).group(0)
+    return re.match(r"\S+(?:\s+\S+){0,%d}" % (5 if attempt == 2 else 2), sentence).group(0)
+
+
+def failing(attempt, sentence):
+    """The same, but some calls fail: by the sentence's length, at the first attempt or at all of them."""
+    if len(sentence) % 11 == 0 or (attempt == 1 and len(sentence) % 7 == 0):
+        raise RuntimeError("no answer")
+    return shorter(attempt, sentence)
 
-    def answer(prompt):
-        for before, after, n_words in kinds:
-            if after in prompt:
-                sentence = prompt.rsplit(after, 1)[0].split(before, 2)[-1] if before != "Input: " else \
-                    prompt.rsplit(after, 1)[0].rsplit("Now simplify:\n\nInput: ", 1)[-1]
-                break
-        if "easier words" in prompt:
-            n_words = 6
-        if n_words is None:
-            return re.match(r"[^,;:]*", sentence).group(0)
-        return re.match(r"\S+(?:\s+\S+){0,%d}" % (n_words - 1), sentence).group(0)
 
-    return lambda prompts, budgets: [answer(p) for p in prompts]
+def nearly(attempt, sentence):
+    """A near copy at the first attempt, then starts of the sentence."""
+    if attempt > 1:
+        return shorter(attempt, sentence)
+    half = (len(sentence) + 1) // 2
+    strange = max(1, int(len(sentence) * NEAR[len(sentence) % len(NEAR)] + 0.5))
+    return sentence[:half] + STRANGE * strange + sentence[half:]
+
+
+#: Well away from the gates' limits, for line feeds and runs of spaces inside a sentence are lost on the way.
+NEAR = [sql.near_size(r) for r in (0.80, 0.86, 0.99, 0.995)]
+STRANGE = sql.STRANGE
+shortening_model, failing_model, near_model = answering(shorter), answering(failing), answering(nearly)
 
 
 def echo_model():
     """Echoes the prompt and the sentence after it, as a model without training would."""
-    def answer(prompt):
-        return prompt + prompt.split("### Input:\n", 1)[-1].rsplit("\n\n### Response:", 1)[0]
-
-    return lambda prompts, budgets: [answer(p) for p in prompts]
+    read = reader()
+    return lambda prompts, budgets: [p + read(p)[1] for p in prompts]
 
 
 def echo_translator():
@@ -63,13 +94,38 @@ def echo_translator():
 
 # --- sources -----------------------------------------------------------------------------
 
-@query("read_pairs", f"WITH {sql.PAIRS} SELECT nullif(normal, '') AS normal, nullif(simple, '') AS simple FROM pairs")
+_PAIR_KEY = (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("pair_id")
+
+
+def _as_csv(df):
+    return df.select(_PAIR_KEY, F.col("normal").alias("Normal"), F.col("simple").alias("Simple"))
+
+
+@query("read_pairs", f"""WITH {sql.PAIRS} SELECT doc_id * 1000000 + pos AS pair_id, nullif(normal, '') AS normal,
+  nullif(simple, '') AS simple FROM pairs""")
 def read_pairs(spark, folder):
-    """Pairs written as CSV and read again; the reader numbers the rows."""
+    """Pairs written as CSV and read again by their key."""
     path = Staging(spark).path("pairs_csv")
-    sources.write_csv(pairs(spark, folder).select(F.col("normal").alias("Normal"), F.col("simple").alias("Simple")), path)
-    return sources.read_pairs(spark, path).select(F.nullif("normal", F.lit("")).alias("normal"),
-                                                  F.nullif("simple", F.lit("")).alias("simple"))
+    sources.write_csv(_as_csv(pairs(spark, folder)), path)
+    return sources.read_pairs(spark, path, key="pair_id").select(
+        "pair_id", F.nullif("normal", F.lit("")).alias("normal"), F.nullif("simple", F.lit("")).alias("simple"))
+
+
+_SPLITS = ("train", "validation", "test")
+
+
+@query("read_splits", f"""WITH {sql.PAIRS}, named AS (SELECT ['train', 'validation', 'test'][1 + doc_id % 3] AS split, * FROM pairs)
+SELECT split, count(*) AS pairs, count(DISTINCT doc_id * 1000000 + pos) AS keys, count(nullif(simple, '')) AS simple,
+  sum(length(normal))::BIGINT AS characters FROM named GROUP BY split""")
+def read_splits(spark, folder):
+    """Three files, one for each split, read as one table."""
+    staging, whole = Staging(spark), pairs(spark, folder)
+    for i, name in enumerate(_SPLITS):
+        sources.write_csv(_as_csv(whole.where(F.col("doc_id") % 3 == i)), staging.path(name))
+    read = sources.read_splits(spark, {name: staging.path(name) for name in _SPLITS}, key="pair_id")
+    return read.groupBy("split").agg(
+        F.count(F.lit(1)).alias("pairs"), F.countDistinct("pair_id").alias("keys"),
+        F.count(F.nullif("simple", F.lit(""))).alias("simple"), F.sum(F.length("normal")).alias("characters"))
 
 
 @query("split_counts", """SELECT CASE quality WHEN 1 THEN 'train' WHEN 0 THEN 'validation' ELSE 'test' END AS split,
@@ -87,12 +143,28 @@ def first_n(spark, folder):
     return sources.first_rows(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id", 100)
 
 
-@query("pad_tokens", f"""WITH {sql.PAIRS}, texts AS (SELECT doc_id, pos, {filled(fixed.TRAINING_TEXT, normal='normal', simple='simple')} AS t FROM pairs),
-tokens AS (SELECT doc_id, pos, regexp_extract_all(t, {sql.lit(sql.NOT_WS + '+')}) AS k FROM texts)
-SELECT doc_id, pos, repeat('<pad> ', greatest(256 - len(k), 0)) || array_to_string(k[1:256], ' ') AS tokens FROM tokens""")
+def _padded_sql(size: int) -> str:
+    return f"""WITH {sql.PAIRS}, texts AS (SELECT doc_id, pos, {filled(fixed.TRAINING_TEXT, normal='normal', simple='simple')} AS t FROM pairs),
+tokens AS (SELECT doc_id, pos, regexp_extract_all(t, {sql.lit(sql.NOT_WS + '+')}) AS k FROM texts),
+parts AS (SELECT doc_id, pos, k, unnest(range((len(k) + {size - 1}) // {size})) AS part FROM tokens),
+cut AS (SELECT doc_id, pos, part, k[part * {size} + 1:(part + 1) * {size}] AS k FROM parts)
+SELECT doc_id, pos, part, repeat('<pad> ', {size} - len(k)) || array_to_string(k, ' ') AS tokens FROM cut"""
+
+
+def _padded(spark, folder, size):
+    made = sources.training_tokens(pairs(spark, folder).select("doc_id", "pos", "normal", "simple"), default_tokens, "<pad>", size)
+    return made.select("doc_id", "pos", F.col("part").cast("bigint").alias("part"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("pad_tokens", _padded_sql(fixed.TRAINING_TOKENS))
 def pad_tokens(spark, folder):
-    made = sources.training_tokens(pairs(spark, folder).select("doc_id", "pos", "normal", "simple"), default_tokens, "<pad>")
-    return made.select("doc_id", "pos", F.array_join("tokens", " ").alias("tokens"))
+    return _padded(spark, folder, fixed.TRAINING_TOKENS)
+
+
+@query("pad_tokens_parts", _padded_sql(48))
+def pad_tokens_parts(spark, folder):
+    """The same with few tokens a row, so that many texts go on in further rows."""
+    return _padded(spark, folder, 48)
 
 
 @query("predictions_round_trip", f"""WITH {sql.SYSTEMS} SELECT system, count(*) AS sentences,
@@ -151,8 +223,6 @@ def _sentences(spark, folder):
     return sentences(spark, folder).select("doc_id", "pos", "sentence")
 
 
-
-
 def _decoded(x: str) -> str:
     """What decoding leaves of a model output without markers."""
     return sql.collapse(sql.first_sentence(cut(sql.strip(x))))
@@ -180,12 +250,10 @@ def generate_identity(spark, folder):
 @query("ungated", f"""WITH {sql.SENTENCES}, tried AS (SELECT doc_id, pos, sentence, {sql.clean(sql.first_sentence(sql.clause('sentence')))} AS t FROM sentences)
 SELECT doc_id, pos, CASE WHEN t <> '' THEN t ELSE {sql.clean('sentence')} END AS simplified FROM tried""")
 def ungated(spark, folder):
-    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), UNGATED).drop("sentence", "error")
+    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), UNGATED).drop("sentence", "error", "failed_calls")
 
 
 # The stand-in model's tries are starts of the sentence, so every similarity has a closed form.
-TWO_WHOLE = replace(TWO, gate=replace(TWO.gate, skip_frequent=False))
-THREE_WHOLE = replace(THREE, gate=replace(THREE.gate, skip_frequent=False))
 _TRY = {1: _decoded(sql.clause("sentence")), 2: _decoded(sql.first_words("sentence", 6))}
 
 
@@ -209,14 +277,8 @@ laddered AS (SELECT doc_id, pos, {sql.clean('t', collapsed=False)} AS simplified
 
 @query("ladder_two", f"WITH {sql.SENTENCES}, {_TWO_SQL} SELECT doc_id, pos, simplified FROM laddered")
 def ladder_two(spark, folder):
-    """Two attempts by a model, each written once, similarity with frequent characters counted."""
-    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), TWO_WHOLE).drop("sentence", "error")
-
-
-@query("ladder_two_default")
-def ladder_two_default(spark, folder):
-    """The same with ``difflib``'s default rule, which has no SQL form."""
-    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), TWO).drop("sentence", "error")
+    """Two attempts by a model, each written once."""
+    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), TWO).drop("sentence", "error", "failed_calls")
 
 
 def _usable(clean: str, t: str) -> str:
@@ -243,12 +305,79 @@ laddered AS (SELECT doc_id, pos, CASE WHEN ok1 THEN c1 WHEN ok2 THEN c2 WHEN ok3
 @query("ladder_three", f"WITH {sql.SENTENCES}, {_THREE_SQL} SELECT doc_id, pos, simplified FROM laddered")
 def ladder_three(spark, folder):
     """Three attempts, the simplest usable try, the rules as a last resort."""
-    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), THREE_WHOLE).drop("sentence", "error")
+    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), THREE).drop("sentence", "error", "failed_calls")
+
+
+# The near model: a sentence with strange characters in its middle, decoded (first sentence, one line).
+_HALF = "(length(sentence) + 1) // 2"
+_NEARLY = (f"(left(sentence, {_HALF}) || repeat('{STRANGE}', greatest(1, floor(length(sentence) * "
+           f"[{', '.join(f'{n!r}::DOUBLE' for n in NEAR)}][1 + length(sentence) % {len(NEAR)}] + 0.5))::BIGINT) || substr(sentence, {_HALF} + 1))")
 
 
-@query("ladder_three_default")
+def _near_ratio(t: str) -> str:
+    return sql.near_ratio("sentence", t)
+
+
+@query("ladder_two_default", f"""WITH {sql.SENTENCES}, tried AS (SELECT doc_id, pos, sentence, {_decoded(_NEARLY)} AS t1, {_TRY[2]} AS t2 FROM sentences),
+judged AS (SELECT *, {_passes('t1', _near_ratio('t1'), False)} AS ok1, {_passes('t2', _start_ratio('t2'), False)} AS ok2 FROM tried),
+two AS (SELECT doc_id, pos, CASE WHEN ok1 THEN t1 WHEN ok2 THEN t2 WHEN length(t1) <= length(t2) THEN t1 ELSE t2 END AS t FROM judged)
+SELECT doc_id, pos, {sql.clean('t', collapsed=False)} AS simplified FROM two""")
+def ladder_two_default(spark, folder):
+    """Near copies at the first attempt, so that the gate must ask ``difflib``."""
+    done = run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(near_model), TWO)
+    return done.select("doc_id", "pos", "simplified")
+
+
+def _best_usable(names: str) -> str:
+    u = [f"u{i}" for i in names]
+    return "\n".join(f"WHEN {a} IS NOT NULL" + "".join(f" AND length({a}) <= coalesce(length({b}), 1000000)" for b in u[i + 1:])
+                     + f" THEN {a}" for i, a in enumerate(u))
+
+
+_N3 = {1: _decoded_quantised(_NEARLY), 2: _T3[2], 3: _T3[3]}
+_NEAR_USABLE = ("c1 <> '' AND " + _near_ratio("c1") + f" < 0.95::DOUBLE AND {sql.simpler('sentence', 'c1')}")
+
+
+@query("ladder_three_default", f"""WITH {sql.SENTENCES}, tried AS (SELECT doc_id, pos, sentence, {', '.join(f'{t} AS t{i}' for i, t in _N3.items())} FROM sentences),
+cleaned AS (SELECT *, {', '.join(f"{sql.clean(f't{i}')} AS c{i}" for i in _N3)} FROM tried),
+judged AS (SELECT *, {_passes('t1', _near_ratio('t1'), True)} AS ok1, {_passes('t2', _start_ratio('t2'), True)} AS ok2,
+  {_passes('t3', _start_ratio('t3'), True)} AS ok3, CASE WHEN {_NEAR_USABLE} THEN c1 END AS u1,
+  {', '.join(f"CASE WHEN {_usable(f'c{i}', f't{i}')} THEN c{i} END AS u{i}" for i in (2, 3))} FROM cleaned)
+SELECT doc_id, pos, CASE WHEN ok1 THEN c1 WHEN ok2 THEN c2 WHEN ok3 THEN c3 {_best_usable('123')}
+  ELSE {sql.heuristic('sentence', fixed.LEXICON)} END AS simplified FROM judged""")
 def ladder_three_default(spark, folder):
-    return run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), THREE).drop("sentence", "error")
+    done = run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(near_model), THREE)
+    return done.select("doc_id", "pos", "simplified")
+
+
+_FAILS = "length(sentence) % 11 = 0"
+_FAILS_1 = f"({_FAILS} OR length(sentence) % 7 = 0)"
+_FAILING_SQL = f"""WITH {sql.SENTENCES}, tried AS (SELECT doc_id, pos, sentence,
+  CASE WHEN NOT {_FAILS_1} THEN {_TRY[1]} END AS t1, CASE WHEN NOT {_FAILS} THEN {_TRY[2]} END AS t2,
+  {', '.join(f"CASE WHEN NOT {_FAILS_1 if i == 1 else _FAILS} THEN {t} END AS q{i}" for i, t in _T3.items())},
+  CASE WHEN NOT {_FAILS_1} THEN {sql.clean(sql.first_sentence(sql.clause('sentence')))} END AS g FROM sentences),
+cleaned AS (SELECT *, {', '.join(f"{sql.clean(f'q{i}')} AS c{i}" for i in _T3)} FROM tried),
+judged AS (SELECT *, t1 IS NOT NULL AND {_passes('t1', _start_ratio('t1'), False)} AS ok1,
+  t2 IS NOT NULL AND {_passes('t2', _start_ratio('t2'), False)} AS ok2,
+  {', '.join(f"q{i} IS NOT NULL AND {_passes(f'q{i}', _start_ratio(f'q{i}'), True)} AS fine{i}" for i in _T3)},
+  {', '.join(f"CASE WHEN {_usable(f'c{i}', f'q{i}')} THEN c{i} END AS u{i}" for i in _T3)} FROM cleaned),
+two AS (SELECT *, CASE WHEN ok1 THEN t1 WHEN ok2 THEN t2 WHEN t2 IS NULL THEN coalesce(t1, sentence)
+  WHEN length(t1) <= length(t2) THEN t1 ELSE t2 END AS t FROM judged)
+SELECT 'two' AS ladder, doc_id, pos, {sql.clean('t', collapsed=False)} AS simplified,
+  {_FAILS_1}::BIGINT + (NOT ok1 AND {_FAILS})::BIGINT AS failed_calls FROM two
+UNION ALL SELECT 'three', doc_id, pos, CASE WHEN fine1 THEN c1 WHEN fine2 THEN c2 WHEN fine3 THEN c3 {_best_usable('123')}
+  ELSE {sql.heuristic('sentence', fixed.LEXICON)} END,
+  {_FAILS_1}::BIGINT + (NOT fine1 AND {_FAILS})::BIGINT + (NOT fine1 AND NOT fine2 AND {_FAILS})::BIGINT FROM judged
+UNION ALL SELECT 'ungated', doc_id, pos, CASE WHEN g <> '' THEN g ELSE {sql.clean('sentence')} END, {_FAILS_1}::BIGINT FROM judged"""
+
+
+@query("ladder_failing_calls", _FAILING_SQL)
+def ladder_failing_calls(spark, folder):
+    """A model some of whose calls fail: every sentence stays, and every failed call is counted."""
+    done = [run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(failing_model), ladder)
+            .select(F.lit(name).alias("ladder"), "doc_id", "pos", "simplified", "failed_calls")
+            for name, ladder in (("two", TWO), ("three", THREE), ("ungated", UNGATED))]
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 @query("simplify_model", f"""WITH {sql.SENTENCES}, {_TWO_SQL}, {_joined('simplified', 'laddered')}, counted AS (
@@ -257,7 +386,7 @@ SELECT joined.doc_id, simplified, coalesce(n, 0) AS sentences, 0::BIGINT AS fail
 def simplify_model(spark, folder):
     """Documents through the two-attempt ladder and back."""
     docs = documents(spark, folder).select("doc_id", "text")
-    return simplify(docs, generator=Generator(shortening_model), ladder=TWO_WHOLE).drop("text")
+    return simplify(docs, generator=Generator(shortening_model), ladder=TWO).drop("text")
 
 
 # --- translating --------------------------------------------------------------------------------
@@ -283,6 +412,15 @@ def both_stages(spark, folder):
     return done.select("doc_id", "language", "translated")
 
 
+@query("simplify_model_and_translate", f"""WITH {sql.SENTENCES}, {_TWO_SQL}, {_joined('simplified', 'laddered')}, {_TWO_LANGUAGES}
+SELECT doc_id, language, {clean_translation_sql('t')} AS translated FROM tagged""")
+def both_stages_by_models(spark, folder):
+    """A gated model, its results written, and a translator that is asked once for each text."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    done = simplify_and_translate(docs, echo_translator, ["Tamil", "Latin"], generator=Generator(shortening_model), ladder=TWO)
+    return done.select("doc_id", "language", "translated")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 def _stream(spark, folder, name):
@@ -306,5 +444,5 @@ def stream_by_model(spark, folder):
     """The documents as a stream through the two-attempt ladder, batch by batch."""
     staging = Staging(spark)
     docs = _stream(spark, folder, "documents").select("doc_id", "text")
-    simplify_stream(docs, staging.path("out"), staging.path("state"), Generator(shortening_model), TWO_WHOLE).awaitTermination()
+    simplify_stream(docs, staging.path("out"), staging.path("state"), Generator(shortening_model), TWO).awaitTermination()
     return spark.read.parquet(staging.path("out")).select("doc_id", "simplified")

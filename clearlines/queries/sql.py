@@ -7,7 +7,17 @@ than in Spark.
 from __future__ import annotations
 
 from clearlines import fixed
-from clearlines.queries.data import TRIAL_LEXICON
+
+# The prose of the test tables is invented, so these common words stand in for hard ones.
+TRIAL_LEXICON = {
+    **fixed.LEXICON,
+    "and": "plus",
+    "thing": "item",
+    "in the": "inside",
+    "of": "from",
+    "und": "sowie",
+    "de la": "della",
+}
 
 WS, NOT_WS = fixed.WS, fixed.NOT_WS
 
@@ -169,6 +179,30 @@ CANDIDATES = f"""{PAIRS}, candidates AS (
   UNION ALL SELECT doc_id, pos, 'same', normal, ' ' || lower(normal) FROM pairs
   UNION ALL SELECT doc_id, pos, 'blank', normal, ' ' FROM pairs)"""
 
+# A near copy: the sentence with m strange characters put into its middle. Neither text holds the other, and all n
+# characters of the sentence match, so the ratio is 2n / (2n + m). m brings it to one of NEAR_RATIOS.
+STRANGE = "\u2400"
+NEAR_RATIOS = (0.90, 0.935, 0.945, 0.96, 0.965, 0.975, 0.98, 0.99)
+
+
+def near_size(ratio: float) -> float:
+    """Strange characters per character of the sentence."""
+    return 2 * (1 / ratio - 1)
+
+
+NEAR = f"""{PAIRS}, near AS (
+  SELECT *, (length(normal) + 1) // 2 AS half, [{', '.join(f'{near_size(r)!r}::DOUBLE' for r in NEAR_RATIOS)}][1 + (doc_id + pos) % 8] AS size
+  FROM pairs), near_pairs AS (
+  SELECT doc_id, pos, source, normal, clause, simple,
+    left(normal, half) || repeat('{STRANGE}', greatest(1, floor(length(normal) * size + 0.5))::BIGINT) || substr(normal, half + 1) AS near
+  FROM near)"""
+
+
+def near_ratio(a: str, b: str) -> str:
+    """The similarity ratio of a sentence and a near copy of it, or of a part of one from its start."""
+    return f"(2.0::DOUBLE * length(replace({b}, '{STRANGE}', '')) / (length({a}) + length({b})))"
+
+
 REQUESTS = """requests AS (
   SELECT user_id AS session, CASE WHEN event_type IN ('signup', 'purchase') THEN 'translate' ELSE 'simplify' END AS stage,
     ts, event_id AS id, value AS seconds, CAST(json_extract_string(props, '$.k') AS INTEGER) AS words FROM events)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clearlines import fixed
 from clearlines.functions import languages, prompts, readability, rewrite, similarity, terms, text
 from clearlines.queries import sql
-from clearlines.queries.data import TRIAL_LEXICON, clause, documents, pairs, sentences, table
+from clearlines.queries.data import TRIAL_LEXICON, clause, documents, near_pairs, pairs, sentences, table
 from clearlines.queries.registry import query
 
 
@@ -243,12 +243,12 @@ def similarity_bounds(spark, folder):
 @query("similarity_whole", f"""WITH {sql.PAIRS} SELECT doc_id, pos, round({sql.bound('normal', 'clause')}, 6) AS ratio FROM pairs""")
 def similarity_whole(spark, folder):
     """Ratio of sentence and clause with frequent characters counted (one contains the other)."""
-    ratio = similarity.similarity_ratio(F.col("normal"), F.col("clause"), skip_frequent=False)
+    ratio = similarity.similarity_ratio(F.col("normal"), F.col("clause"))
     return pairs(spark, folder).select("doc_id", "pos", F.round(ratio, 6).alias("ratio"))
 
 
-@query("similarity_ratio")
+@query("similarity_ratio", f"WITH {sql.NEAR} SELECT doc_id, pos, round({sql.near_ratio('normal', 'near')}, 9) AS ratio FROM near_pairs")
 def similarity_ratio(spark, folder):
-    """Ratio of sentence and short-word version; ``difflib`` has no SQL form."""
-    ratio = similarity.similarity_ratio(F.col("normal"), F.col("simple"))
-    return pairs(spark, folder).select("doc_id", "pos", ratio.alias("ratio"))
+    """Ratio of a sentence and a near copy: neither holds the other, so each pair is asked of ``difflib``."""
+    ratio = similarity.similarity_ratio(F.col("normal"), F.col("near"))
+    return near_pairs(spark, folder).select("doc_id", "pos", F.round(ratio, 9).alias("ratio"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from clearlines import fixed
-from clearlines.functions.prompts import pad_tokens, training_text
+from clearlines.functions.prompts import pad_tokens, token_parts, training_text
 
 PAIR_SCHEMA = StructType([StructField("Normal", StringType()), StructField("Simple", StringType())])
 
@@ -106,8 +106,10 @@ def write_report(rows: DataFrame, path: str) -> None:
 def training_tokens(pairs: DataFrame, tokenizer, pad, size: int = fixed.TRAINING_TOKENS, side: str = "left") -> DataFrame:
     """Padded token arrays of the training texts; the text columns are dropped.
 
+    A text of more than ``size`` tokens goes on in further rows (``part`` 0, 1, ...): none is lost.
     ``tokenizer`` maps a text column to an array column (an Arrow UDF, say), ``pad`` is the padding value.
     """
     texts = pairs.withColumn("text", training_text(F.col("normal"), F.col("simple"))).drop("normal", "simple")
-    tokens = texts.withColumn("tokens", tokenizer(F.col("text")))
+    parts = F.posexplode(token_parts(tokenizer(F.col("text")), size)).alias("part", "tokens")
+    tokens = texts.select(*texts.columns, parts)
     return tokens.withColumn("tokens", pad_tokens(F.col("tokens"), F.lit(pad), size, side)).drop("text")

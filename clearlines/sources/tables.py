@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
-    """Shuffle a scan by key only when it has fewer partitions than there are cores.
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Shuffle by key into ``partitions`` tasks if that is asked for.
 
     Text work costs far more per byte than reading, and a small file (or one of a single row
-    group) is one task. A large table has tasks enough and is left as it is.
+    group) is one task. The splits of a large table are tasks enough: leave it as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * per_core, key)
+    return df.repartition(partitions, key) if partitions else df

@@ -36,6 +36,7 @@ def simplify_stream(docs: DataFrame, output: str, checkpoint: str, generator: Ge
         staging = Staging(batch.sparkSession)
         done = simplify(batch, key, text, generator, ladder or TWO, staging, partitions)
         done.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        staging.close()
 
     return (docs.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())

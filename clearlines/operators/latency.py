@@ -1,8 +1,8 @@
 """Waiting-time estimates from the trailing timings of a session.
 
 The trailing mean is a row window. Spark gives each window group to one task, which a hot
-session would overload, so hot groups are cut into consecutive chunks by a range
-partitioning; each chunk borrows the few rows before it from its predecessors.
+session would overload, so all rows are cut into consecutive chunks by a range partitioning;
+each chunk borrows the few rows before it from its predecessors. One plan serves all sizes.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from clearlines import fixed
 from clearlines.functions.text import word_count
 from clearlines.plans.staging import Staging
 
-HOT_ROWS = 1_000_000
-
 
 def _windowed(df: DataFrame, groups: list[str], order: list[str], values: list[str], rows: int) -> DataFrame:
     before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(-rows, -1)
@@ -24,14 +22,22 @@ def _windowed(df: DataFrame, groups: list[str], order: list[str], values: list[s
     return df.withColumn("history", F.count(F.lit(1)).over(before))
 
 
-def _chunked(df: DataFrame, keys: list[str], order: list[str], values: list[str], rows: int,
-             chunks: int, staging: Staging) -> DataFrame:
+def trailing_mean(df: DataFrame, keys: list[str], order: list[str], values: list[str], rows: int = fixed.HISTORY,
+                  chunks: int | None = None, staging: Staging | None = None) -> DataFrame:
+    """Add ``<value>_mean`` and ``history`` over the ``rows`` rows before each row of its group.
+
+    ``order`` must be unique within a group. All rows are cut into ``chunks`` consecutive ranges of
+    (keys, order), by default as many as there are shuffle partitions; a large group spans several.
+    """
+    spark = df.sparkSession
+    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(chunks, *keys, *order).withColumn("_chunk", F.spark_partition_id())
-    ranged = staging.write(ranged, "chunks")  # the sampled bounds must stay what they are
+    ranged = (staging or Staging(spark)).part("trailing").write(ranged, "chunks")  # the sampled bounds must stay what they are
     latest_first = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
     tails = (ranged.withColumn("_rank", F.row_number().over(latest_first)).where(F.col("_rank") <= rows)
              .groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(*order, *values)).alias("_tail")))
-    # each chunk of a key holds a row at least, so `rows` chunks back hold all rows needed
+    # each chunk of a key holds a row at least, so `rows` chunks back hold all rows needed; a key has
+    # no more rows here than there are chunks
     back = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-rows, -1)
     borrowed = (tails.withColumn("_before", F.flatten(F.collect_list("_tail").over(back)))
                 .select(*keys, "_chunk", F.explode("_before").alias("_row"))
@@ -40,30 +46,6 @@ def _chunked(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     return _windowed(both, [*keys, "_chunk"], order, values, rows).where(~F.col("_lent")).drop("_lent", "_chunk")
 
 
-def trailing_mean(df: DataFrame, keys: list[str], order: list[str], values: list[str], rows: int = fixed.HISTORY,
-                  hot_rows: int = HOT_ROWS, chunk_rows: int | None = None, staging: Staging | None = None) -> DataFrame:
-    """Add ``<value>_mean`` and ``history`` over the ``rows`` rows before each row of its group.
-
-    ``order`` must be unique within a group. Groups of more than ``hot_rows`` rows are
-    processed in chunks of about ``chunk_rows`` (by default the same number); there are at
-    most rows / hot_rows such groups.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    total, groups = sizes.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    if not groups:
-        return _windowed(df, keys, order, values, rows)
-    hot = F.broadcast(sizes.select(*keys))  # bounded by rows / hot_rows
-    same = [df[k].eqNullSafe(hot[k]) for k in keys]
-    condition = same[0]
-    for test in same[1:]:
-        condition = condition & test
-    cold_part = _windowed(df.join(hot, condition, "left_anti"), keys, order, values, rows)
-    chunks = int(total // (chunk_rows or hot_rows)) + 1
-    hot_part = _chunked(df.join(hot, condition, "left_semi"), keys, order, values, rows, chunks,
-                        staging or Staging(df.sparkSession))
-    return cold_part.unionByName(hot_part)
-
-
 def fallback(words: Column, stage: str) -> Column:
     """Estimate by length alone."""
     cap, start, per_word = fixed.ETA_FALLBACK[stage]

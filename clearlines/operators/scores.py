@@ -13,10 +13,12 @@ from clearlines import fixed
 from clearlines.functions.readability import fkgl, fre, text_counts
 from clearlines.functions.sari import with_sari
 from clearlines.functions.similarity import is_copy
-from clearlines.functions.text import word_count
+from clearlines.functions.rewrite import strip_the as without_the
+from clearlines.functions.text import empty_fallback, word_count
 
 METRICS = ("samples", "copy_count", "copy_rate", "length_ratio", "source_fkgl", "predicted_fkgl",
            "source_fre", "predicted_fre", "sari")
+F1_METRICS = ("f1_reference", "f1_source")
 
 
 def align(pairs: DataFrame, predictions: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -52,8 +54,19 @@ def with_scores(df: DataFrame, source: str = "normal", prediction: str = "predic
 
 
 def score_systems(df: DataFrame, system: str = "system", source: str = "normal", prediction: str = "predicted",
-                  reference: str = "simple", tokenizer: str = "13a", skip_frequent: bool = False) -> DataFrame:
-    """One row per system with all scores; pairs with a missing text are left out and counted."""
+                  reference: str = "simple", tokenizer: str = "13a", skip_frequent: bool = False,
+                  empty_to_source: bool = False, strip_the: bool = False, f1: DataFrame | None = None) -> DataFrame:
+    """One row per system with all scores; pairs with a missing text are left out and counted.
+
+    ``empty_to_source`` takes the source for a blank prediction. ``strip_the`` then drops each
+    "the " from predictions that are nearly their source. ``f1`` is a table (system, f1_reference,
+    f1_source), whose columns join the scores; systems without vectors have NULLs.
+    """
+    if empty_to_source:
+        df = df.withColumn(prediction, empty_fallback(F.col(prediction), F.col(source)))
+    if strip_the:
+        near = is_copy(F.lower(F.col(source)), F.lower(F.col(prediction)), fixed.COPY_RATIO, skip_frequent)
+        df = df.withColumn(prediction, without_the(F.col(prediction), F.coalesce(near, F.lit(False))))
     whole = F.col(source).isNotNull() & F.col(prediction).isNotNull() & F.col(reference).isNotNull()
     scored = with_scores(df.select(system, source, prediction, reference), source, prediction, reference,
                          tokenizer, skip_frequent)
@@ -61,7 +74,7 @@ def score_systems(df: DataFrame, system: str = "system", source: str = "normal",
     def mean(value: Column) -> Column:
         return F.avg(F.when(whole, value))
 
-    return scored.groupBy(system).agg(
+    summed = scored.groupBy(system).agg(
         F.count(F.when(whole, 1)).alias("samples"),
         F.count(F.when(~whole, 1)).alias("incomplete"),
         F.count(F.when(whole & F.col("copied"), 1)).alias("copy_count"),
@@ -69,10 +82,12 @@ def score_systems(df: DataFrame, system: str = "system", source: str = "normal",
         *[mean(F.col(m)).alias(m) for m in METRICS[3:-1]],
         (mean(F.col("sari")["score"]) * 100).alias("sari"),
     )
+    return summed if f1 is None else summed.join(f1.select(system, *F1_METRICS), system, "left")
 
 
 def metric_rows(scores: DataFrame, system: str = "system", metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """One row (system, metric, value) per score."""
+    """One row (system, metric, value) per score; those with F1 columns give them too."""
+    metrics = metrics + tuple(m for m in F1_METRICS if m in scores.columns and m not in metrics)
     doubles = [F.col(m).cast("double").alias(m) for m in metrics]
     return scores.select(system, *doubles).unpivot([system], list(metrics), "metric", "value")
 

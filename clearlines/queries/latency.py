@@ -33,8 +33,8 @@ def trailing(spark, folder):
 
 @query("latency_trailing_hot", _TRAILING_SQL)
 def trailing_hot(spark, folder):
-    """The same with a low limit for hot groups, so that most pass through shared chunks."""
-    return _means(_trailing(spark, folder, hot_rows=30, chunk_rows=1000))
+    """The same in many chunks, so that most sessions span several."""
+    return _means(_trailing(spark, folder, chunks=97))
 
 
 _ETA = f"""{_TRAILING}, guessed AS (SELECT *, CASE stage WHEN 'simplify' THEN least(240.0::DOUBLE, 25.0::DOUBLE + 0.45::DOUBLE * words)

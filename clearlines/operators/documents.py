@@ -37,14 +37,10 @@ def join_sentences(parts: DataFrame, keys: list[str], text: str, pos: str = "pos
     """Per document its sentences in order, joined by one space.
 
     A group holds the sentences of one row of the document table, never more than that.
-    ``more`` are further aggregates over the sentences. Keys that are NULL, or that two rows share, are errors.
+    ``more`` are further aggregates over the sentences. A key that two rows share is an error.
     """
     whole = F.count(F.lit(1)) == F.max(pos) + 1
-    named = F.lit(True)
-    for k in keys:
-        named = named & F.col(k).isNotNull()
     in_order = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))))
     joined = F.array_join(F.transform(in_order, lambda s: s["text"]), " ")
     checked = F.when(whole, joined).otherwise(F.raise_error(F.lit("two documents have one key")))
-    checked = F.when(named, checked).otherwise(F.raise_error(F.lit("a document's key is NULL")))
     return parts.groupBy(*keys).agg(checked.alias(into), *more)

@@ -35,9 +35,10 @@ def simplify(df: DataFrame, key: str = "doc_id", text: str = "text", generator:
                             F.count(F.lit(1)).alias("sentences"), F.sum("failed_calls").alias("failed_calls"),
                             F.first("_mark").alias("_mark"))
     zero = F.lit(0).cast("bigint")
+    unnamed = F.raise_error(F.lit("a document's key is NULL"))
     own = (F.col("_mark").isNull() | (F.col("_mark") == F.xxhash64(text)))
     return (df.join(joined, key, "left")
-            .withColumn("simplified", F.when(own, F.coalesce(F.col("simplified"), F.col(text)))
+            .withColumn("simplified", F.when(F.col(key).isNull(), unnamed).when(own, F.coalesce(F.col("simplified"), F.col(text)))
                         .otherwise(F.raise_error(F.lit("two documents have one key")))).drop("_mark")
             .withColumn("sentences", F.coalesce(F.col("sentences"), zero))
             .withColumn("failed_calls", F.coalesce(F.col("failed_calls"), zero)))

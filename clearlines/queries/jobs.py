@@ -94,11 +94,9 @@ def echo_translator():
 
 # --- sources -----------------------------------------------------------------------------
 
-_PAIR_KEY = (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("pair_id")
-
-
 def _as_csv(df):
-    return df.select(_PAIR_KEY, F.col("normal").alias("Normal"), F.col("simple").alias("Simple"))
+    key = (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("pair_id")
+    return df.select(key, F.col("normal").alias("Normal"), F.col("simple").alias("Simple"))
 
 
 @query("read_pairs", f"""WITH {sql.PAIRS} SELECT doc_id * 1000000 + pos AS pair_id, nullif(normal, '') AS normal,

@@ -9,7 +9,7 @@ from clearlines.operators import scores
 from clearlines.operators.embedding_f1 import embedding_f1, mean_f1, vector_blocks
 from clearlines.plans.staging import Staging
 from clearlines.queries import sql
-from clearlines.queries.data import pairs, systems, table
+from clearlines.queries.data import near_pairs, pairs, systems, table
 from clearlines.queries.registry import query
 from clearlines.sources import pairs as sources
 
@@ -42,9 +42,17 @@ def copy_rate_whole(spark, folder):
         F.round(F.avg(F.col("copied").cast("double")), 6).alias("copy_rate"))
 
 
-@query("copy_rate")
+@query("copy_rate", f"""WITH {sql.NEAR} SELECT source, count(*) AS sentences,
+  count(*) FILTER ({sql.near_ratio('lower(normal)', 'lower(near)')} > 0.95::DOUBLE) AS copies FROM near_pairs GROUP BY source""")
 def copy_rate(spark, folder):
-    """Copy rate of the short-word version; ``difflib`` has no SQL form."""
+    """Copies among near copies, whose ratio ``difflib`` must work out."""
+    marked = scores.with_copy(near_pairs(spark, folder), prediction="near")
+    return marked.groupBy("source").agg(F.count(F.lit(1)).alias("sentences"), F.count(F.when(F.col("copied"), 1)).alias("copies"))
+
+
+@query("copy_rate_simple")
+def copy_rate_simple(spark, folder):
+    """Copy rate of the short-word version; its ratio has no SQL form."""
     marked = scores.with_copy(pairs(spark, folder), prediction="simple")
     return marked.groupBy("source").agg(F.avg(F.col("copied").cast("double")).alias("copy_rate"))
 

@@ -1,8 +1,11 @@
 """Ladders, documents, translation, sources, streams."""
 
+import glob
+import os
+import subprocess
+import sys
 from dataclasses import replace
 
-import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,36 +57,24 @@ CASES = {
 }
 
 
-def test_ladder_two(spark):
-    got = ladder_result(spark, TWO, CASES)
-    for s, tries in CASES.items():
-        assert got[s] == plain.ladder_two(s, tries[:2], TWO.gate), s
+REGARDING = "The committee reached a unanimous decision regarding infrastructure."
+ON = "The committee reached a unanimous decision on infrastructure."
 
-
-def test_ladder_three(spark):
-    got = ladder_result(spark, THREE, CASES)
-    for s, tries in CASES.items():
-        assert got[s] == plain.ladder_three(s, tries, THREE.gate, fixed.LEXICON), s
-
-
-def test_ungated(spark):
-    got = ladder_result(spark, UNGATED, CASES)
-    for s, tries in CASES.items():
-        assert got[s] == (plain.clean(plain.first_sentence(tries[0])) or plain.clean(s)), s
+#: What the cases become, in their order. Blank answers are answers: they are the shortest.
+AFTER = {
+    "two": [REGARDING, ON, "", "So yes to it.", "", "", "Word."],
+    "three": [REGARDING, ON, "The committee had deliberated, reached a unanimous decision on spending.", "So yes to it.",
+              "Fast growth of tools in this way is here.",
+              "A new and totally different sentence with extraordinarily complicated vocabulary.", "Word space and more of this."],
+    "ungated": [REGARDING, LONG, f"{LONG} B.", "They all got to say yes to it.", "Rapid growth of tools in this manner is here, said he.",
+                "No key up or in it.", "Word space and more of this."],
+}
 
 
-def test_default_ladders_on_documents(spark, folder):
-    """The registered default ladders against brute force, on all short enough sentences."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    sentences = [s for r in docs.collect() for s in plain.split(r.text) if len(s) < 400]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sentences)], "id long, sentence string")
-    call = shortening_model()
-    for ladder, function, more in ((TWO, plain.ladder_two, ()), (THREE, plain.ladder_three, (fixed.LEXICON,))):
-        rows = run_ladder(df, ["id"], Generator(shortening_model), ladder, partitions=4).collect()
-        assert len(rows) == len(sentences)
-        for r in rows:
-            tries = call([a.template.replace("{text}", r.sentence) for a in ladder.attempts], [])
-            assert r.simplified == function(r.sentence, tries, ladder.gate, *more), r
+@pytest.mark.parametrize("name, ladder", [("two", TWO), ("three", THREE), ("ungated", UNGATED)])
+def test_ladders(spark, name, ladder):
+    got = ladder_result(spark, ladder, CASES)
+    assert [got[s] for s in CASES] == AFTER[name]
 
 
 @pytest.mark.parametrize("ladder", [TWO, THREE, UNGATED])
@@ -127,9 +118,80 @@ def test_failing_calls_are_isolated(spark):
     df = spark.createDataFrame([(1, "All good now. A bad one. Good again.")], "doc_id long, text string")
     row = simplify(df, generator=Generator(build), ladder=UNGATED, partitions=1).first()
     assert row.simplified == "Fine answer. A bad one. Fine answer." and (row.sentences, row.failed_calls) == (3, 1)
-    short = spark.createDataFrame([("x", "Hindi"), (" ", "Hindi")], "t string, l string")
-    rows = translate(short, "t", "l", lambda: lambda texts, tag: []).collect()
-    assert "ValueError" in rows[0].translate_error and rows[0].translated == "" and rows[1].translate_error is None
+    short = spark.createDataFrame([("x", "Hindi"), ("\n ", "Hindi")], "t string, l string")
+    rows = {r.t: r for r in translate(short, "t", "l", lambda: lambda texts, tag: []).collect()}
+    assert "ValueError" in rows["x"].translate_error and rows["x"].translated == "x" and rows["\n "].translate_error is None
+
+
+def test_a_failed_call_never_costs_a_sentence(spark):
+    """First call fails, second candidate fails the gate; then both calls fail."""
+    def build():
+        def call(prompts, budgets):
+            if any("zeroth" in p and "easier words" not in p or "twain" in p for p in prompts):
+                raise RuntimeError("cannot")
+            return ["Seven new words that nobody asked for, 99" for _ in prompts]
+
+        return call
+
+    df = spark.createDataFrame([(1, "Fine words here. The zeroth of them fails entirely. Now the twain fail entirely.")], "doc_id long, text string")
+    row = simplify(df, generator=Generator(build), ladder=TWO, partitions=1).first()
+    assert row.simplified == ("Seven new words that nobody asked for, 99. Seven new words that nobody asked for, 99. "
+                              "Now the twain fail entirely.")
+    assert (row.sentences, row.failed_calls) == (3, 3)
+
+
+def test_failed_calls_of_rows_that_pass_later_count(spark):
+    def build():
+        def call(prompts, budgets):
+            if any("easier words" not in p for p in prompts):
+                raise RuntimeError("cannot")
+            return ["the committee reached a unanimous decision regarding infrastructure"] * len(prompts)
+
+        return call
+
+    df = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
+    row = simplify(df, generator=Generator(build), ladder=TWO, partitions=1).first()
+    assert row.simplified == "The committee reached a unanimous decision regarding infrastructure." and row.failed_calls == 1
+
+
+def test_two_runs_share_a_staging(spark):
+    staging = Staging(spark)
+    frames = [spark.createDataFrame([(1, f"{LONG} Run {i}.")], "doc_id long, text string") for i in (1, 2)]
+    done = [simplify(f, generator=Generator(shortening_model), ladder=TWO, staging=staging, partitions=1) for f in frames]
+    assert [d.first().simplified[-6:] for d in done] == ["Run 1.", "Run 2."]
+    staging.write(spark.range(3), "t")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        staging.write(spark.range(3), "t")
+    staging.close()
+    with pytest.raises(Exception):
+        done[0].collect()
+
+
+@pytest.mark.parametrize("rows", [[(None, "One. Two.")], [(1, "One. Two."), (1, "Three. Four.")], [(1, "One. Two."), (1, "")],
+                                  [(1, "One. Two."), (1, "Three.")]])
+def test_keys_must_name_one_document(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.raises(Exception, match="key"):
+        simplify(df, generator=IDENTITY, ladder=UNGATED).collect()
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """A session started from an empty folder, with nothing on the path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+from clearlines.queries import all_queries
+for name in ("generate_identity", "ladder_two", "translate_identity", "similarity_ratio"):
+    assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2000:]
 
 
 def test_model_is_loaded_on_the_worker_and_asked_once(spark, tmp_path):
@@ -138,16 +200,34 @@ def test_model_is_loaded_on_the_worker_and_asked_once(spark, tmp_path):
     def build():
         def call(prompts, budgets):
             with open(log, "a") as out:
-                out.write("x\n" * len(prompts))
+                out.writelines("2\n" if "easier words" in p else "1\n" for p in prompts)
             return [p.split("### Input:\n")[1].split("\n")[0].split(",")[0] for p in prompts]
 
         return call
 
     df = spark.createDataFrame([(i, f"{LONG} Number {i}." if i % 2 else "Plain words only.") for i in range(20)], "doc_id long, text string")
     done = simplify(df, generator=Generator(build), ladder=TWO, partitions=3)
-    done.collect(), done.count()
-    attempts = [len(plain.split(r.text)) for r in df.collect()]
-    assert len(open(log).read().split()) <= 2 * sum(attempts)
+    done.collect(), done.count(), done.collect()
+    # 10 documents of two sentences and 10 of one; no answer passes, for it is the sentence itself or two words of LONG
+    asked = open(log).read().split()
+    assert (asked.count("1"), asked.count("2")) == (30, 30)
+
+
+def test_translator_is_asked_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def build():
+        def call(texts, tag):
+            with open(log, "a") as out:
+                out.write("x\n" * len(texts))
+            return texts
+
+        return call
+
+    df = spark.createDataFrame([(i, "Some words." if i % 4 else "\t\n") for i in range(20)], "doc_id long, text string")
+    done = simplify_and_translate(df, build, ["Tamil", "Urdu"], generator=IDENTITY, ladder=UNGATED, partitions=3)
+    done.collect(), done.count(), done.collect()
+    assert len(open(log).read().split()) == 2 * 15
 
 
 def test_two_stages(spark):
@@ -165,23 +245,17 @@ class Session:
         self.sparkContext, self.master, self.known, self.named = self, master, known, named
         self.conf = self
 
-    def get(self, key, default):
-        return self.named if key == "spark.checkpoint.dir" else default
+    def get(self, key, default=None):
+        return {"spark.checkpoint.dir": self.named, "spark.sql.warehouse.dir": "hdfs://warehouse"}.get(key, default)
 
     def getCheckpointDir(self):
         return self.known
 
-    def setCheckpointDir(self, folder):
-        self.known = folder
-
 
 def test_shared_folder(spark):
     assert shared_folder(Session("hdfs://x/y/", "yarn")) == "hdfs://x/y"
     assert shared_folder(Session(None, "yarn", "hdfs://set")) == "hdfs://set"
-    own = Session(None, "local[2]")
-    assert shared_folder(own) == shared_folder(own) == own.known
-    with pytest.raises(ValueError):
-        shared_folder(Session(None, "yarn"))
+    assert shared_folder(Session(None, "yarn")) == "hdfs://warehouse/checkpoints"
     staging = Staging(spark, "run-of-test")
     assert staging.path("t").endswith("/clearlines/run-of-test/t") and staging.write(spark.range(5), "t").count() == 5
 
@@ -218,8 +292,8 @@ def test_report_appends(spark, tmp_path):
 
 def test_spread(spark):
     small = spark.range(10, numPartitions=1)
-    assert spread(small, "id").rdd.getNumPartitions() == 12
-    assert spread(spark.range(10, numPartitions=4), "id").rdd.getNumPartitions() == 4
+    assert spread(small, "id") is small
+    assert "hashpartitioning(id" in spread(small, "id", 12)._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("by_model", [False, True])
@@ -229,10 +303,13 @@ def test_stream_equals_batch(spark, folder, tmp_path, by_model):
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     generator = Generator(shortening_model) if by_model else HEURISTIC
     out = str(tmp_path / "out")
+    before = len(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/clearlines/*/ladder-*/attempt_*"))
     simplify_stream(stream, out, str(tmp_path / "state"), generator, TWO if by_model else None, partitions=2).awaitTermination()
     docs = spark.read.parquet(str(tmp_path / "in"))
     batch = simplify(docs, generator=generator, ladder=TWO) if by_model else simplify_by_rule(docs)
     got = {r.doc_id: r.simplified for r in spark.read.parquet(out).collect()}
+    left = glob.glob(f"{shared_folder(spark).removeprefix('file:')}/clearlines/*/ladder-*/attempt_*")
+    assert len(left) == before + (2 if by_model else 0)  # the micro-batches' stages are gone, those of `batch` are there
     assert got == {r.doc_id: r.simplified for r in batch.collect()} and len(got) == 30
 
 

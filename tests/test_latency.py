@@ -30,12 +30,11 @@ def brute(rows, size=20):
     return out
 
 
-@pytest.mark.parametrize("hot_rows, chunk_rows", [(10**6, None), (100, 7), (1, 40), (50, 3)])
-def test_trailing_mean(spark, hot_rows, chunk_rows):
+@pytest.mark.parametrize("chunks", [None, 1, 13, 150])
+def test_trailing_mean(spark, chunks):
     rows = timings()
     df = spark.createDataFrame(rows, SCHEMA)
-    got = latency.trailing_mean(df, ["session", "stage"], ["ts", "id"], ["seconds"], hot_rows=hot_rows, chunk_rows=chunk_rows,
-                                staging=Staging(spark)).collect()
+    got = latency.trailing_mean(df, ["session", "stage"], ["ts", "id"], ["seconds"], chunks=chunks, staging=Staging(spark)).collect()
     wanted = brute(rows)
     assert len(got) == len(rows)
     for r in got:

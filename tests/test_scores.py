@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clearlines.functions import sari as sari_module
 from clearlines.functions.sari import with_sari
 from clearlines.operators import scores
-from clearlines.operators.embedding_f1 import embedding_f1
+from clearlines.operators.embedding_f1 import embedding_f1, mean_f1, vector_blocks
 
 
 def random_pairs(seed=5, n=300):
@@ -75,12 +75,12 @@ def test_embedding_f1(spark, block):
     rng = random.Random(3)
     sizes = {0: (5, 7), 1: (1, 1), 2: (9, 4), 3: (3, 0)}
     rows = [(pair, side, pos, [rng.uniform(-1, 1) for _ in range(6)]) for pair, n in sizes.items()
-            for side, k in zip(("predicted", "other"), n) for pos in range(k)]
+            for side, k in zip(("predicted", "reference"), n) for pos in range(k)]
     df = spark.createDataFrame(rows, "pair_id long, side string, pos int, vec array<double>")
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-    for r in embedding_f1(df, baseline=0.2, block=block).collect():
+    for r in embedding_f1(vector_blocks(df, block), baseline=0.2).collect():
         p = [v for i, s, _, v in rows if i == r.pair_id and s == "predicted"]
-        o = [v for i, s, _, v in rows if i == r.pair_id and s == "other"]
+        o = [v for i, s, _, v in rows if i == r.pair_id and s == "reference"]
         if not o:
             assert (r.precision, r.recall, r.f1) == (0, 0, 0)
             continue
@@ -88,3 +88,17 @@ def test_embedding_f1(spark, block):
         recall = sum(max(cosine(a, b) for a in p) for b in o) / len(o)
         wanted = [(x - 0.2) / 0.8 for x in (precision, recall, 2 * precision * recall / (precision + recall))]
         assert [r.precision, r.recall, r.f1] == pytest.approx(wanted)
+
+
+def test_embedding_f1_keeps_systems_and_sides_apart(spark):
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, "A", "predicted", 0, one), (1, "B", "predicted", 0, two), (1, None, "reference", 0, one),
+            (1, None, "source", 0, two), (1, None, "source", 1_000_000, one)]
+    schema = "pair_id long, system string, side string, pos int, vec array<double>"
+    blocks = vector_blocks(spark.createDataFrame(rows, schema), system="system")
+    got = {r.system: (r.f1_reference, r.f1_source) for r in mean_f1(blocks).collect()}
+    assert got == {"A": (1.0, pytest.approx(2 / 3)), "B": (0.0, pytest.approx(2 / 3))}
+    with pytest.raises(Exception, match="unknown side"):
+        vector_blocks(spark.createDataFrame([(1, "A", "elsewhere", 0, one)], schema))
+    with pytest.raises(ValueError):
+        embedding_f1(blocks, "predicted")

@@ -36,43 +36,15 @@ CASES = {
     "terms": (lambda: F.sort_array(terms.key_terms(F.col(T))), lambda t: sorted(plain.terms(t, fixed.STOP_WORDS))),
     "tokens": (lambda: terms.token_count(F.col(T)), lambda t: len(plain.letters(t))),
     "long_words": (lambda: terms.long_word_count(F.col(T)), lambda t: sum(len(w) >= 9 for w in plain.letters(t))),
-    "lexicon": (lambda: rewrite.lexicon_replace(F.col(T)), lambda t: plain_lexicon(t, fixed.LEXICON)),
-    "lexicon_trial": (lambda: rewrite.lexicon_replace(F.col(T), TRIAL), lambda t: plain_lexicon(t, TRIAL)),
+    "lexicon": (lambda: rewrite.lexicon_replace(F.col(T)), lambda t: plain.replace_words(t, fixed.LEXICON)),
+    "lexicon_trial": (lambda: rewrite.lexicon_replace(F.col(T), TRIAL), lambda t: plain.replace_words(t, TRIAL)),
     "heuristic": (lambda: rewrite.heuristic_simplify(F.col(T), TRIAL), lambda t: plain.heuristic(t, TRIAL)),
     "13a": (lambda: sari.punctuation_tokens(F.lower(F.col(T))), plain.tokens_13a),
-    "cut": (lambda: text.cut_at_stop(F.col(T)), lambda t: plain_cut(t)),
-    "response": (lambda: text.extract_response(F.col(T)), lambda t: plain_response(t)),
 }
 
 TRIAL = {**fixed.LEXICON, "and": "plus", "in the": "inside", "und": "sowie", "de la": "della", "cost": "a$1\\b"}
 
 
-def plain_lexicon(t, lexicon):
-    for old in sorted(lexicon, key=len, reverse=True):
-        t = re.sub(rf"\b{re.escape(old)}\b", lambda _, new=lexicon[old]: new, t, flags=re.IGNORECASE)
-    return t
-
-
-def plain_cut(t):
-    for stop in fixed.STOP_MARKERS:
-        t = t.split(stop)[0].strip()
-    return t
-
-
-def plain_response(t):
-    for marker in fixed.RESPONSE_MARKERS:
-        if marker in t:
-            return t.split(marker)[-1].strip()
-    return t.strip()
-
-
-plain.heuristic = lambda sentence, lexicon: plain.clean(_clause(plain_lexicon(sentence, lexicon)))
-
-
-def _clause(s):
-    part = re.split("[,;:]", s)[0]
-    return part.strip() if len(part.split()) >= 6 else s
-
 
 @pytest.mark.parametrize("name", CASES)
 def test_same_as_python(df, texts, name):
@@ -151,6 +123,26 @@ def test_padding(spark, side):
     assert one(spark, prompts.pad_tokens(tokens, F.lit(0), 2, side)) == [1, 2]
 
 
+@pytest.mark.parametrize("given, wanted", [
+    ("no stop here ", "no stop here"), ("x ###\n\n y", "x"), ("a\n\nb ### c", "a"), ("### first", ""), ("  \n\n late", "late"), ("a ### b\n\nc", "a"), ("", ""),
+    ("one # two ## three", "one # two ## three"), ("one\ntwo", "one\ntwo")])
+def test_cut_at_stop(spark, given, wanted):
+    assert one(spark, text.cut_at_stop(F.lit(given))) == wanted
+
+
+@pytest.mark.parametrize("given, wanted", [
+    (" plain ", "plain"), ("p ### Response: a", "a"), ("### Response: x ### Response: y. Z", "y. Z"),
+    ("### Response:", ""), ("", ""), ("a Response b", "a Response b")])
+def test_extract_response(spark, given, wanted):
+    assert one(spark, text.extract_response(F.lit(given))) == wanted
+
+
+@pytest.mark.parametrize("size, wanted", [(2, [[1, 2], [3]]), (3, [[1, 2, 3]]), (5, [[1, 2, 3]])])
+def test_token_parts(spark, size, wanted):
+    assert one(spark, prompts.token_parts(F.array(*[F.lit(i) for i in (1, 2, 3)]), size)) == wanted
+    assert one(spark, prompts.token_parts(F.array().cast("array<int>"), size)) == [[]]
+
+
 def test_decoders(spark):
     raw = " x ### Response: a ### Response:  First one.  Second.\n\n### Input: z"
     assert one(spark, text.decode_output(F.lit(raw))) == "First one."

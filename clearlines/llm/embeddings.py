@@ -138,12 +138,12 @@ def link_blocks(placed: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
                     margin: float = MARGIN, per_cell: int = PER_CELL) -> DataFrame:
-    """``key, n_links, component_id, kept`` of every row: linked rows, the smallest key that links reach, and
+    """``key, n_links, component_id, kept``, a row for each distinct key and vector: linked rows, the smallest key that links reach, and
     whether that is the row's own.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing, and vectors link
-    only with those of their length. Keys must be integers; rows that repeat a key and a vector are one
-    vector, rows with NULL keys link with nothing (component NULL, not kept). Ties between centres go to
+    only with those of their length. Keys must be integers; rows that repeat a key and a vector are one row; rows with
+    NULL keys link with nothing (component NULL, not kept). Ties between centres go to
     the first. Cosines are computed in double precision; those of equal vectors count as 1. Other
     columns are not read.
     """

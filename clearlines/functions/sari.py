@@ -49,6 +49,11 @@ def space_tokens(text: Column) -> Column:
 TOKENIZERS = {"13a": punctuation_tokens, "space": space_tokens}
 
 
+def sari_tokens(text: Column, tokenizer: str = "13a", lower: bool = True) -> Column:
+    """A text's tokens as the score counts them."""
+    return TOKENIZERS[tokenizer](F.lower(text) if lower else text)
+
+
 def longer_ngrams(grams: Column, tokens: Column, n: int) -> Column:
     """The n-grams of ``tokens`` from its (n-1)-grams: one token more at the end of each."""
     size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
@@ -178,22 +183,24 @@ def no_repeats(*sides: Column) -> Column:
 
 
 def with_sari(df: DataFrame, source: str, prediction: str, references: str, into: str = "sari",
-              tokenizer: str = "13a", lower: bool = True) -> DataFrame:
+              tokenizer: str = "13a", lower: bool = True, tokens: tuple[str, str, str] | None = None) -> DataFrame:
     """Add ``into``: a struct (keep, delete, add, score), the first three averaged over n.
 
+    ``tokens`` names columns that hold the three texts' tokens already (see :func:`sari_tokens`): make
+    them before pairs are multiplied by systems, and each text is cut up once.
+
     ``references`` is a text column or an array of texts. All values lie between 0 and 1. The
     n-gram arrays are columns of their own, so that each is built once.
     """
-    tokens = TOKENIZERS[tokenizer]
-
     def prepared(text: Column) -> Column:
-        return tokens(F.lower(text) if lower else text)
+        return sari_tokens(text, tokenizer, lower)
 
     many = isinstance(df.schema[references].dataType, ArrayType)
     kept = df.columns
+    ready = tokens and [F.col(name) for name in tokens]
     df = df.withColumns({
-        "_s1": prepared(F.col(source)), "_c1": prepared(F.col(prediction)),
-        "_r1": F.transform(F.col(references), prepared) if many else prepared(F.col(references)),
+        "_s1": ready[0] if ready else prepared(F.col(source)), "_c1": ready[1] if ready else prepared(F.col(prediction)),
+        "_r1": ready[2] if ready else F.transform(F.col(references), prepared) if many else prepared(F.col(references)),
         "_k": F.size(references) if many else F.lit(1),
     })
     for n in SIZES[1:]:

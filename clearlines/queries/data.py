@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clearlines.functions.sari import sari_tokens
 from clearlines.functions.text import NOT_WS, WS, collapse_ws, strip
 from clearlines.operators.documents import explode_sentences
 from clearlines.queries import sql
@@ -72,6 +73,19 @@ def systems(spark: SparkSession, folder: str) -> DataFrame:
             .select("source", "s.system", "normal", "s.predicted", "simple"))
 
 
+#: Names of the token columns of :func:`systems`.
+TOKENS = ("normal_tokens", "predicted_tokens", "simple_tokens")
+
+
+def systems_with_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`systems` with the tokens of each text, made before the pairs are multiplied."""
+    cut = pairs(spark, folder).withColumns({f"{c}_tokens": sari_tokens(F.col(c)) for c in ("normal", "clause", "simple")})
+    made = F.array(*[F.struct(F.lit(name).alias("system"), F.col(c).alias("predicted"), F.col(f"{c}_tokens").alias("predicted_tokens"))
+                     for name, c in (("clause", "clause"), ("same", "normal"))])
+    return (cut.withColumn("s", F.explode(made))
+            .select("source", "s.system", "normal", "s.predicted", "simple", "normal_tokens", "s.predicted_tokens", "simple_tokens"))
+
+
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos, kind, normal, candidate) with candidates that break each gate rule."""
     kinds = {

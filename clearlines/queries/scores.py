@@ -9,7 +9,7 @@ from clearlines.operators import scores
 from clearlines.operators.embedding_f1 import embedding_f1, mean_f1, vector_blocks
 from clearlines.plans.staging import Staging
 from clearlines.queries import sql
-from clearlines.queries.data import near_pairs, pairs, systems, table
+from clearlines.queries.data import TOKENS, near_pairs, pairs, systems, systems_with_tokens, table
 from clearlines.queries.registry import query
 from clearlines.sources import pairs as sources
 
@@ -70,7 +70,7 @@ def sari_components(spark, folder):
 @query("sari", f"""WITH {sql.SYSTEMS}, {sql.sari('systems', 'source, system, doc_id, pos', sql.tokens_13a)}
 SELECT source, system, count(*) AS sentences, round(avg(score) * 100, 6) AS sari FROM sari GROUP BY source, system""")
 def sari(spark, folder):
-    scored = with_sari(systems(spark, folder), "normal", "predicted", "simple")
+    scored = with_sari(systems_with_tokens(spark, folder), "normal", "predicted", "simple", tokens=TOKENS)
     return scored.groupBy("source", "system").agg(
         F.count(F.lit(1)).alias("sentences"), F.round(F.avg("sari.score") * 100, 6).alias("sari"))
 
@@ -125,7 +125,7 @@ def token_blocks(spark, folder, block):
 
 def _report(spark, folder):
     meaning = mean_f1(token_blocks(spark, folder, 4), baseline=0.1)
-    return scores.score_systems(systems(spark, folder), f1=meaning)
+    return scores.score_systems(systems_with_tokens(spark, folder), f1=meaning, tokens=TOKENS)
 
 
 @query("metric_report", _REPORT_SQL + " SELECT system, metric, value FROM metrics")

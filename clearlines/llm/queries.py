@@ -102,3 +102,76 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+_PLAIN = r"regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g'), '\p{N}', '0', 'g')"
+ORACLES["op2_quality_rules"] = f"""WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+tokens AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}+') AS w, string_split(text, chr(10)) AS lines, text FROM texts),
+facts AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  len(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))) AS n_dup_lines
+  FROM tokens),
+windows AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM tokens WHERE len(w) >= 3),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM counted, range(0, 3) AS inside(k) WHERE counted.n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM texts),
+plain AS (SELECT doc_id, source, {_PLAIN} AS line FROM lines),
+long AS (SELECT * FROM plain WHERE length(line) >= {lines.SHORT}),
+hot AS (SELECT source, line FROM long GROUP BY source, line HAVING count(DISTINCT doc_id) > {lines.LIMIT}),
+lost AS (SELECT doc_id, sum(CASE WHEN hot.line IS NOT NULL THEN length(long.line) ELSE 0 END) > {lines.DEPLETED} * sum(length(long.line)) AS depleted
+  FROM long LEFT JOIN hot ON long.line = hot.line AND long.source IS NOT DISTINCT FROM hot.source GROUP BY doc_id),
+judged AS (SELECT facts.*, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(depleted, FALSE) AS depleted,
+  n_words < 50 OR 100 * coalesce(repeated.n, 0) > 50 * n_words AS base_failed
+  FROM facts LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept FROM judged"""
+
+ORACLES["op7_embedding_near_dedup"] = f"""WITH RECURSIVE vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS one, b.vec_id AS other FROM vectors a JOIN vectors b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {embeddings.THRESHOLD}::DOUBLE),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.other FROM reached r JOIN links l ON r.other = l.one),
+groups AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+counts AS (SELECT one AS vec_id, count(*) AS n FROM links GROUP BY one)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM groups LEFT JOIN counts USING (vec_id)"""
+
+
+def _split_sql(url: str) -> tuple[str, str]:
+    """Host and path of a URL, as SQL."""
+    rest = f"(CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END)"
+    host = f"regexp_extract({rest}, '^[^/?#]*')"
+    return f"translate({host}, '{urls._UPPER}', '{urls._LOWER}')", f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _rule_sql(host: str, path: str) -> str:
+    fits = [f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r.site}'"
+            for r in sorted(urls.RULES, key=lambda r: -len(r.site))]
+    return f"(CASE {' '.join(fits)} END)"
+
+
+def _address_sql(url: str) -> str:
+    rest = f"regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*([^#]*)', 1)"
+    scheme = f"translate(split_part({url}, '://', 1), '{urls._UPPER}', '{urls._LOWER}')"
+    return (f"(CASE WHEN instr({url}, '://') > 0 THEN {scheme} || '://' || {_split_sql(url)[0]} || "
+            f"CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END)")
+
+
+_HOST, _PATH = _split_sql("url")
+_VERDICT = "CASE rule " + " ".join(f"WHEN '{r.site}' THEN '{r.verdict}'" for r in urls.RULES) + " END"
+_QUOTE = "[\"'']?"
+ORACLES["op8_url_filters"] = rf"""WITH RECURSIVE tags AS (SELECT url,
+  regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*{_QUOTE}canonical\b[^>]*>') AS a,
+  regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*{_QUOTE}refresh\b[^>]*>') AS b FROM pages),
+found AS (SELECT url, replace(coalesce(nullif(regexp_extract(a, '(?is)\bhref\s*=\s*{_QUOTE}([^"''\s>]+)', 1), ''),
+  nullif(regexp_extract(b, '(?is)\burl\s*=\s*([^"''\s>]+)', 1), '')), '&amp;', '&') AS link FROM tags),
+targets AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+  WHEN starts_with(link, '//') THEN split_part(url, '://', 1) || ':' || link
+  WHEN starts_with(link, '/') THEN split_part(url, '://', 1) || '://' || {_HOST} || link END AS target FROM found),
+edges AS (SELECT {_address_sql('url')} AS one, {_address_sql('target')} AS other FROM targets),
+links AS (SELECT one, other FROM edges WHERE one <> other UNION SELECT other, one FROM edges WHERE one <> other),
+reached AS (SELECT one AS start, one AS node FROM links UNION SELECT r.start, l.other FROM reached r JOIN links l ON r.node = l.one),
+ruled AS (SELECT node, {_rule_sql(*_split_sql("node"))} AS rule FROM (SELECT DISTINCT node FROM reached)),
+carried AS (SELECT start, min({_VERDICT}) AS carried FROM reached JOIN ruled USING (node) GROUP BY start),
+judged AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_rule_sql(_HOST, _PATH)} AS rule, {_address_sql('url')} AS start FROM pages)
+SELECT page_id, host, path, rule, coalesce({_VERDICT}, carried, 'allow') AS verdict FROM judged LEFT JOIN carried USING (start)"""

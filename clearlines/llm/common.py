@@ -31,6 +31,21 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, all columns, that a decision about their texts keeps; ``make()`` runs once per task."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        decide = make()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(at).to_pylist()), pa.bool_()))
+
+    bounded_batches(df)
+    return df.mapInArrow(run, df.schema)
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Lower the session's rows per record batch to :data:`BATCH_ROWS`."""
     conf = df.sparkSession.conf

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearlines.llm.common import arrow_map
+from clearlines.llm.common import arrow_filter, arrow_map
 
 #: Per language: documents in the sample, and the characters taken of each (bounds of the dictionaries alone).
 SAMPLE_DOCS = 64
@@ -70,6 +70,15 @@ class Sizes:
         return sizes[0][1], (1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
 
 
+def keep_clear(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
+    """The rows, all columns, whose language is clear: those that :func:`identify` does not reject."""
+    def make():
+        judge = Sizes(dictionaries).judge
+        return lambda texts: [name != UNKNOWN and found >= margin for name, found in map(judge, texts)]
+
+    return arrow_filter(docs, text, make)
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, key: str = "doc_id",
              text: str = "text") -> DataFrame:
     """``key, lang_pred, score, rejected`` of every row's whole text.

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearlines.llm.common import WORD_BYTES, arrow_map, staged
@@ -167,6 +167,10 @@ def signatures(texts: DataFrame, frequencies, width: int = WIDTH) -> DataFrame:
     return arrow_map(texts.select("node", "text"), run, "node binary, bands array<long>")
 
 
+def _md5(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _buckets(signed: DataFrame, depth: int) -> DataFrame:
     """``node, bucket``: a row for each of the ``BANDS`` buckets of ``depth`` bands in a row."""
     keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(depth), F.lit(b), *[
@@ -227,8 +231,8 @@ def verified(pairs: DataFrame, texts: DataFrame, frequencies, similarity: float
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                     width: int = WIDTH) -> DataFrame:
-    """``key, class_id, n_links, kept`` of every row: the smallest key of the row's class, the verified links
-    of its text to different texts, and whether the row is the one that stays.
+    """``key, class_id, n_links, kept, text_md5`` of every row: the smallest key of the row's class, the verified
+    links of its text to different texts, whether the row is the one that stays, and the MD5 of its text.
 
     Equal texts are one class, whether they have words or not; a NULL text, and a row with a NULL key, is a class
     of its own (class NULL for a NULL key). Texts without words link with no different text. A repeated key
@@ -237,7 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("key", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"))
+    rows = rows.select("key", "text", _md5(F.col("text")).alias("node"))
     frequencies = inverse_frequencies(rows, width)
     signed = signatures(rows, frequencies, width).groupBy("node").agg(F.first("bands").alias("bands"))
     signed = staged(signed, "signatures")
@@ -258,10 +262,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     salt = F.pmod(F.xxhash64("key"), F.lit(16)).cast("int").alias("salt")
     classes = lows.join(named, "component").select("node", "class_id", "n_links")
     classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    judged = rows.select("key", "node", salt).join(classes, ["node", "salt"]).select("key", "class_id", "n_links")
+    judged = rows.select("key", "node", salt).join(classes, ["node", "salt"]).select("key", "class_id", "n_links", "node")
     alone = docs.where(F.col(key).isNull() | F.col(text).isNull()).select(
-        F.col(key).alias("key"), F.col(key).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        F.col(key).alias("key"), F.col(key).alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        _md5(F.col(text)).alias("node"))
     every = judged.unionByName(alone)
     kept = F.col("class_id").isNull() | (F.col("key") == F.col("class_id"))
     return every.select(F.col("key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                        kept.alias("kept"))
+                        kept.alias("kept"), F.col("node").alias("text_md5"))
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+                   width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one document of each class, that with the smallest key."""
+    dropped = near_duplicates(docs, key, text, similarity, width).where(~F.col("kept"))
+    dropped = dropped.select(F.col(key).alias("_dropped"), "text_md5").distinct()
+    gone = (F.col(key) == F.col("_dropped")) & (_md5(F.col(text)) == F.col("text_md5"))
+    return docs.join(dropped, gone, "left_anti")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearlines.llm.common import arrow_map
+from clearlines.llm.common import arrow_filter, arrow_map
 
 BUCKETS = 1 << 18
 #: Labelled documents to learn from, at most; those with the smallest hashes of their ids.
@@ -134,6 +134,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return np.frombuffer(learned[0].weights, np.float32) if learned else np.zeros(BUCKETS, np.float32)
 
 
+def scorer(weights):
+    """A function from texts to their scores."""
+    import numpy as np
+
+    features = Features()
+
+    def scores(texts: list):
+        sums = [weights[index] @ value for index, value in map(features.of, (t or "" for t in texts))]
+        return 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -35, 35)))
+
+    return scores
+
+
+def keep_good(docs: DataFrame, weights, least: float = GOOD, text: str = "text") -> DataFrame:
+    """The rows, all columns, whose whole texts score at least ``least``; NULL texts score as empty ones."""
+    def make():
+        scores = scorer(weights)
+        return lambda texts: (scores(texts) >= least).tolist()
+
+    return arrow_filter(docs, text, make)
+
+
 def score(docs: DataFrame, weights, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` (0 to 1) of every row's whole text.
 
@@ -143,14 +165,12 @@ def score(docs: DataFrame, weights, key: str = "doc_id", text: str = "text") ->
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator):
-        import numpy as np
         import pyarrow as pa
 
-        features = Features()
+        scores = scorer(weights)
         for batch in batches:
-            sums = [weights[index] @ value for index, value in map(features.of, (t or "" for t in batch.column(1).to_pylist()))]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["key", "score"])
+            found = pa.array(scores(batch.column(1).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["key", "score"])
 
     columns = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return arrow_map(columns, run, f"key {kind}, score double").withColumnRenamed("key", key)

@@ -51,7 +51,7 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, folder, "documents"))
+    return neardup.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
 
 @query

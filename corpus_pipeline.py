@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clearlines.llm import language, neardup, packing, quality, secrets
 from clearlines.llm.common import staged
@@ -16,29 +15,21 @@ from clearlines.llm.common import staged
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """The rows of ``docs`` whose key has a judgement that ``keep`` holds for. Rows that share a key go or
-    stay together; rows with a NULL key go, as nothing could name them later."""
-    good = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(keep.cast("int")).alias("_keep"))
-    return docs.select(*COLUMNS).join(good.where("_keep = 1"), "doc_id", "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out("doc_id", 4, 2))
-    scored = quality.score(docs, quality.fit(docs, labels))
-    return _only(docs, scored, F.col("score") >= quality.GOOD)
+    return quality.keep_good(docs.select(*COLUMNS), quality.fit(docs, labels))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a clear language go."""
-    found = language.identify(docs, language.learn(docs, ~quality.held_out("doc_id", 3, 1)))
-    return _only(docs, found, ~F.col("rejected"))
+    learned = language.learn(docs, ~quality.held_out("doc_id", 3, 1))
+    return language.keep_clear(docs.select(*COLUMNS), learned)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, that with the smallest id."""
-    return _only(docs, neardup.near_duplicates(docs), F.col("kept"))
+    return neardup.without_copies(docs.select(*COLUMNS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from clearlines.llm import language, quality, secrets
+from clearlines.llm import language, neardup, quality, secrets
 from clearlines.llm.common import staged
 
 from test_tokens import check_pieces
@@ -72,4 +72,6 @@ def test_awkward_rows(spark, folder, make, awkward):
     for name, stage in pipeline.STAGES[:-1]:
         found = stage(spark, docs, folder)
         assert found.columns == pipeline.COLUMNS and found.count() <= len(awkward), name
+    kept = neardup.without_copies(docs).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((k or 0, t or "") for k, t in awkward)
     assert sys.modules["corpus_pipeline"].ORACLE_SQL is None

@@ -9,7 +9,7 @@ from clearlines.plans.staging import Staging
 from clearlines.queries import sql
 from clearlines.queries.data import requests, table
 from clearlines.queries.registry import query
-from clearlines.streaming.latency import trailing_mean_stream
+from clearlines.streaming.latency import trailing_mean_batches, trailing_mean_stream
 
 _FRAME = "(PARTITION BY session, stage ORDER BY ts, id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 _TRAILING = f"""{sql.REQUESTS}, trail AS (
@@ -106,3 +106,17 @@ def stream_latency(spark, folder):
               .option("checkpointLocation", staging.path("state")).trigger(availableNow=True).start())
     query_.awaitTermination()
     return _means(spark.read.parquet(staging.path("out")))
+
+
+@query("stream_latency_batches", _TRAILING_SQL)
+def stream_latency_batches(spark, folder):
+    """The events in three files by time, one micro-batch each, with the last timings of each group as a table."""
+    staging, rows = Staging(spark), requests(spark, folder).drop("words")
+    at = F.unix_timestamp("ts")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor(3 * (at - low) / max(1, high - low)), F.lit(2))
+    for i in range(3):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(staging.path("in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(staging.path("in"))
+    trailing_mean_batches(stream, staging.path("out"), staging.path("tails"), staging.path("checkpoint")).awaitTermination()
+    return _means(spark.read.parquet(staging.path("out")))

@@ -1,14 +1,23 @@
-"""Trailing mean of stage timings on a stream, with the last timings of a group as state."""
+"""Trailing mean of stage timings on a stream, with the last timings of a group as state.
+
+Two ways. As a stateful operator, one task takes a group's rows of a micro-batch. As batch
+jobs over micro-batches, the last rows of each group are a table, and the chunked plan of the
+batch operator spreads a large group over tasks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from clearlines import fixed
+from clearlines.operators.latency import trailing_mean
+from clearlines.plans.staging import Staging
 
 
 def trailing_mean_stream(timings: DataFrame, rows: int = fixed.HISTORY, forget_after_ms: int | None = None) -> DataFrame:
@@ -44,3 +53,32 @@ def trailing_mean_stream(timings: DataFrame, rows: int = fixed.HISTORY, forget_a
     timeout = "NoTimeout" if forget_after_ms is None else "ProcessingTimeTimeout"
     return (timings.select("session", "stage", "ts", "id", "seconds").groupBy("session", "stage")
             .applyInPandasWithState(update, out, "recent array<double>", "append", timeout))
+
+
+def trailing_mean_batches(timings: DataFrame, output: str, state: str, checkpoint: str, rows: int = fixed.HISTORY,
+                          keys: tuple[str, ...] = ("session", "stage"), order: tuple[str, ...] = ("ts", "id"),
+                          values: tuple[str, ...] = ("seconds",), trigger: dict | None = None) -> StreamingQuery:
+    """Start writing ``timings`` with their trailing means to ``output``, one folder per micro-batch.
+
+    The last ``rows`` rows of each group are a table in ``state``, written anew for each
+    micro-batch; a repeated micro-batch starts from the table before it and replaces its own
+    folders. Rows of later micro-batches must come later in ``order``.
+    """
+    columns = [*keys, *order, *values]
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        spark, staging = batch.sparkSession, Staging(batch.sparkSession)
+        fresh = batch.withColumn("_fresh", F.lit(True))
+        if number:
+            before = spark.read.parquet(f"{state}/batch={number - 1}").withColumn("_fresh", F.lit(False))
+            fresh = fresh.unionByName(before, allowMissingColumns=True)
+        done = trailing_mean(fresh, list(keys), list(order), list(values), rows, staging=staging)
+        done.where("_fresh").drop("_fresh").write.mode("overwrite").parquet(f"{output}/batch={number}")
+        # Spark keeps the first rows of a group before it shuffles them
+        latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+        last = fresh.select(*columns, F.row_number().over(latest).alias("_rank")).where(F.col("_rank") <= rows)
+        last.drop("_rank").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        staging.close()
+
+    return (timings.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 BANDS, ROWS, DEPTHS = 10, 3, 3
 CELLS = 1 << 18
 CACHE_WORDS = 200_000
+SLOTS = 1 << 20
 #: Shingles sampled at a time: bounds memory for long texts.
 PART = 4096
 _SEED = 20_011
@@ -250,8 +251,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # the text of a node is read from its smallest key, so copies are not moved
     lowest = rows.select("key", "node").groupBy("node").agg(F.min("key").alias("key"))
     wanted = staged(lowest.join(nodes, "node"), "wanted")
-    texts = rows.join(wanted, ["key", "node"]).select("node", "text").dropDuplicates(["node"])
-    texts = staged(texts, "texts")
+    # at most SLOTS numbers go to every task; they keep most texts without a partner from being moved
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
+    maybe = rows.withColumn("slot", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+    # repeated rows meet in the partitions of the join, so they are dropped without another shuffle
+    texts = maybe.join(wanted, ["key", "node"]).select("key", "node", "text").dropDuplicates(["key", "node"])
+    texts = staged(texts.select("node", "text"), "texts")
     links = staged(verified(pairs, texts, frequencies, similarity, width), "links")
     groups = staged(connected_components(links), "groups")
     ends = links.select(F.col("left").alias("node")).unionByName(links.select(F.col("right").alias("node")))

@@ -7,8 +7,8 @@ cell holds, so no pair is counted twice. ``EXACT`` is the margin at which no pai
 two unit vectors with cosine t are sqrt(2 - 2t) apart, and neither can be farther than that from
 the border between their cells.
 
-A cell's rows are dealt out in blocks, and a task holds one pair of blocks at a time: a cell with a
-third of all rows becomes many tasks. Links leave a task as counts and as a forest, never as pairs.
+A cell's rows are dealt out in blocks, those at home and all that are shown, and a task holds one pair of
+blocks at a time: a cell with a third of all rows becomes many tasks. Links leave a task as counts and as a forest, never as pairs.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from clearlines.llm.components import connected_components
 
 THRESHOLD = 0.9
 #: Vectors per centre, the most centres (they travel to every task), and sampled vectors per centre.
-PER_CELL = 512
+PER_CELL = 1024
 MOST_CELLS = 1024
 SAMPLE_PER_CELL = 32
-BLOCK = 1024
+BLOCK = 2048
 #: Distance from a cell's border within which a vector is shown there too. For pairs whose difference has no
 #: preferred direction among d, the distance to a border spreads by sqrt(2 - 2t) / sqrt(d).
-MARGIN = 0.25
+MARGIN = 0.12
 EXACT = math.sqrt(2 - 2 * THRESHOLD)
 
 
@@ -93,13 +93,16 @@ def assign(vectors: DataFrame, centres, margin: float) -> DataFrame:
 
 def link_blocks(placed: DataFrame, threshold: float) -> DataFrame:
     """``node, root, links`` per pair of blocks: links counted for home rows, and rays of a forest of links."""
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = placed.groupBy("cell").agg(blocks(F.count(F.when(F.col("home"), 1))).alias("of_homes"),
+                                       blocks(F.count("*")).alias("of_all"))
     # one row per cell, at most MOST_CELLS
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    shown = dealt.select("cell", F.explode(every).alias("a"), F.col("block").alias("b"), F.lit(False).alias("own"),
-                         "node", "copies", "vector")
-    homes = dealt.where("home").select("cell", F.col("block").alias("a"), F.explode(every).alias("b"),
+    dealt = placed.join(F.broadcast(sizes), "cell")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shown = dealt.where("of_homes > 0").select("cell", every("of_homes").alias("a"), block("of_all").alias("b"),
+                                               F.lit(False).alias("own"), "node", "copies", "vector")
+    homes = dealt.where("home").select("cell", block("of_homes").alias("a"), every("of_all").alias("b"),
                                        F.lit(True).alias("own"), "node", "copies", "vector")
 
     def run(keys, table):

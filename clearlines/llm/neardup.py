@@ -7,11 +7,12 @@ need the same memory at any size; a counter's expected share of other shingles i
 * Equal texts collapse to one *node* (the MD5 of the text).
 * Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; two texts agree in
   a sample with the probability of their weighted Jaccard similarity. ``ROWS`` samples are a band.
-* Texts that agree in a band share a bucket. A bucket is resolved by its *centre*, the member with the
-  most company over all its buckets: every other member is compared with it. The same is done in
-  finer buckets, of two and of three bands, whose centres stand for the denser parts of a large one. So a
-  text has at most ``BANDS * DEPTHS`` partners, however large its buckets, and each copy meets the text that
-  most copies resemble; nothing is paired with everything.
+* Texts that agree in a band share a bucket. A bucket is resolved by its *centres*, the member with the
+  most company over all its buckets and ``DRAWN`` members drawn by hash: every other member is compared with
+  them, so a bucket of up to ``DRAWN + 1`` members is compared completely. The same is done in finer buckets, of two
+  and of three bands, whose centres stand for the denser parts of a large one. So a text has at most
+  ``BANDS * DEPTHS * (DRAWN + 1)`` partners as a member, however large its buckets, and each copy meets the text
+  that most copies resemble; nothing is paired with everything.
 * Every candidate pair is verified by the weighted Jaccard similarity of the whole texts.
 * Verified links form components; a class is named by its smallest id.
 """
@@ -29,6 +30,8 @@ from clearlines.llm.components import connected_components
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, DEPTHS = 10, 3, 3
+#: Centres of a bucket that are drawn by hash, beside the one with the most company.
+DRAWN = 3
 CELLS = 1 << 18
 CACHE_WORDS = 200_000
 SLOTS = 1 << 20
@@ -194,10 +197,12 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     pairs = None
     for depth in range(1, DEPTHS + 1):
         rows = _buckets(busy, depth)
-        first = F.max_by("node", F.struct("company", "node"))
-        centres = rows.groupBy("bucket").agg(first.alias("centre"), F.count("*").alias("n")).where("n > 1")
-        centres = staged(centres.select("bucket", "centre"), "centres")
-        met = rows.join(centres, "bucket").where(F.col("node") != F.col("centre")).select("node", "centre")
+        drawn = [F.max_by("node", F.xxhash64("node", "bucket", F.lit(i))) for i in range(DRAWN)]
+        chosen = F.array_distinct(F.array(F.max_by("node", F.struct("company", "node")), *drawn))
+        centres = rows.groupBy("bucket").agg(chosen.alias("centres"), F.count("*").alias("n")).where("n > 1")
+        centres = staged(centres.select("bucket", "centres"), "centres")
+        met = rows.join(centres, "bucket").select("node", F.explode("centres").alias("centre"))
+        met = met.where(F.col("node") != F.col("centre"))
         pairs = met if pairs is None else pairs.unionByName(met)
     return pairs.select(F.least("node", "centre").alias("left"), F.greatest("node", "centre").alias("right")).distinct()
 

@@ -31,39 +31,62 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, DEPTHS = 10, 3, 3
 #: Centres of a bucket that are drawn by hash, beside the one with the most company.
-DRAWN = 3
+DRAWN = 6
 CELLS = 1 << 18
-CACHE_WORDS = 200_000
 SLOTS = 1 << 20
 #: How much more the rarest shingle weighs than the most common one. A near copy's edits are rare and what it shares
 #: with many copies is not: a full IDF would put copies that agree in 0.88 of their shingles below 0.8.
 RARE = 0.25
 #: Shingles sampled at a time: bounds memory for long texts.
-PART = 4096
+PART = 1024
+#: Bytes of a text hashed at a time.
+LONG = 1 << 20
 _SEED = 20_011
 
 
 class Shingler:
-    """Hashed shingles of a text and their counts."""
+    """Hashed shingles of a text and their counts, worked out on arrays of bytes."""
 
     def __init__(self, width: int = WIDTH):
-        import xxhash
+        import numpy as np
+
+        random = np.random.default_rng(_SEED)
+        self.width = width
+        self.bytes = random.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.bytes[32] = 0  # spaces add nothing
+        self.places = random.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-        class Hashes(dict):
-            def __missing__(self, word):
-                if len(self) > CACHE_WORDS:
-                    self.clear()
-                self[word] = found = xxhash.xxh64_intdigest(word)
-                return found
+    def words(self, raw: bytes):
+        """A hash for each word of lower-cased bytes: of its bytes and their places in the word."""
+        import numpy as np
 
-        self.width, self.hashes = width, Hashes()
+        text = np.frombuffer(raw, np.uint8)
+        inside = text != 32
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        first = starts[0]
+        place = np.arange(first, len(text)) - np.repeat(starts, np.diff(np.append(starts, len(text))))
+        codes = np.add.reduceat(self.bytes[text[first:]] * self.places[place & 1023], starts - first)
+        codes ^= codes >> np.uint64(32)
+        codes *= np.uint64(0xD6E8FEB86659FD93)
+        return codes ^ codes >> np.uint64(29)
+
+    def parts(self, raw: bytes):
+        """The bytes in parts that end at a space: bounds memory for long texts."""
+        at = 0
+        while at < len(raw):
+            end = raw.find(b" ", at + LONG) if len(raw) - at > LONG else -1
+            end = len(raw) if end < 0 else end
+            yield raw[at:end]
+            at = end
 
     def of(self, text: str):
         """Sorted distinct hashes and counts; none for a text without words."""
         import numpy as np
 
-        words = text.encode().translate(WORD_BYTES).split()
-        codes = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        found = [self.words(part) for part in self.parts(text.encode().translate(WORD_BYTES))]
+        codes = np.concatenate(found) if found else np.zeros(0, np.uint64)
         mixed = np.zeros(max(1, len(codes) - self.width + 1) if len(codes) else 0, np.uint64)
         for i in range(min(self.width, len(codes))):
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + len(mixed)]
@@ -123,8 +146,8 @@ class Sampler:
         random = np.random.default_rng(_SEED)
         size = 1 << 16
         rate = random.gamma(2.0, 1.0, size)
-        self.table = np.stack([rate, 1 / rate, random.random(size), np.log(random.gamma(2.0, 1.0, size))], axis=1)
-        self.table = self.table.astype(np.float32)
+        columns = (rate, 1 / rate, random.random(size), np.log(random.gamma(2.0, 1.0, size)))
+        self.rate, self.inverse, self.shift, self.log_c = [c.astype(np.float32) for c in columns]
         self.turns = random.integers(1, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def draw(self, hashes, weights):
@@ -136,10 +159,10 @@ class Sampler:
         logs, each = np.log(weights).astype(np.float32), np.arange(len(self.turns))
         for at in range(0, len(hashes), PART):
             part = hashes[at:at + PART]
-            place = (part[None, :] * self.turns[:, None]) >> np.uint64(48)
-            rate, inverse, shift, log_c = np.moveaxis(self.table[place], 2, 0)
-            level = np.floor(logs[at:at + PART] * inverse + shift)
-            value = log_c - rate * (level - shift + 1)
+            place = ((part[None, :] * self.turns[:, None]) >> np.uint64(48)).astype(np.intp)
+            shift = self.shift.take(place)
+            level = np.floor(logs[at:at + PART] * self.inverse.take(place) + shift)
+            value = self.log_c.take(place) - self.rate.take(place) * (level - shift + 1)
             low = value.argmin(axis=1)
             least = value[each, low]
             better = least < best

@@ -21,6 +21,8 @@ arcs' labels (bytes) in order.
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ from clearlines.llm.common import arrow_map, per_worker
 START = -1
 _LATER = 1 << 60
 
-#: Distinct words, and answers about arcs, kept per worker; a full cache starts again empty.
-CACHE_WORDS = 300_000
+#: Words, and answers about arcs, that a worker keeps.
+CACHE_WORDS = 400_000
+CACHE_ARCS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,13 +52,17 @@ class Automaton:
         self.cut: dict[tuple[int, int], int] = {}
         self.came: dict[int, tuple[int, int]] = {}
         self.grew: dict[int, tuple[int, int]] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}  # the transition table: (token << 32 | following) -> whether it is there
         for rank, (left, right) in enumerate(merges):
             self.gadget(self.tokens[left], self.tokens[right], left + right, vocabulary[left + right], rank)
         self.labels = {token: label for label, token in self.tokens.items()}
-        self.reach: dict[bytes, int] = {}  # by its first two bytes, the length of the longest arc
-        for label in self.tokens:
-            self.reach[label[:2]] = max(len(label), self.reach.get(label[:2], 1))
+        self.steps: dict[int, int] = {}  # (node << 8 | byte) -> node: the labels' common prefixes
+        self.ends: dict[int, int] = {}  # node -> the arc whose label ends there
+        for label, token in self.tokens.items():
+            node = 0
+            for byte in label:
+                node = self.steps.setdefault(node << 8 | byte, len(self.steps) + 1)
+            self.ends[node] = token
 
     def gadget(self, u: int, v: int, label: bytes, w: int, rank: int) -> None:
         """Compile one merge; a merge whose ``u v`` is not a path adds no arc."""
@@ -84,44 +91,69 @@ class Automaton:
     def path(self, word: bytes) -> list[int]:
         """The arcs of the word's only path.
 
-        Longer arcs are tried first. What leads to a position is always the one path of the bytes
-        before it, so a position that cannot be left is never tried again: steps are linear.
+        A table of byte transitions gives the arcs that begin at a position; longer ones are tried
+        first. What leads to a position is always the one path of the bytes before it, so a position
+        that cannot be left is never tried again: steps are linear.
         """
-        tokens, arcs, reach, end = self.tokens, self.arcs, self.reach, len(word)
+        arcs, steps, ends, size = self.arcs, self.steps, self.ends, len(word)
         found: list[int] = []
-        lengths: list[int] = []
+        choices: list[list[tuple[int, int]]] = []  # arcs not yet tried, by position on the path
         closed: set[int] = set()
-        at, before = 0, START
-        length = min(end, reach.get(word[:2], 1))
-        while at < end:
-            while length:
-                token = tokens.get(word[at:at + length])
-                if token is not None and at + length not in closed:
-                    if before == START:
-                        break
-                    there = arcs.get((before, token))
-                    if there is None:
-                        if len(arcs) > CACHE_WORDS:
-                            arcs.clear()
-                        there = arcs[before, token] = self.has_arc(before, token)
-                    if there:
+        at, before, due = 0, START, None
+        while at < size:
+            if due is None:
+                due, node, place = [], 0, at
+                while place < size:
+                    node = steps.get(node << 8 | word[place])
+                    if node is None:
                         break
-                length -= 1
-            if length:
-                found.append(token)
-                lengths.append(length)
-                at += length
-                before = token
-                length = min(end - at, reach.get(word[at:at + 2], 1))
-            elif not found:
-                raise ValueError(f"no path for {word[:40]!r}")
+                    place += 1
+                    token = ends.get(node)
+                    if token is not None:
+                        due.append((place, token))
+            while due:
+                place, token = due.pop()
+                if place in closed:
+                    continue
+                if before == START:
+                    break
+                key = before << 32 | token
+                there = arcs.get(key)
+                if there is None:
+                    if len(arcs) > CACHE_ARCS:
+                        arcs.clear()
+                    there = arcs[key] = self.has_arc(before, token)
+                if there:
+                    break
             else:
+                if not found:
+                    raise ValueError(f"no path for {word[:40]!r}")
                 closed.add(at)
-                found.pop()
-                length = lengths.pop()
-                at -= length
-                length -= 1
+                at -= len(self.labels[found.pop()])
+                due = choices.pop()
                 before = found[-1] if found else START
+                continue
+            found.append(token)
+            choices.append(due)
+            at, before, due = place, token, None
+        return found
+
+
+class Words(dict):
+    """Words and their paths: at most ``most``, in two generations; a word that is met again stays."""
+
+    def __init__(self, path, most: int):
+        super().__init__()
+        self.path, self.most, self.older = path, most // 2, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.path(word.encode())
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
         return found
 
 
@@ -147,7 +179,7 @@ class Codec:
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.split_latin = re.compile(LATIN_WORDS).findall
         self.labels = self.automaton.labels | {i: t.encode() for t, i in self.special.items()}
-        self.known: dict[str, list[int]] = {}
+        self.known = Words(self.automaton.path, CACHE_WORDS)
 
     def words(self, text: str) -> list[str]:
         """The words that merges never cross."""
@@ -158,19 +190,7 @@ class Codec:
         return self.split_latin(text)
 
     def encode_words(self, text: str) -> list[int]:
-        from itertools import chain
-
-        words, known, path = self.words(text), self.known, self.automaton.path
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, words)))
-        except KeyError:
-            new = set(words).difference(known)
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            for word in new:
-                known[word] = path(word.encode())
-            return list(chain.from_iterable(map(known.__getitem__, words)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.words(text))))
 
     def encode(self, text: str) -> list[int]:
         if not self.special or not any(t in text for t in self.special):
@@ -209,7 +229,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             found = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int32)
-            flat = pa.array([i for ids in found for i in ids], pa.int32())
+            flat = pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
                  pa.array([codec.decode(ids) for ids in found], pa.string())], ["key", "ids", "decoded"])

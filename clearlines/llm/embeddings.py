@@ -1,14 +1,18 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells.
+"""Embedding near-duplicates: spherical k-means cells, packed in blocks, exact cosine products of block pairs.
 
-Equal vectors are one row with a count. The centres are learned from a bounded sample; every
-vector then belongs to the cell of its nearest centre, and is *shown* in each cell whose border
-lies within ``margin``. A vector's links are counted in its own cell alone, against all that the
-cell holds, so no pair is counted twice. ``EXACT`` is the margin at which no pair of the threshold can be missed:
-two unit vectors with cosine t are sqrt(2 - 2t) apart, and neither can be farther than that from
-the border between their cells.
+Equal vectors are one row with a count. The centres are learned from a bounded sample; every vector belongs to the
+cell of its nearest centre. Whole cells that are near each other are packed in blocks, and a cell of more rows than
+a block is dealt over blocks of its own. Each pair of blocks is one task. A vector is sent to a pair only if the other
+block holds a cell that can hold a partner, by two bounds that lose no pair of the threshold t:
 
-A cell's rows are dealt out in blocks, those at home and all that are shown, and a task holds one pair of
-blocks at a time: a cell with a third of all rows becomes many tasks. Links leave a task as counts and as a forest, never as pairs.
+* two unit vectors with cosine t are sqrt(2 - 2t) apart, and neither can be farther than that from the border
+  between their cells;
+* a partner is within acos(t) of the vector, and within its cell's radius of that cell's centre, so the vector's
+  angle to the centre is at most their sum.
+
+Where vectors have no structure the bounds keep nearly all pairs of blocks, and the products grow with the square of
+the rows. Products are taken in single precision; those too close to the threshold to tell are taken again in
+double. Links leave a task as counts and as a forest, never as pairs.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ THRESHOLD = 0.9
 PER_CELL = 1024
 MOST_CELLS = 1024
 SAMPLE_PER_CELL = 32
-BLOCK = 2048
-#: Distance from a cell's border within which a vector is shown there too. For pairs whose difference has no
-#: preferred direction among d, the distance to a border spreads by sqrt(2 - 2t) / sqrt(d).
-MARGIN = 0.12
+#: Vector components of a block: bounds what a task holds, whatever the length of the vectors.
+BLOCK_VALUES = 1 << 20
+#: Distance from a cell's border beyond which no vector has a partner of ``THRESHOLD`` there.
 EXACT = math.sqrt(2 - 2 * THRESHOLD)
+MARGIN = EXACT
 
 
 def usable(vector: str = "vector"):
@@ -68,88 +72,145 @@ def learn_centres(vectors: DataFrame, cells: int, rounds: int = 8):
     return centres
 
 
-def assign(vectors: DataFrame, centres, margin: float) -> DataFrame:
-    """``node, copies, vector, cell, home``: each vector in its own cell, and where it is within the margin."""
+def assign(vectors: DataFrame, centres) -> DataFrame:
+    """``cell, rows, angle``: of each cell that has rows, their number and the largest angle to its centre."""
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                near = unit_rows(batch.column(0)) @ centres.T
+                home = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(home)), home], -1, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(angle)], ["cell", "angle"])
+
+    found = arrow_map(vectors.select("vector"), run, "cell int, angle double")
+    return found.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("angle"))
+
+
+def packed(centres, rows, block: int):
+    """First block and number of blocks of each cell: cells in a chain of near centres fill blocks of ``block`` rows."""
+    import numpy as np
+
+    left, at = np.ones(len(centres), bool), 0
+    first, number = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+    held, current = 0, 0
+    for _ in range(len(centres)):
+        left[at] = False
+        if held and held + rows[at] > block:
+            current, held = current + 1, 0
+        first[at], number[at] = current, max(1, -(-int(rows[at]) // block))
+        if number[at] > 1:
+            current, held = current + int(number[at]), 0
+        else:
+            held += int(rows[at])
+        at = int(np.where(left, centres @ centres[at], -2).argmax())
+    return first, number
+
+
+def block_pairs(vectors: DataFrame, centres, cells: list, threshold: float, margin: float, block: int) -> DataFrame:
+    """``a, b, own, node, copies, vector``: each vector in its block's pairs with itself (``a = b``) and with the blocks
+    that can hold a partner; ``own`` marks the rows of block ``a``. ``cells`` has ``cell, rows, angle``."""
+    import numpy as np
+
+    rows, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+    for cell in cells:
+        rows[cell["cell"]], radius[cell["cell"]] = cell["rows"], cell["angle"]
+    first, number = packed(centres, rows, block)
+    count = int((first + number).max())
+    # least cosine to a centre that a vector with a partner in its cell can have (2: an empty cell has none)
+    least = np.cos(np.clip(radius + math.acos(max(-1.0, min(1.0, threshold))), 0, math.pi)) - 1e-9
+    least = np.where(rows > 0, least, 2.0)
+
     def run(batches: Iterator):
         import numpy as np
         import pyarrow as pa
 
         apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+        # which blocks hold a cell
+        holds = np.zeros((len(centres), count), np.float32)
+        for cell in range(len(centres)):
+            holds[cell, first[cell]:first[cell] + number[cell]] = 1
         for batch in batches:
             if not batch.num_rows:
                 continue
             near = unit_rows(batch.column(2)) @ centres.T
-            home = near.argmax(axis=1)
-            best = near[np.arange(len(home)), home]
-            shown = best[:, None] - near <= margin * apart[home]
-            row, cell = np.nonzero(shown)
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)],
-                                             ["node", "copies", "vector", "cell", "home"])
-
-    return arrow_map(vectors.select("node", "copies", "vector"), run,
-                     f"node long, copies long, vector {vectors.schema['vector'].dataType.simpleString()}, cell int, home boolean")
-
-
-def link_blocks(placed: DataFrame, threshold: float) -> DataFrame:
-    """``node, root, links`` per pair of blocks: links counted for home rows, and rays of a forest of links."""
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = placed.groupBy("cell").agg(blocks(F.count(F.when(F.col("home"), 1))).alias("of_homes"),
-                                       blocks(F.count("*")).alias("of_all"))
-    # one row per cell, at most MOST_CELLS
-    dealt = placed.join(F.broadcast(sizes), "cell")
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    shown = dealt.where("of_homes > 0").select("cell", every("of_homes").alias("a"), block("of_all").alias("b"),
-                                               F.lit(False).alias("own"), "node", "copies", "vector")
-    homes = dealt.where("home").select("cell", block("of_homes").alias("a"), every("of_all").alias("b"),
-                                       F.lit(True).alias("own"), "node", "copies", "vector")
-
+            home, every = near.argmax(axis=1), np.arange(len(near))
+            best = near[every, home]
+            shown = (best[:, None] - near <= margin * apart[home] + 1e-9) & (near >= least)
+            shown[every, home] = True
+            spread = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            mine = first[home] + (spread % number[home].astype(np.uint64)).astype(np.int64)
+            row, other = np.nonzero(shown.astype(np.float32) @ holds)
+            a, b = np.minimum(mine[row], other), np.maximum(mine[row], other)
+            for at in range(0, len(row), 4096):
+                part = slice(at, at + 4096)
+                out = batch.take(pa.array(row[part]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[part].astype(np.int32)), pa.array(b[part].astype(np.int32)), pa.array(mine[row[part]] == a[part]),
+                     *out.columns], ["a", "b", "own", "node", "copies", "vector"])
+
+    return arrow_map(vectors.select("node", "copies", "vector"), run, "a int, b int, own boolean, node long, copies long, "
+                     f"vector {vectors.schema['vector'].dataType.simpleString()}")
+
+
+def link_blocks(paired: DataFrame, threshold: float) -> DataFrame:
+    """``node, root, links`` per pair of blocks: links counted for the rows of both, and rays of a forest of links."""
     def run(keys, table):
         import numpy as np
         import pyarrow as pa
 
+        same = keys[0].as_py() == keys[1].as_py()
         own = table.column("own").to_numpy()
         ids, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         rows = unit_rows(table.column("vector").combine_chunks())
-        left, right = np.nonzero(own)[0], np.nonzero(~own)[0]
-        links, parent = np.zeros(len(left), np.int64), {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        single = rows.astype(np.float32)
+        left = np.flatnonzero(own)
+        right = left if same else np.flatnonzero(~own)
+        # more than the rounding of a product in single precision
+        slack = np.float32((rows.shape[1] + 8) * 2.0 ** -22)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        across = np.ascontiguousarray(single[right].T)
         for at in range(0, len(left), 256):
             some = left[at:at + 256]
-            near = rows[some] @ rows[right].T >= threshold
-            near &= ids[some][:, None] != ids[right][None, :]
-            links[at:at + 256] = near @ copies[right]
-            for i in np.nonzero(near.any(axis=1))[0]:
-                linked = ids[right[near[i]]].tolist()
-                low = min(map(root, [int(ids[some[i]]), *linked]))
-                for x in [int(ids[some[i]]), *linked]:
-                    parent[root(x)] = low
-        counted = {int(ids[r]): int(n) for r, n in zip(left, links) if n}
-        nodes = sorted(set(parent) | set(counted))
-        return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([root(x) for x in nodes], pa.int64()),
-                         "links": pa.array([counted.get(x, 0) for x in nodes], pa.int64())})
-
-    return homes.unionByName(shown).groupBy("cell", "a", "b").applyInArrow(run, "node long, root long, links long")
+            near = single[some] @ across
+            i, j = np.nonzero(near >= np.float32(threshold) - slack)
+            unsure = np.flatnonzero(near[i, j] <= np.float32(threshold) + slack)
+            sure = np.ones(len(i), bool)
+            for k in range(0, len(unsure), 4096):
+                part = unsure[k:k + 4096]
+                sure[part] = np.einsum("ij,ij->i", rows[some[i[part]]], rows[right[j[part]]]) >= threshold
+            i, j = some[i], right[j]
+            sure &= i != j
+            i, j = i[sure], j[sure]
+            links += np.bincount(i, copies[j], len(ids)).astype(np.int64)
+            if not same:
+                links += np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            for one, others in zip(i[starts], np.split(j, starts[1:])):
+                found = np.unique(np.append(label[others], label[one]))
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+        linked = np.flatnonzero(links)
+        return pa.table({"node": pa.array(ids[linked], pa.int64()), "root": pa.array(ids[label[linked]], pa.int64()),
+                         "links": pa.array(links[linked], pa.int64())})
+
+    return paired.groupBy("a", "b").applyInArrow(run, "node long, root long, links long")
 
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
-                    margin: float = MARGIN, per_cell: int = PER_CELL) -> DataFrame:
+                    margin: float | None = None, per_cell: int = PER_CELL) -> DataFrame:
     """``key, n_links, component_id, kept``, a row for each distinct key and vector: linked rows, the smallest key that links reach, and
     whether that is the row's own.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing, and vectors link
     only with those of their length. Keys must be integers; rows that repeat a key and a vector are one row; rows with
     NULL keys link with nothing (component NULL, not kept). Ties between centres go to
-    the first. Cosines are computed in double precision; those of equal vectors count as 1. Other
-    columns are not read.
+    the first. Cosines are those of double precision; those of equal vectors count as 1. No link is lost: ``margin``
+    can be wider than the threshold's, never narrower. Other columns are not read.
     """
+    margin = max(margin or 0.0, math.sqrt(max(0.0, 2 - 2 * threshold)))
     element = table.schema[vector].dataType.elementType
     # adding zero turns -0.0 into 0.0, so that equal vectors are equal in every step
     rows = table.select(F.col(key).alias("key"), F.transform(F.col(vector), lambda x: x + F.lit(0).cast(element)).alias("vector")).distinct()
@@ -160,7 +221,10 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     for (length,) in unique.select(F.size("vector")).distinct().collect():  # one row per length of vectors
         same = unique.where(F.size("vector") == length)
         cells = max(1, min(MOST_CELLS, math.ceil(same.count() / per_cell)))
-        found = link_blocks(assign(same, learn_centres(same, cells), margin), threshold)
+        centres = learn_centres(same, cells)
+        sizes = assign(same, centres).collect()  # at most MOST_CELLS rows
+        paired = block_pairs(same, centres, sizes, threshold, margin, max(1, BLOCK_VALUES // length))
+        found = link_blocks(paired, threshold)
         links = found if links is None else links.unionByName(found)
     if links is None:
         links = table.sparkSession.createDataFrame([], "node long, root long, links long")

@@ -155,6 +155,20 @@ def test_vectors_against_brute_force(spark, margin):
     assert all(r.kept == (r.component_id == k) for k, r in found.items())
 
 
+@pytest.mark.parametrize("cosine", [0.92, 0.94, 0.96])
+def test_links_between_dense_clusters(spark, monkeypatch, cosine):
+    """Two clusters that each own a centre, all of whose members link across the border."""
+    rng = np.random.default_rng(3)
+    one, other = np.eye(16)[0], cosine * np.eye(16)[0] + math.sqrt(1 - cosine ** 2) * np.eye(16)[1]
+    rows = list(enumerate((c + rng.normal(size=16) * 0.005).astype(np.float32).tolist() for c in [one, other] * 60))
+    counts, groups = plain_vectors(rows)
+    assert set(counts.values()) == {119}
+    for values in (getattr(embeddings, "BLOCK_VALUES", 0), 16 * 25):  # cells in one block, and dealt over several
+        monkeypatch.setattr(embeddings, "BLOCK_VALUES", values, raising=False)
+        found = embeddings.near_duplicates(vectors(spark, rows), per_cell=60).collect()
+        assert {r.vec_id: r.n_links for r in found} == counts and {r.component_id for r in found} == {0}
+
+
 def test_vector_query_and_empty(spark, folder):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     counts, groups = plain_vectors(rows)

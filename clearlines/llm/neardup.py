@@ -7,13 +7,12 @@ need the same memory at any size; a counter's expected share of other shingles i
 * Equal texts collapse to one *node* (the MD5 of the text).
 * Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per text; two texts agree in
   a sample with the probability of their weighted Jaccard similarity. ``ROWS`` samples are a band.
-* Texts that agree in a band share a bucket. A bucket is resolved by its *centres*, the member with the
-  most company over all its buckets and ``DRAWN`` members drawn by hash: every other member is compared with
-  them, so a bucket of up to ``DRAWN + 1`` members is compared completely. The same is done in finer buckets, of two
-  and of three bands, whose centres stand for the denser parts of a large one. So a text has at most
-  ``BANDS * DEPTHS * (DRAWN + 1)`` partners as a member, however large its buckets, and each copy meets the text
-  that most copies resemble; nothing is paired with everything.
-* Every candidate pair is verified by the weighted Jaccard similarity of the whole texts.
+* Texts that agree in a band share a bucket, and all pairs of a bucket are compared, whatever its size: its members
+  are dealt out in blocks, and a pair of blocks is a task. Buckets of the same members are compared once; a pair in
+  several buckets is counted in one.
+* Every pair is verified by the weighted Jaccard similarity of the whole texts. Repeated shingles are elements of
+  their own, so the shared weights of two blocks are one product of matrices. Links leave a task as counts and as
+  a forest, never as pairs.
 * Verified links form components; a class is named by its smallest id.
 """
 
@@ -29,9 +28,12 @@ from clearlines.llm.components import connected_components
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS, DEPTHS = 10, 3, 3
-#: Centres of a bucket that are drawn by hash, beside the one with the most company.
-DRAWN = 6
+BANDS, ROWS = 10, 3
+#: Members of a bucket, and bytes of their texts, in a block: bounds what a task holds.
+BLOCK = 1024
+BLOCK_BYTES = 1 << 22
+#: Elements whose shared weights are summed at a time.
+ELEMENTS = 2048
 CELLS = 1 << 18
 SLOTS = 1 << 20
 #: How much more the rarest shingle weighs than the most common one. A near copy's edits are rare and what it shares
@@ -172,7 +174,7 @@ class Sampler:
 
 
 def signatures(texts: DataFrame, frequencies, width: int = WIDTH) -> DataFrame:
-    """``node, bands array<long>`` of the texts that have words."""
+    """``node, bands array<long>, bytes`` of the texts that have words."""
     def run(batches: Iterator):
         import numpy as np
         import pyarrow as pa
@@ -180,7 +182,7 @@ def signatures(texts: DataFrame, frequencies, width: int = WIDTH) -> DataFrame:
         shingler, sampler = Shingler(width), Sampler()
         spread = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            nodes, bands = [], []
+            nodes, bands, sizes = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes, counts = shingler.of(text)
                 if not len(hashes):
@@ -192,80 +194,134 @@ def signatures(texts: DataFrame, frequencies, width: int = WIDTH) -> DataFrame:
                     band ^= band >> np.uint64(31)
                 nodes.append(node)
                 bands.append(band.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                                             ["node", "bands"])
+                sizes.append(len(text.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                                              pa.array(sizes, pa.int64())], ["node", "bands", "bytes"])
 
-    return arrow_map(texts.select("node", "text"), run, "node binary, bands array<long>")
+    return arrow_map(texts.select("node", "text"), run, "node binary, bands array<long>, bytes long")
 
 
 def _md5(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _buckets(signed: DataFrame, depth: int) -> DataFrame:
-    """``node, bucket``: a row for each of the ``BANDS`` buckets of ``depth`` bands in a row."""
-    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(depth), F.lit(b), *[
-        F.col("bands")[(b + i) % BANDS] for i in range(depth)]).alias("bucket")) for b in range(BANDS)]
-    rows = signed.select(*[c for c in signed.columns if c != "bands"], F.explode(F.array(*keys)).alias("at"))
-    return rows.select(*[c for c in rows.columns if c != "at"], "at.bucket")
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """``bucket, node, bytes, blocks, block``: the members of each bucket of two texts or more, dealt out in blocks.
 
-
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``left, right``: each text with the centres of its buckets."""
-    rows = _buckets(signed, 1)
-    shared = staged(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    Of buckets that hold the same members, one stays.
+    """
+    buckets = F.array(*[F.xxhash64(F.lit(b), F.col("bands")[b]) for b in range(BANDS)])
+    rows = signed.select("node", "bytes", F.explode(buckets).alias("bucket"))
+    sets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"),
+                                      *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"set{i}") for i in range(2)])
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int")
+    one = sets.where("n > 1").groupBy("n", "total", "set0", "set1").agg(F.min("bucket").alias("bucket"))
+    one = staged(one.select("bucket", blocks.alias("blocks")), "buckets")
     # both sides are tables, so a bucket with very many members is split by the skewed join
-    company = rows.join(shared, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
-    busy = staged(signed.join(company, "node"), "busy")
-    pairs = None
-    for depth in range(1, DEPTHS + 1):
-        rows = _buckets(busy, depth)
-        drawn = [F.max_by("node", F.xxhash64("node", "bucket", F.lit(i))) for i in range(DRAWN)]
-        chosen = F.array_distinct(F.array(F.max_by("node", F.struct("company", "node")), *drawn))
-        centres = rows.groupBy("bucket").agg(chosen.alias("centres"), F.count("*").alias("n")).where("n > 1")
-        centres = staged(centres.select("bucket", "centres"), "centres")
-        met = rows.join(centres, "bucket").select("node", F.explode("centres").alias("centre"))
-        met = met.where(F.col("node") != F.col("centre"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return pairs.select(F.least("node", "centre").alias("left"), F.greatest("node", "centre").alias("right")).distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, frequencies, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """The pairs whose whole texts have at least the weighted Jaccard similarity."""
-    one = texts.select(F.col("node").alias("left"), F.col("text").alias("left_text"))
-    two = texts.select(F.col("node").alias("right"), F.col("text").alias("right_text"))
-    both = pairs.join(one, "left").join(two, "right").select("left", "right", "left_text", "right_text")
+    return rows.join(one, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int"))
 
-    def run(batches: Iterator):
-        import numpy as np
-        import pyarrow as pa
 
-        shingler, known = Shingler(width), {}
+def shared_weights(keys: list, weights: list, left, right):
+    """For each of the rows ``left`` and each of ``right``, the summed weights of the keys that both hold.
 
-        def weighed(node, text):
-            if node not in known:
-                if len(known) >= 64:
-                    known.clear()
-                hashes, counts = shingler.of(text)
-                known[node] = hashes, counts * frequencies[cells_of(hashes)].astype(np.float64)
-            return known[node]
+    ``keys`` has an array of distinct keys for each row; a key has one weight."""
+    import numpy as np
 
-        for batch in batches:
-            keep = []
-            for left, right, a, b in zip(*[c.to_pylist() for c in batch.columns]):
-                (h, v), (k, w) = weighed(left, a), weighed(right, b)
-                _, i, j = np.intersect1d(h, k, assume_unique=True, return_indices=True)
-                low = np.minimum(v[i], w[j]).sum()
-                keep.append(bool(low >= similarity * (v.sum() + w.sum() - low) - 1e-9))
-            yield batch.select(["left", "right"]).filter(pa.array(keep, pa.bool_()))
+    total = np.zeros((len(left), len(right)))
+    flat, weight = np.concatenate(keys), np.concatenate(weights)
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    both = count > 1  # a key of one row is shared with none
+    keep = np.flatnonzero(both[code])
+    number = (np.cumsum(both) - 1)[code[keep]]
+    keep = keep[np.argsort(number, kind="stable")]
+    number = np.sort(number)
+    for low in range(0, int(both.sum()), ELEMENTS):
+        part = slice(*np.searchsorted(number, [low, low + ELEMENTS]))
+        held = np.zeros((len(keys), min(ELEMENTS, int(both.sum()) - low)))
+        values = np.zeros(held.shape[1])
+        held[owner[keep[part]], number[part] - low] = 1
+        values[number[part] - low] = weight[keep[part]]
+        total += (held[left] * values) @ held[right].T
+    return total
+
+
+def linked(members: DataFrame, texts: DataFrame, frequencies, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """``node, root, links`` per task: for its texts with a link, a member of their group, and their links counted here.
+
+    A link is a pair of a bucket whose whole texts have at least the weighted Jaccard similarity.
+    """
+    few = members.where("blocks = 1").agg(F.count("*"), F.sum("bytes")).first()
+    slots = max(1, -(-few[0] // BLOCK), -(-(few[1] or 0) // BLOCK_BYTES))
+    # at most BANDS buckets a text
+    places = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    rows = members.join(places, "node").join(texts, "node")
+    # buckets of one block share tasks
+    alone, zero = F.col("blocks") == 1, F.lit(0)
+    rows = rows.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    rows = rows.select(
+        F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(slots))).otherwise(F.col("bucket")).alias("task"),
+        F.when(alone, -1).otherwise(F.least("block", "other")).alias("a"),
+        F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("b"),
+        (F.col("block") <= F.col("other")).alias("own"), "bucket", "buckets", "node", "text")
+
+    def run(keys, table):
+        import numpy as np
+        import pyarrow as pa
 
-    return arrow_map(both, run, "left binary, right binary")
+        shingler, nodes = Shingler(width), {}
+        own, bucket = table.column("own").to_numpy(), table.column("bucket").to_numpy()
+        place = np.array([nodes.setdefault(n, len(nodes)) for n in table.column("node").to_pylist()])
+        held = [np.array(x, np.int64) for x in table.column("buckets").to_pylist()]
+        first = np.unique(place, return_index=True)[1]
+        elements, weights, sums = [], [], np.zeros(len(nodes))
+        for i, row in enumerate(first):
+            hashes, counts = shingler.of(table.column("text")[int(row)].as_py())
+            weight = frequencies[cells_of(hashes)].astype(np.float64)
+            sums[i] = (counts * weight).sum()
+            # the n-th occurrence of a shingle is an element
+            turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            elements.append(np.repeat(hashes, counts) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            weights.append(np.repeat(weight, counts))
+        links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        small, same = keys[1].as_py() < 0, keys[1].as_py() == keys[2].as_py()
+        order = np.argsort(bucket, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            left = np.arange(len(rows)) if small else np.flatnonzero(own[rows])
+            right = left if same else np.flatnonzero(~own[rows])
+            at = place[rows]
+            if not len(left) or not len(right):
+                continue
+            low = shared_weights([elements[i] for i in at], [weights[i] for i in at], left, right)
+            whole = sums[at[left]][:, None] + sums[at[right]][None, :] - low
+            i, j = np.nonzero(low >= similarity * whole - 1e-9)
+            i, j = i[at[left[i]] != at[right[j]]], j[at[left[i]] != at[right[j]]]
+            if not len(i):
+                continue
+            # a pair that shares a bucket of a smaller number is counted there
+            before = [held[r][held[r] < bucket[rows[0]]] for r in rows]
+            there = shared_weights(before, [np.ones(len(x)) for x in before], left, right)[i, j] > 0
+            one, two = at[left[i]], at[right[j]]
+            links += np.bincount(one[~there], minlength=len(nodes))
+            if not same:
+                links += np.bincount(two[~there], minlength=len(nodes))
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            for x, others in zip(one[starts], np.split(two, starts[1:])):
+                found = np.unique(np.append(label[others], label[x]))
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+        names = list(nodes)
+        out = np.flatnonzero((links > 0) | (label != np.arange(len(label))))
+        return pa.table({"node": pa.array([names[i] for i in out], pa.binary()),
+                         "root": pa.array([names[label[i]] for i in out], pa.binary()), "links": pa.array(links[out], pa.int64())})
+
+    return rows.groupBy("task", "a", "b").applyInArrow(run, "node binary, root binary, links long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                     width: int = WIDTH) -> DataFrame:
     """``key, class_id, n_links, kept, text_md5`` of every row: the smallest key of the row's class, the verified
-    links of its text to different texts, whether the row is the one that stays, and the MD5 of its text.
+    links of its text to different texts with which it shares a band, whether the row is the one that stays, and the MD5 of its text.
 
     Equal texts are one class, whether they have words or not; a NULL text, and a row with a NULL key, is a class
     of its own (class NULL for a NULL key). Texts without words link with no different text. A repeated key
@@ -276,10 +332,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = rows.where(F.col("key").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("key", "text", _md5(F.col("text")).alias("node"))
     frequencies = inverse_frequencies(rows, width)
-    signed = signatures(rows, frequencies, width).groupBy("node").agg(F.first("bands").alias("bands"))
+    signed = signatures(rows, frequencies, width).groupBy("node").agg(F.first("bands").alias("bands"),
+                                                                          F.first("bytes").alias("bytes"))
     signed = staged(signed, "signatures")
-    pairs = staged(candidate_pairs(signed), "pairs")
-    nodes = pairs.select(F.col("left").alias("node")).unionByName(pairs.select(F.col("right").alias("node"))).distinct()
+    members = staged(bucket_members(signed), "members")
+    nodes = members.select("node").distinct()
     # the text of a node is read from its smallest key, so copies are not moved
     lowest = rows.select("key", "node").groupBy("node").agg(F.min("key").alias("key"))
     wanted = staged(lowest.join(nodes, "node"), "wanted")
@@ -289,10 +346,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # repeated rows meet in the partitions of the join, so they are dropped without another shuffle
     texts = maybe.join(wanted, ["key", "node"]).select("key", "node", "text").dropDuplicates(["key", "node"])
     texts = staged(texts.select("node", "text"), "texts")
-    links = staged(verified(pairs, texts, frequencies, similarity, width), "links")
-    groups = staged(connected_components(links), "groups")
-    ends = links.select(F.col("left").alias("node")).unionByName(links.select(F.col("right").alias("node")))
-    counts = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    links = staged(linked(members, texts, frequencies, similarity, width), "links")
+    groups = staged(connected_components(links, "node", "root"), "groups")
+    counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     lows = lowest.withColumnRenamed("key", "low").join(groups, "node", "left").join(counts, "node", "left")
     lows = staged(lows.select("node", "low", F.coalesce("component", "node").alias("component"), "n_links"), "lows")
     named = staged(lows.groupBy("component").agg(F.min("low").alias("class_id")), "classes")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clearlines.llm import embeddings, neardup, queries
 from clearlines.llm.components import connected_components
@@ -87,6 +88,33 @@ def test_near_duplicates_against_brute_force(spark, make):
     assert all(r.kept == (r.class_id == i) for i, r in found.items())
 
 
+def test_every_pair_of_a_large_bucket_counts(spark, make):
+    """A group of over 1,000 with sub-variants, against all pairs that share a band."""
+    rng = random.Random(8)
+    base, texts = ["b%d" % i for i in range(150)], []
+    for v in range(12):
+        variant = noisy(rng, base, 0.02)
+        texts += [" ".join(noisy(rng, variant, 0.012)) for _ in range(130)]
+    texts = sorted(set(texts))
+    assert len(texts) > 1000
+    docs = make(list(enumerate(texts)))
+    frequencies = neardup.inverse_frequencies(docs)
+    signed = neardup.signatures(docs.select(F.col("doc_id").cast("string").cast("binary").alias("node"), "text"), frequencies)
+    bands = np.array([b for _, b in sorted((int(r.node), r.bands) for r in signed.collect())])
+    weights = weighted(texts, frequencies)
+    shingles = {k: n for n, k in enumerate({k for w in weights for k in w})}
+    held = np.zeros((len(texts), len(shingles)))  # the words differ, so each shingle occurs once
+    for i, w in enumerate(weights):
+        held[i, [shingles[k] for k in w]] = list(w.values())
+    sums, low = held.sum(axis=1), held @ (held > 0).T
+    near = low >= 0.8 * (sums[:, None] + sums[None, :] - low) - 1e-9
+    links = [(i, int(j)) for i in range(len(texts)) for j in np.flatnonzero(near[i, :i] & (bands[:i] == bands[i]).any(axis=1))]
+    wanted, counts = classes(range(len(texts)), links), np.bincount(np.array(links).ravel(), minlength=len(texts))
+    found = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    assert {i: r.class_id for i, r in found.items()} == wanted
+    assert {i: r.n_links for i, r in found.items()} == dict(enumerate(counts.tolist()))
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng, sampler = random.Random(3), neardup.Sampler(600)
     shingler = neardup.Shingler()

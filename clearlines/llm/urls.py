@@ -39,8 +39,11 @@ RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.
          Rule("org/fr/", "allow"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
+_CANONICAL = r"(?is)(?<![\w-])rel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"
+_REFRESH = r"(?is)(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b"
+#: The target within a refresh's content, which may have quotes of its own.
+_MOVED = r"(?is)\burl\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\"'\s>]+))"
 
 
 def after_scheme(url: Column) -> Column:
@@ -84,20 +87,71 @@ def verdict_of(site: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def page_link(html: Column) -> Column:
-    """As an array of at most one: the target of a page's canonical link, else of its refresh redirect."""
-    low = F.lower(html)
-    canonical = F.when(low.contains("canonical"), F.regexp_extract(html, _LINK, 1))
-    refresh = F.when(low.contains("http-equiv"), F.regexp_extract(html, _REFRESH, 1))
-    return F.slice(F.filter(F.array(canonical, refresh), lambda link: link != ""), 1, 1)
+def _one_of_three(text: Column, pattern: str) -> Column:
+    """The group of a pattern of three alternatives that matched, trimmed; empty if none did."""
+    return F.trim(F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return _one_of_three(tag, rf"(?is)(?<![\w-]){name}{_VALUE}")
+
+
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+
+
+def _moved(tag: Column) -> Column:
+    content = F.regexp_replace(F.regexp_replace(_content(tag), "&quot;|&#34;", '"'), "&apos;|&#39;", "'")
+    return _one_of_three(content, _MOVED)
+
+
+def _content(tag: Column) -> Column:
+    """The content attribute; without quotes around it, it ends at white space."""
+    return _one_of_three(tag, r"(?is)(?<![\w-])content\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>][^\s>]*))")
+
+
+def page_links(html: Column) -> Column:
+    """As an array: the targets of all canonical links and refresh redirects of a page."""
+    low, none = F.lower(html), F.array().cast("array<string>")
+    links = F.filter(_tags(html, "link"), lambda tag: tag.rlike(_CANONICAL))
+    moves = F.filter(_tags(html, "meta"), lambda tag: tag.rlike(_REFRESH))
+    canonical = F.when(low.contains("canonical"), F.transform(links, lambda tag: _attribute(tag, "href"))).otherwise(none)
+    refresh = F.when(low.contains("http-equiv"), F.transform(moves, _moved)).otherwise(none)
+    return F.array_distinct(F.filter(F.concat(canonical, refresh), lambda link: link != ""))
+
+
+def page_base(html: Column) -> Column:
+    """The href of the first base tag that has one, else NULL."""
+    found = F.filter(F.transform(_tags(html, "base"), lambda tag: _attribute(tag, "href")), lambda link: link != "")
+    return F.when(F.lower(html).contains("<base"), F.get(found, F.lit(0)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its segments ``.`` and ``..`` resolved."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array().cast("array<string>"), lambda done, part: F.when(
+        part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(
+        F.concat(done, F.array(part))))
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
 
 
 def absolute(url: Column, link: Column) -> Column:
-    """A link's address. It may be absolute, or start with ``//`` or ``/``; NULL for others."""
+    """A link's address, relative ones resolved against ``url`` (RFC 3986). NULL for schemes without ``://``."""
     link, scheme = F.replace(link, F.lit("&amp;"), F.lit("&")), F.substring_index(url, "://", 1)
-    return (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link)))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    query = F.regexp_extract(after_scheme(url), r"^[^?#]*([^#]*)", 1)
+    target = (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+              .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+              .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+              .when(link.startswith("/"), F.concat(root, link))
+              .when(link.startswith("?"), F.concat(root, path, link))
+              .when(link.startswith("#"), F.concat(root, path, query, link))
+              .otherwise(F.concat(root, F.regexp_extract(path, "^.*/", 0), link)))
+    straight = F.concat(F.substring_index(target, "://", 1), F.lit("://"), F.regexp_extract(after_scheme(target), "^[^/?#]*", 0),
+                        without_dots(path_of(target)), F.regexp_extract(after_scheme(target), r"^[^?#]*(.*)$", 1))
+    return F.when(F.instr(url, "://") > 0, F.when(path_of(target).contains("/."), straight).otherwise(target))
 
 
 def _node(place: Column) -> Column:
@@ -113,8 +167,10 @@ def _ruled(rows: DataFrame, url: str, rules: tuple[Rule, ...]) -> DataFrame:
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """``source, target`` addresses from the pages' links and from a table (``source, target``) of redirects."""
     # exploding and writing the few links found keeps the patterns from being worked out again
-    found = staged(pages.select(F.col(url).alias("source"), F.explode(page_link(F.col(html))).alias("link")), "page-links")
-    edges = found.select("source", absolute(F.col("source"), F.col("link")).alias("target"))
+    found = staged(pages.select(F.col(url).alias("source"), page_base(F.col(html)).alias("base"),
+                                F.explode(page_links(F.col(html))).alias("link")), "page-links")
+    base = F.coalesce(absolute(F.col("source"), F.col("base")), F.col("source"))
+    edges = found.withColumn("base", base).select("source", absolute(F.col("base"), F.col("link")).alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select("source", "target"))
     edges = staged(edges.select(address(F.col("source")).alias("source"), address(F.col("target")).alias("target")), "aliases")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
@@ -199,6 +200,27 @@ def test_aliases_carry_blocks(spark):
                         9: "allow", 10: "block"}
 
 
+LINKS = [("http://a.de/x/y?q=1", ["p.html", "../z", "?id=2", "./", "..", "/r/../s", "//c.de/a", "https://d.de/k", "../../../u"]),
+         ("http://b.de", ["p", "?id=3", "mailto:a@b.de"]), ("http://c.de/a/b/", ["c/./d", "../e?x=../f", "/"])]
+
+
+def test_every_link_of_a_page(spark):
+    tags = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='nofollow canonical'>", '<meta http-equiv="refresh" content="0; url={}">',
+            """<meta content="0;URL='{}'" http-equiv=refresh>""", """<meta http-equiv='Refresh' content='5; url = "{}"'>"""]
+    rows, wanted = [], set()
+    for i, (url, links) in enumerate(LINKS):
+        rows.append((i, url, "<html>" + "".join(tags[n % len(tags)].format(link) for n, link in enumerate(links))))
+        wanted |= {(url, urljoin(url, link)) for link in links if ":" not in link or "://" in link}
+    rows.append((9, "http://e.de/1", '<base href="/deep/er/"><link rel=canonical href=a.html><link rel="icon" href="i.png">'))
+    wanted.add(("http://e.de/1", "http://e.de/deep/er/a.html"))
+    full = lambda u: u if u.count("/") > 2 else u.replace("de", "de/", 1)  # noqa: E731  a host alone is its path /
+    found = [(r.source, r.target) for r in urls.alias_edges(page(spark, rows)).collect()]
+    assert set(found) == {(full(a), full(b.replace("de?", "de/?"))) for a, b in wanted}
+    rows = [(1, "http://f.de/d/1", "".join(tags[0].format(x) for x in ("http://g.de/", "2")) + tags[3].format("http://bad.net/")),
+            (2, "http://f.de/d/2", None), (3, "http://g.de/", "")]
+    assert {r.verdict for r in urls.judge_urls(page(spark, rows)).collect()} == {"block"}
+
+
 def test_url_query(spark, folder):
     rows = queries.QUERIES["op8_url_filters"](spark, folder).collect()
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
+import plain  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -29,17 +31,4 @@ def folder():
 def texts(spark, folder):
     """All documents, and awkward texts of our own."""
     rows = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
-    return rows + AWKWARD
-
-
-AWKWARD = [
-    "", "   ", "\n\t ", "Dr. Smith left. He ran.", "one. two. Three! Four", "A?B. C", 'He said "Go." Then left.',
-    'First.\nSecond one. "Third."', "a\nb. c", "What?! Yes.", "no end", "It cost 3.5 dollars. More.",
-    "wide space here　and there. Next one.", "\x1codd\x1fseparators\x85too.\x1dAnd More",
-    "1,200 and 3.5% of 2.0.1 or ٣٤%", "state-of-the-art AI was x-ray naïve café", "ßharp ß", "ǆ digraph",
-    "The Rapid rapid RAPID rapidly proliferation, of artificial intelligence; technologies in a manner:  analyzed",
-    "decision-making is decision-makings, not indecision-making _manner_ mannerß ſpeed proceſſed proceSSed",
-    "crumbs\r\nand\rreturns. Done. Ok", "emoji \U0001f600 text. Yes \U0001f600.", "a" * 300, "ab " * 120,
-    "### Response: x ### Response: y. Z", "Simple: a Simplified: b", "x ###\n\n y", "\n\nlead ### tail",
-    "this this-that abc- --word x-ray th-is over-under thisthat the this1that éthisé",
-]
+    return rows + plain.AWKWARD

@@ -4,7 +4,6 @@ from dataclasses import replace
 
 import plain
 import pytest
-from conftest import AWKWARD
 from pyspark.sql import functions as F
 
 from clearlines.functions.similarity import closed_ratio, is_copy, length_bound, similarity_ratio
@@ -16,7 +15,7 @@ from clearlines.queries.data import candidates, near_pairs, pairs
 @pytest.fixture(scope="module")
 def pairs_df(spark, folder):
     made = candidates(spark, folder).select("doc_id", "kind", "normal", "candidate").where("doc_id < 12 and length(normal) < 600").drop("doc_id").distinct()
-    own = [("own", a, b) for a in AWKWARD for b in AWKWARD]
+    own = [("own", a, b) for a in plain.AWKWARD for b in plain.AWKWARD]
     return made.unionByName(spark.createDataFrame(own, "kind string, normal string, candidate string")).cache()
 
 

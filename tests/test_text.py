@@ -4,7 +4,6 @@ import re
 
 import plain
 import pytest
-from conftest import AWKWARD
 from pyspark.sql import functions as F
 
 from clearlines import fixed
@@ -153,4 +152,4 @@ def test_decoders(spark):
 
 
 def test_awkward_texts_are_awkward():
-    assert any(not t.strip() for t in AWKWARD)
+    assert any(not t.strip() for t in plain.AWKWARD)

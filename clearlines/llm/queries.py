@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearlines.llm import bpe, embeddings, language, licenses, lines, neardup, packing, quality, secrets, urls
+from clearlines.llm import bpe, embeddings, language, licenses, lines, neardup, packing, periods, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,33 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = periods.periodic_runs(docs.select("doc_id", planted_periods().alias("text")), digest=True)
+    line = lambda r: F.concat(F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]), F.lit("\n"))
+    listed = F.array_join(F.transform("runs", line), "")
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent,
+                        F.sha2(listed, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
+def planted_periods(key: str = "doc_id", text: str = "text") -> Column:
+    """The text; of every tenth document (by the hash of its id) one that repeats itself from some word on."""
+    h, words = F.crc32(F.col(key).cast("string")), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size(words)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        at = lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), at), " ")
+
+    made = F.get(F.transform(F.array(words), repeated), 0)  # words are split once
+    return F.when((h % 10 == 0) & (n > 0), made).otherwise(F.col(text))
+
+
 _WORD = r"[^\x20\x09-\x0D]"
 _PLAIN = r"regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', '', 'g'), '\p{N}', '0', 'g')"
 ORACLES["op2_quality_rules"] = f"""WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),

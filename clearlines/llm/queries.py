@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearlines.llm import bpe, embeddings, language, licenses, lines, neardup, packing, periods, quality, secrets, urls
+from clearlines.llm import bpe, embeddings, language, licenses, lines, neardup, packing, periods, quality, secrets, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,11 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(listed, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
 
 
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def planted_periods(key: str = "doc_id", text: str = "text") -> Column:
     """The text; of every tenth document (by the hash of its id) one that repeats itself from some word on."""
     h, words = F.crc32(F.col(key).cast("string")), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearlines.llm import bpe, embeddings, language, licenses, lines, neardup, packing, periods, quality, secrets, urls, whitening
+from clearlines.llm import bpe, covertree, embeddings, language, licenses, lines, neardup, packing, periods, quality, secrets, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,12 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    found = covertree.top_inner_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -158,6 +164,13 @@ judged AS (SELECT facts.*, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(d
   FROM facts LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept FROM judged"""
 
+ORACLES["op11_exact_top_k"] = """WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score FROM vectors q JOIN vectors d
+  ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5"""
+
 ORACLES["op7_embedding_near_dedup"] = f"""WITH RECURSIVE vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

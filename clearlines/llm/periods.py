@@ -5,10 +5,11 @@ A *run* is a stretch of words with smallest period ``q`` (words ``q`` apart are
 words that equal the one ``q`` further on; a run is a maximal interval of at least ``3 q`` matches.
 
 * **Octaves.** Periods from ``s`` to ``2 s - 1`` (``s`` a power of two) are looked for around every word ``c`` whose
-  number is a multiple of ``2 s``: the tile of ``c`` is the words from ``c - 2 s`` to ``c + 4 s``. Tiles overlap, so that
+  number is a multiple of ``2 s``: the tile of ``c`` is the words from ``c - 2 s`` to ``c + 5 s``. Tiles overlap, so that
   each interval of matches is the union of what the tiles find on both sides of their ``c``.
-* **Gate.** A tile can only hold a part of a run if ``s`` words at one side of ``c`` recur between ``s`` and ``2 s``
-  words later. Window hashes of a whole octave tell this in one pass; equal words have equal hashes, so no run is lost.
+* **Gate.** Only tiles are solved where the ``s + 1`` words from ``c`` on recur between ``s`` and ``2 s`` words later. A run's
+  first ``c`` always does; a last ``c`` that does not is covered by the tile before, which sees ``3 s`` matches on.
+  Window hashes of a whole octave tell this in one pass; equal words have equal hashes, so no run is lost.
 * **Solving.** Tiles that pass are rows of their own, dealt out over all tasks. Two Z-functions at ``c``, one to the
   right and one to the left, give the matches next to ``c`` of all periods. A period whose stretch also has a smaller
   one is left out: the whole run has it then.
@@ -55,18 +56,18 @@ def z_function(s: list) -> list[int]:
 
 def tile_matches(ids: list[int], c: int, step: int) -> list[tuple[int, int, int]]:
     """``period, first, last + 1`` of the matches next to ``c``, for the primitive periods of the octave of ``step``."""
-    left, right = ids[max(0, c - 2 * step):c], ids[c:c + 4 * step]
+    left, right = ids[max(0, c - 2 * step):c], ids[c:c + 5 * step]
     near = right[:2 * step]
     after = z_function(right)
     before = z_function(left[::-1] + [-1] + (left + near)[::-1])
     at = len(left) + 1 + len(near)
     strong = [(p, before[at - p], after[p] if p < len(right) else 0) for p in range(1, min(2 * step - 1, len(near)) + 1)]
-    strong = [x for x in strong if x[1] + x[2] >= 2 * step]
+    strong = [x for x in strong if x[1] + x[2] >= 3 * step]
     found = []
     while strong:
         p, back, on = strong[0]
         if p >= step:
-            found.append((p, c - back, c + min(on, 2 * step)))
+            found.append((p, c - back, c + on))
         strong = [x for x in strong[1:] if x[1] > back or x[2] + x[0] > on + p]
     return found
 
@@ -98,12 +99,11 @@ class Gate:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * self.powers[:n], dtype=np.uint64)])
         step = 1
         while times * step <= n:
-            window = (total[step:] - total[:-step]) * self.inverse[:n - step + 1]
+            window = (total[step + 1:] - total[:-step - 1]) * self.inverse[:n - step]
             rows = np.zeros(-(-len(window) // (2 * step)) * 2 * step, np.uint64)
             rows[:len(window)] = window
             rows = rows.reshape(-1, 2 * step)
             some = (rows[:, step:] == rows[:, :1]).any(axis=1)
-            some[1:] |= (rows[1:, :step] == rows[:-1, step:step + 1]).any(axis=1)
             if some.any():
                 yield step, (np.flatnonzero(some) * 2 * step).tolist()
             step *= 2
@@ -113,12 +113,12 @@ def spans(places: list[int], step: int, n: int, most: int = SPAN) -> Iterator[tu
     """Tiles that overlap as one stretch of words, of at most ``most`` words or one tile: ``first, end, places``."""
     held: list[int] = []
     for c in places:
-        if held and (c - held[-1] > 4 * step or c + 6 * step - held[0] > most):
-            yield max(0, held[0] - 2 * step), min(n, held[-1] + 4 * step), held
+        if held and (c - held[-1] > 5 * step or c + 7 * step - held[0] > most):
+            yield max(0, held[0] - 2 * step), min(n, held[-1] + 5 * step), held
             held = []
         held.append(c)
     if held:
-        yield max(0, held[0] - 2 * step), min(n, held[-1] + 4 * step), held
+        yield max(0, held[0] - 2 * step), min(n, held[-1] + 5 * step), held
 
 
 def _cut(kind: str, digest: bool, times: int, most: int):

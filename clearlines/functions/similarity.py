@@ -1,6 +1,7 @@
-"""Sequence similarity: ``difflib``'s ratio, decided in the JVM wherever that is exact.
+"""Sequence similarity: the ratio of characters in common blocks, decided in the JVM wherever that is exact.
 
-The ratio itself has no Spark counterpart and runs as an Arrow UDF. Two facts keep
+The ratio itself has no Spark counterpart and runs as an Arrow UDF (:mod:`clearlines.functions.blocks`), in time that
+grows little faster than the texts. Two facts keep
 most rows away from Python, without changing any result:
 
 * ``ratio <= 2 * min(la, lb) / (la + lb)``, so a test against a threshold above that
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clearlines.functions.blocks import block_ratio, block_ratio_reaches
+
 # From this length on the second text's frequent characters are skipped.
 FREQUENT_FROM = 200
 
@@ -45,13 +48,13 @@ def _ratio_udf(skip_frequent: bool):
 
         import pandas as pd
 
+        def ratio(a, b):
+            if a is None or b is None:
+                return None
+            return SequenceMatcher(None, a, b).ratio() if skip_frequent else block_ratio(a, b)
+
         for left, right in batches:
-            yield pd.Series(
-                [None if a is None or b is None
-                 else SequenceMatcher(None, a, b, autojunk=skip_frequent).ratio()
-                 for a, b in zip(left, right)],
-                dtype="float64",
-            )
+            yield pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
     return F.pandas_udf(ratios, "double")
 
@@ -68,7 +71,9 @@ def _reaches_udf(threshold: float, above: bool, skip_frequent: bool):
         def decide(a, b):
             if a is None or b is None:
                 return None
-            match = SequenceMatcher(None, a, b, autojunk=skip_frequent)
+            if not skip_frequent:
+                return block_ratio_reaches(a, b, threshold, above)
+            match = SequenceMatcher(None, a, b)
             # quick_ratio is an upper bound of ratio and linear in the lengths
             return enough(match.quick_ratio()) and enough(match.ratio())
 
@@ -79,7 +84,7 @@ def _reaches_udf(threshold: float, above: bool, skip_frequent: bool):
 
 
 def similarity_ratio(a: Column, b: Column, skip_frequent: bool = False) -> Column:
-    """``difflib`` ratio of two texts, case as given; not symmetric.
+    """Ratio of two texts by their common blocks, equal to ``difflib``'s; case as given; not symmetric.
 
     With ``skip_frequent=True`` the frequent characters of texts of 200 characters and more do not
     count, ``difflib``'s own rule, with which long near copies may score low.

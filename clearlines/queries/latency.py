@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from clearlines.operators import latency
 from clearlines.plans.staging import Staging
 from clearlines.queries import sql
-from clearlines.queries.data import requests, table
+from clearlines.queries.data import requests
 from clearlines.queries.registry import query
-from clearlines.streaming.latency import trailing_mean_batches, trailing_mean_stream
+from clearlines.streaming.latency import rocksdb_state, trailing_mean_batches, trailing_mean_stream
 
 _FRAME = "(PARTITION BY session, stage ORDER BY ts, id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 _TRAILING = f"""{sql.REQUESTS}, trail AS (
@@ -93,30 +93,40 @@ def eta_text(spark, folder):
                                           latency.range_text(s * 0.75, s * 1.8).alias("span"))
 
 
+SLICES = 10
+
+
+def _slices(spark, folder):
+    """The requests, and the column that cuts them into ``SLICES`` parts by time."""
+    rows = requests(spark, folder).drop("words")
+    at = F.unix_timestamp("ts")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    return rows, F.least(F.floor(SLICES * (at - low) / max(1, high - low)), F.lit(SLICES - 1))
+
+
 @query("stream_latency", _TRAILING_SQL)
 def stream_latency(spark, folder):
-    """The events as a stream, with the last timings of each group as state."""
+    """The events arriving in ten parts, with the last timings of each group as state; each part is a run of the query that
+    goes on from the state of the one before."""
     staging = Staging(spark)
-    schema = table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    stage = F.when(F.col("event_type").isin("signup", "purchase"), "translate").otherwise("simplify")
-    timings = events.select(F.col("user_id").alias("session"), stage.alias("stage"), "ts",
-                            F.col("event_id").alias("id"), F.col("value").alias("seconds"))
-    query_ = (trailing_mean_stream(timings).writeStream.format("parquet").option("path", staging.path("out"))
-              .option("checkpointLocation", staging.path("state")).trigger(availableNow=True).start())
-    query_.awaitTermination()
+    rows, part = _slices(spark, folder)
+    for i in range(SLICES):
+        rows.where(part == i).write.mode("append").parquet(staging.path("in"))
+        stream = spark.readStream.schema(rows.schema).parquet(staging.path("in"))
+        with rocksdb_state(spark):
+            running = (trailing_mean_stream(stream).writeStream.format("parquet").option("path", staging.path("out"))
+                       .option("checkpointLocation", staging.path("state")).trigger(availableNow=True).start())
+        running.awaitTermination()
     return _means(spark.read.parquet(staging.path("out")))
 
 
 @query("stream_latency_batches", _TRAILING_SQL)
 def stream_latency_batches(spark, folder):
-    """The events in three files by time, one micro-batch each, with the last timings of each group as a table."""
-    staging, rows = Staging(spark), requests(spark, folder).drop("words")
-    at = F.unix_timestamp("ts")
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    part = F.least(F.floor(3 * (at - low) / max(1, high - low)), F.lit(2))
-    for i in range(3):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(staging.path("in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(staging.path("in"))
-    trailing_mean_batches(stream, staging.path("out"), staging.path("tails"), staging.path("checkpoint")).awaitTermination()
+    """The events in ten parts by time, a micro-batch each, with the last timings of each group as a table."""
+    staging = Staging(spark)
+    rows, part = _slices(spark, folder)
+    for i in range(SLICES):
+        rows.where(part == i).write.mode("append").parquet(staging.path("in"))
+        stream = spark.readStream.schema(rows.schema).parquet(staging.path("in"))
+        trailing_mean_batches(stream, staging.path("out"), staging.path("tails"), staging.path("checkpoint")).awaitTermination()
     return _means(spark.read.parquet(staging.path("out")))

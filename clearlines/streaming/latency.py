@@ -1,58 +1,89 @@
 """Trailing mean of stage timings on a stream, with the last timings of a group as state.
 
-Two ways. As a stateful operator, one task takes a group's rows of a micro-batch. As batch
-jobs over micro-batches, the last rows of each group are a table, and the chunked plan of the
+Two ways. As a stateful operator, one task takes a group's rows of a micro-batch and keeps the last timings in a list
+state. As batch jobs over micro-batches, the last rows of each group are a table, and the chunked plan of the
 batch operator spreads a large group over tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from clearlines import fixed
 from clearlines.operators.latency import trailing_mean
 from clearlines.plans.staging import Staging
 
+#: Rows that leave a stateful task at a time.
+PIECE = 1 << 14
+
+
+def _processor(rows: int, forget_after_ms: int | None) -> StatefulProcessor:
+    """What is kept of a group: its last ``rows`` timings, as a list state."""
+    class Trailing(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.recent = handle.getListState("recent", "seconds double", forget_after_ms)
+
+        def handleInputRows(self, key: tuple, parts: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            import numpy as np
+            import pandas as pd
+
+            recent = [math.nan if s is None else s for (s,) in self.recent.get()]
+            batch = pd.concat([p[["ts", "id", "seconds"]] for p in parts]).sort_values(["ts", "id"], ignore_index=True)
+            timings = np.concatenate([np.full(rows - len(recent), np.nan), recent, batch.pop("seconds").to_numpy(np.float64)])
+            ids, known = batch.pop("id"), len(recent)
+            for at in range(0, len(ids), PIECE):
+                end = min(at + PIECE, len(ids))
+                before = np.lib.stride_tricks.sliding_window_view(timings[at:end + rows - 1], rows)
+                counted = ~np.isnan(before)
+                sums, sizes = np.where(counted, before, 0.0).sum(axis=1), counted.sum(axis=1)
+                means = pd.Series(sums / np.maximum(sizes, 1)).where(sizes > 0)
+                yield pd.DataFrame({"session": pd.Series([key[0]] * (end - at)), "stage": pd.Series([key[1]] * (end - at)),
+                                    "id": ids[at:end].to_numpy(), "seconds": timings[at + rows:end + rows], "seconds_mean": means,
+                                    "history": np.minimum(np.arange(at, end) + known, rows)})
+            kept = timings[-min(rows, known + len(ids)):]
+            self.recent.put([(None if math.isnan(s) else float(s),) for s in kept])
+
+        def close(self) -> None:
+            pass
+
+    return Trailing()
+
 
 def trailing_mean_stream(timings: DataFrame, rows: int = fixed.HISTORY, forget_after_ms: int | None = None) -> DataFrame:
     """(session, stage, id, seconds, seconds_mean, history) for rows (session, stage, ts, id, seconds).
 
-    Rows of one micro-batch are taken in the order of (ts, id); bound the micro-batch at
-    the source (``maxFilesPerTrigger`` or the like). ``ts`` is a timestamp column. Groups
-    silent for ``forget_after_ms`` lose their history.
+    Rows of one micro-batch are taken in the order of (ts, id), and later micro-batches must come later; bound the
+    micro-batch at the source (``maxFilesPerTrigger`` or the like): its rows of one group are sorted in one worker, as three bare
+    columns, and leave it in pieces. ``ts`` is a timestamp column. NULL timings count in the history, not in the mean.
+    Timings are forgotten ``forget_after_ms`` after their micro-batch; Spark then runs micro-batches without data too, so a query
+    with ``availableNow`` only ends if ``spark.sql.streaming.noDataMicroBatches.enabled`` is false. Start the query within
+    :func:`rocksdb_state`.
     """
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(parts)).sort_values(["ts", "id"])
-        means, sizes = [], []
-        for seconds in batch["seconds"]:
-            means.append(sum(recent) / len(recent) if recent else None)
-            sizes.append(len(recent))
-            recent = [*recent, float(seconds)][-rows:]
-        state.update((recent,))
-        if forget_after_ms is not None:
-            state.setTimeoutDuration(forget_after_ms)
-        yield pd.DataFrame({"session": key[0], "stage": key[1], "id": batch["id"].to_numpy(),
-                            "seconds": batch["seconds"].to_numpy(),
-                            "seconds_mean": pd.Series(means, dtype="float64"), "history": sizes})
-
     fields = {f.name: f.dataType.simpleString() for f in timings.schema.fields}
     out = (f"session {fields['session']}, stage {fields['stage']}, id {fields['id']}, "
            "seconds double, seconds_mean double, history bigint")
-    timeout = "NoTimeout" if forget_after_ms is None else "ProcessingTimeTimeout"
+    mode = "None" if forget_after_ms is None else "ProcessingTime"
     return (timings.select("session", "stage", "ts", "id", "seconds").groupBy("session", "stage")
-            .applyInPandasWithState(update, out, "recent array<double>", "append", timeout))
+            .transformWithStateInPandas(_processor(rows, forget_after_ms), out, "append", mode))
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB; the session's own setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def trailing_mean_batches(timings: DataFrame, output: str, state: str, checkpoint: str, rows: int = fixed.HISTORY,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clearlines.operators import latency
 from clearlines.plans.staging import Staging
-from clearlines.streaming.latency import trailing_mean_stream
+from clearlines.streaming.latency import rocksdb_state, trailing_mean_stream
 
 
 def timings(seed=1, n=600):
@@ -68,20 +68,71 @@ def test_duration_text(spark):
     assert [r[0] for r in spark.createDataFrame([(" a  b ",), (None,)], "t string").select(latency.request_words(F.col("t"))).collect()] == [2, 0]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Rows arriving in order, in several micro-batches."""
-    rows = sorted((r for r in timings(4) if r[0]), key=lambda r: (r[2], r[3]))
+def streamed(spark, stream, folder, **options):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "forget_after_ms" not in options)
+    with rocksdb_state(spark):
+        query = (trailing_mean_stream(stream, **options).writeStream.format("parquet").option("path", f"{folder}/out")
+                 .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert query.awaitTermination(120)
+    return spark.read.parquet(f"{folder}/out")
+
+
+@pytest.mark.parametrize("forget", [None, 3_600_000])
+def test_stream_equals_batch(spark, tmp_path, forget):
+    """Rows arriving in order, in several micro-batches, some timings NULL."""
+    own = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rows = sorted((r[:4] + (None,) if r[3] % 97 == 0 else r for r in timings(4)), key=lambda r: (r[2], r[3]))
     for part in range(3):
         piece = spark.createDataFrame(rows[part * 200:(part + 1) * 200], SCHEMA).withColumn("ts", F.timestamp_seconds("ts"))
         piece.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = (trailing_mean_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
-    query.awaitTermination()
-    wanted = brute(rows)
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = streamed(spark, stream, tmp_path, **({"forget_after_ms": forget} if forget else {})).collect()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == own
     assert len(got) == len(rows)
+    wanted = {}
+    for key in {(r[0], r[1]) for r in rows}:
+        recent = []
+        for r in (r for r in rows if (r[0], r[1]) == key):
+            known = [s for s in recent if s is not None]
+            wanted[r[3]] = (sum(known) / len(known) if known else None, len(recent))
+            recent = [*recent, r[4]][-20:]
     for r in got:
         mean, size = wanted[r.id]
         assert r.history == size and (r.seconds_mean is None if mean is None else r.seconds_mean == pytest.approx(mean))
+
+
+def test_timings_are_forgotten(spark, tmp_path):
+    """A group's timings of a micro-batch that is long past count no more."""
+    schema = None
+    for part in range(2):
+        piece = spark.createDataFrame([("s", "simplify", part, part, 5.0)], SCHEMA).withColumn("ts", F.timestamp_seconds("ts"))
+        piece.write.mode("append").parquet(str(tmp_path / "in"))
+        schema = piece.schema
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        got = streamed(spark, stream, tmp_path, forget_after_ms=1)
+    assert sorted((r.id, r.history) for r in got.collect()) == [(0, 0), (1, 0)]
+
+
+def test_large_group_within_bounded_memory(spark, tmp_path):
+    """A million timings of one session in one micro-batch: no worker ever has 900 MB."""
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("session"), F.lit("simplify").alias("stage"),
+                                         F.timestamp_seconds(F.col("id")).alias("ts"), "id", (F.col("id") % 7).cast("double").alias("seconds"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = streamed(spark, stream, tmp_path)
+    ids = spark.range(1_000_000)
+    last = got.where("id >= 999980").orderBy("id").collect()
+    assert got.count() == ids.count() and got.where("history < 20").count() == 20
+    for r in last:
+        assert r.seconds_mean == pytest.approx(sum(i % 7 for i in range(r.id - 20, r.id)) / 20)
+
+    def peaks(parts):
+        import resource
+
+        for part in parts:
+            yield part.assign(id=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+
+    # the workers that served the stream serve this as well
+    assert max(r.id for r in spark.range(0, 64, 1, 16).mapInPandas(peaks, "id long").collect()) < 900

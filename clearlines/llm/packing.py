@@ -16,6 +16,7 @@ The rest of a run is one padded sequence, or is split into powers of two where t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ INSIDE = 8
 #: Tokens of a run: what a task holds at a time, whatever the length of its documents.
 RUN = 1 << 20
 _FAR = 1 << 30
+#: White space of the word pattern, a thousand characters and more.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 
 
 def rest_cost(tokens: int, size: int, split: int = 16) -> tuple[int, list[int]]:
@@ -94,12 +97,23 @@ class Encoder:
         alphabet, special = byte_alphabet(), {t["content"]: t["id"] for t in parts.get("added_tokens") or []}
         words = {bytes(alphabet[c] for c in t): i for t, i in parts["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=words, special_tokens=special)
+        self.special = list(special)
         self.closes = np.zeros(max([*words.values(), *special.values()]) + 1, bool)  # ids that end a sentence
         for word, i in words.items():
             self.closes[i] = word.rstrip(b"\"')")[-1:] in (b".", b"!", b"?") or b"\n" in word
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode(text, allowed_special="all")
+        """Ids of the whole text. Long blank runs are cut out first, where the word pattern would cut them: it backs up over
+        each of their characters and gives up on a million."""
+        ids, at = [], 0
+        for run in LONG_BLANK.finditer(text):
+            end = run.end()
+            # a blank before a word goes with the word; before a special token or the end the run is whole
+            whole = end == len(text) or any(text.startswith(t, end) for t in self.special)
+            ids += self.encoding.encode(text[at:run.start()], allowed_special="all")
+            at = end if whole else end - 1
+            ids += self.encoding._encode_single_piece(text[run.start():at])
+        return ids + self.encoding.encode(text[at:] if at else text, allowed_special="all")
 
 
 class Packer:

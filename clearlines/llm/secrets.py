@@ -88,7 +88,7 @@ RULES: dict[str, list[tuple[str, re.Pattern, Callable[[re.Match], bool]]]] = {
     **{f"gh{kind}_": [("github", re.compile(rb"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: crc_ends(m[0]))]
        for kind in "pousr"},
     "npm_": [("npm", re.compile(rb"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), lambda m: crc_ends(m[0]))],
-    "eyj": [("jwt", re.compile(rb"eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}"), lambda m: jwt(m[0]))],
+    "eyj": [("jwt", re.compile(rb"(?<![\w-])eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}"), lambda m: jwt(m[0]))],
     **{word: [("card", re.compile(word.encode() + rb"[^0-9\n]{0,20}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.I),
                lambda m: luhn(m[1]))] for word in ("card", "visa")},
     "iban": [("iban", re.compile(rb"iban[^0-9A-Za-z\n]{0,4}([A-Z]{2}[0-9]{2}[0-9A-Z]{11,30})(?![0-9A-Za-z])", re.I),

@@ -97,7 +97,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^<>]*>"), F.lit(0))
 
 
 def _moved(tag: Column) -> Column:

@@ -19,8 +19,6 @@ SYMBOLS = "#*$%&|<>"
 
 #: A line in more documents of a host than this is boilerplate.
 LIMIT = 20
-#: Lines with fewer letters and digits than this are never counted as boilerplate.
-SHORT = 10
 #: Share of a document's counted characters that may be removed.
 DEPLETED = 0.5
 SALTS = 32
@@ -78,9 +76,9 @@ def normalised(line: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """``key, host, line, chars``: every counted line of every row; NULL texts have none."""
+    """``key, host, line, chars``: every line with a letter or digit of every row, however short; NULL texts have none."""
     plain = F.transform(F.split(F.col(text), "\n"), normalised)
-    counted = F.filter(plain, lambda line: F.length(line) >= SHORT)
+    counted = F.filter(plain, lambda line: line != "")
     hashes = F.transform(counted, lambda line: F.struct(F.xxhash64(line).alias("line"), F.length(line).alias("chars")))
     rows = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.explode(hashes).alias("at"))
     return rows.select("key", "host", "at.line", "at.chars")
@@ -117,7 +115,7 @@ def line_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
 def without_lines(text: Column, removed: Column) -> Column:
     """The text without the lines whose hashes are in ``removed``."""
     kept = F.filter(F.split(text, "\n"), lambda line: ~F.coalesce(
-        F.array_contains(removed, F.xxhash64(normalised(line))) & (F.length(normalised(line)) >= SHORT), F.lit(False)))
+        F.array_contains(removed, F.xxhash64(normalised(line))) & (normalised(line) != ""), F.lit(False)))
     return F.array_join(kept, "\n")
 
 

@@ -155,7 +155,7 @@ counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1]
 repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM counted, range(0, 3) AS inside(k) WHERE counted.n > 1 GROUP BY doc_id),
 lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM texts),
 plain AS (SELECT doc_id, source, {_PLAIN} AS line FROM lines),
-long AS (SELECT * FROM plain WHERE length(line) >= {lines.SHORT}),
+long AS (SELECT * FROM plain WHERE line <> ''),
 hot AS (SELECT source, line FROM long GROUP BY source, line HAVING count(DISTINCT doc_id) > {lines.LIMIT}),
 lost AS (SELECT doc_id, sum(CASE WHEN hot.line IS NOT NULL THEN length(long.line) ELSE 0 END) > {lines.DEPLETED} * sum(length(long.line)) AS depleted
   FROM long LEFT JOIN hot ON long.line = hot.line AND long.source IS NOT DISTINCT FROM hot.source GROUP BY doc_id),

@@ -8,6 +8,7 @@ the dictionary in reach however long the text is. The margin between the two sma
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from clearlines.llm.common import arrow_filter, arrow_map
 
-#: Per language: documents in the sample, and the characters taken of each (bounds of the dictionaries alone).
+#: Per language: documents in the sample, and slices of each and their characters (bounds of the dictionaries alone).
 SAMPLE_DOCS = 64
-SAMPLE_CHARS = 2048
+SLICES = 8
+SLICE_CHARS = 256
 BLOCK = 2048
 LEVEL = 6
 #: Scores below this are too close to call.
@@ -30,21 +32,32 @@ def learn(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "te
     """Dictionaries by language, from the rows where ``trained`` holds.
 
     A language's sample is the document with the smallest hash in each of ``SAMPLE_DOCS`` slots of
-    keys. Rows with a NULL key, text or language, or no letter in the text, are left out.
+    keys. Of each, slices from hashed places all over the whole text are taken; lines in slices of more than one document
+    (headers that many share) are left out. Rows with a NULL key, text or language, or no letter in the text, are left out.
     """
     import hashlib
 
     rows = docs.where(trained & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
     rows = rows.select(F.xxhash64(F.col(key).cast("string")).alias("order"), F.col(lang).alias("lang"),
-                       F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"))
+                       F.array(*[_slice(F.col(text), F.col(key), i) for i in range(SLICES)]).alias("slices"))
     best = rows.groupBy("lang", F.pmod(F.col("order"), F.lit(SAMPLE_DOCS)).alias("slot")).agg(
-        F.min(F.struct("order", "text")).alias("at"))
+        F.min(F.struct("order", "slices")).alias("at"))
     # at most SAMPLE_DOCS short texts per language
-    found = best.select("lang", "slot", "at.text").collect()
+    found = best.select("lang", "slot", "at.slices").collect()
+    whole = lambda lines: lines[1:-1] if len(lines) > 2 else lines  # noqa: E731  without those that the slice cuts
+    lines = {(row.lang, row.slot): {line: None for part in row.slices for line in whole(part.split("\n"))} for row in found}
+    shared = {line for line, n in Counter(line for own in lines.values() for line in own).items() if n > 1}
     by: dict[str, list[str]] = {}
-    for row in sorted(found, key=lambda r: (r.lang, hashlib.md5(r.text.encode()).digest())):
-        by.setdefault(row.lang, []).append(row.text)
-    return {name: "\n".join(texts).lower().encode() for name, texts in by.items()}
+    for (name, _), own in lines.items():
+        by.setdefault(name, []).append("\n".join(line for line in own if line not in shared))
+    in_order = lambda texts: sorted(texts, key=lambda t: hashlib.md5(t.encode()).digest())
+    return {name: "\n".join(in_order(texts)).lower().encode() for name, texts in by.items()}
+
+
+def _slice(text: Column, key: Column, number: int) -> Column:
+    """A slice of the text from a place drawn by hash over its whole length."""
+    places = F.greatest(F.length(text) - (SLICE_CHARS - 1), F.lit(1))
+    return F.substring(text, F.pmod(F.xxhash64(key.cast("string"), F.lit(number)), places) + 1, F.lit(SLICE_CHARS))
 
 
 class Sizes:

@@ -25,9 +25,14 @@ BatchCall = Callable[[list[str], list[int]], list[str]]
 
 @dataclass(frozen=True)
 class Generator:
-    """A batch model: ``factory()`` is called on the worker and returns the callable."""
+    """A batch model: ``factory()`` is called on the worker and returns the callable.
+
+    A prompt that fails by itself is asked ``retries`` times more, after ``wait`` seconds, twice as many each time.
+    """
 
     factory: Callable[[], BatchCall]
+    retries: int = 0
+    wait: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -55,16 +60,17 @@ HEURISTIC = heuristic()
 IDENTITY = Rule(())
 
 
-def batch_udf(factory: Callable, schema: str = "text string, error string"):
+def batch_udf(factory: Callable, schema: str = "text string, error string", retries: int = 0, wait: float = 0.0):
     """Arrow UDF (prompt, argument) -> (text, error) around a batch callable.
 
-    A failing batch is tried again prompt by prompt, so that one bad prompt costs only its
-    own answer, which is NULL. The package's functions travel by value: workers need not have it.
+    A failing batch is halved until the bad prompts stand alone: ``k`` of them in ``n`` cost about ``2 k log2(n)`` calls, and
+    only their own answers, which are NULL. The package's functions travel by value: workers need not have it.
     """
     token = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import sys
+        import time
         import types
 
         import pandas as pd
@@ -84,9 +90,16 @@ def batch_udf(factory: Callable, schema: str = "text string, error string"):
             try:
                 return ask(prompts, arguments)
             except Exception as problem:
-                if len(prompts) == 1:
-                    return [(None, f"{type(problem).__name__}: {problem}")]
-                return [ask_safely([p], [a])[0] for p, a in zip(prompts, arguments)]
+                if len(prompts) > 1:
+                    half = len(prompts) // 2
+                    return ask_safely(prompts[:half], arguments[:half]) + ask_safely(prompts[half:], arguments[half:])
+                for again in range(retries):
+                    time.sleep(wait * 2 ** again)
+                    try:
+                        return ask(prompts, arguments)
+                    except Exception as later:
+                        problem = later
+                return [(None, f"{type(problem).__name__}: {problem}")]
 
         for prompts, arguments in batches:
             here = prompts.notna()
@@ -107,5 +120,5 @@ def generate(df: DataFrame, generator: Generator, prompt: Column, budget: Column
 
     Only prompt and budget travel to Python; the other columns stay in the JVM.
     """
-    df = df.withColumn("_answer", batch_udf(generator.factory)(prompt, budget))
+    df = df.withColumn("_answer", batch_udf(generator.factory, retries=generator.retries, wait=generator.wait)(prompt, budget))
     return df.withColumn(into, F.col("_answer.text")).withColumn(error, F.col("_answer.error")).drop("_answer")

@@ -165,6 +165,20 @@ def pad_tokens_parts(spark, folder):
     return _padded(spark, folder, 48)
 
 
+@query("aligned_files", f"""WITH {sql.PAIRS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS pair_id FROM pairs)
+SELECT pair_id, nullif(normal, '') AS normal, nullif(simple, '') AS simple, nullif(clause, '') AS predicted FROM numbered""")
+def aligned_files(spark, folder):
+    """Pairs and predictions as CSV folders without keys, cut into files at different rows, read back side by side."""
+    staging, base = Staging(spark), pairs(spark, folder).select("doc_id", "pos", "normal", "simple", "clause")
+    base = staging.write(base, "pairs")
+    in_order = lambda n: base.repartitionByRange(n, "doc_id", "pos").sortWithinPartitions("doc_id", "pos")
+    sources.write_csv(in_order(7).select(F.col("normal").alias("Normal"), F.col("simple").alias("Simple")), staging.path("normal"))
+    sources.write_csv(in_order(4).select(F.col("clause").alias("Predicted")), staging.path("predicted"))
+    read = sources.read_aligned(spark, staging.path("normal"), staging.path("predicted"))
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return read.select("pair_id", *[blank(c) for c in ("normal", "simple", "predicted")])
+
+
 @query("predictions_round_trip", f"""WITH {sql.SYSTEMS} SELECT system, count(*) AS sentences,
   round(avg({sql.length_ratio('normal', 'predicted')}), 6) AS length_ratio FROM systems GROUP BY system""")
 def predictions_round_trip(spark, folder):

@@ -143,10 +143,11 @@ def system_compare(spark, folder):
 
 @query("report_round_trip", _REPORT_SQL + " SELECT system, metric, value FROM metrics")
 def report_round_trip(spark, folder):
-    """The report appended to a table system by system, and read back."""
-    path, rows = Staging(spark).path("report"), scores.metric_rows(_report(spark, folder))
-    for name in ("clause", "same"):
-        sources.write_report(rows.where(F.col("system") == name), path)
+    """The report written to a table, a run for each system and one of them twice, and read back."""
+    staging = Staging(spark)
+    path, rows = staging.path("report"), staging.write(scores.metric_rows(_report(spark, folder)), "rows")
+    for name in ("clause", "same", "clause"):
+        sources.write_report(rows.where(F.col("system") == name), path, run=name)
     return spark.read.parquet(path).select("system", "metric", F.round("value", 6).alias("value"))
 
 

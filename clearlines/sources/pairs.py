@@ -1,19 +1,20 @@
 """Aligned pairs, their splits, and predictions kept next to them.
 
-Tables carry an explicit key, for Spark rows have no position to align by. Missing
-cells stay NULL and are counted by the scores.
+Tables carry an explicit key; files without one get the true position of their rows (:func:`with_positions`), so that
+two of them can be aligned. Missing cells stay NULL and are counted by the scores.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from clearlines import fixed
 from clearlines.functions.prompts import pad_tokens, token_parts, training_text
+from clearlines.operators.scores import align
 
 PAIR_SCHEMA = StructType([StructField("Normal", StringType()), StructField("Simple", StringType())])
 
@@ -39,19 +40,50 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_pairs(spark: SparkSession, path: str | list[str], key: str | None = None, multi_line: bool = True) -> DataFrame:
     """(pair_id, normal, simple) from CSV, or from a parquet folder (path ending in ``.parquet``).
 
-    Without a key column rows are numbered in file order. That number is only as stable as the
-    files: write the result once (:func:`write_table`) and use the table from then on.
+    Without a key column ``pair_id`` is the row's position, from 0: files by path, rows as they stand. It does
+    not depend on how Spark splits the files.
     """
-    number = F.monotonically_increasing_id() if key is None else F.col(key).cast("bigint")
     if isinstance(path, str) and path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
         extra = [] if key is None else [StructField(key, StringType())]
         df = read_csv(spark, path, StructType(extra + PAIR_SCHEMA.fields), multi_line)
-    return df.select(number.alias("pair_id"), F.col("Normal").cast("string").alias("normal"),
+    numbered = with_positions(df, "pair_id") if key is None else df.withColumn("pair_id", F.col(key).cast("bigint"))
+    return numbered.select("pair_id", F.col("Normal").cast("string").alias("normal"),
                      F.col("Simple").cast("string").alias("simple"))
 
 
+def with_positions(df: DataFrame, into: str = "position") -> DataFrame:
+    """Add the position of each row of a table just read from files: files in the order of their paths.
+
+    Each part of a file (as much of it as one task reads at a time) has its rows counted, running sums over the parts give
+    its first position, and a row's place in its part is added. ``df`` must be a plain read, without filters, joins or unions:
+    the two passes number the rows of a part alike because they plan the same scan.
+    """
+    part = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+    placed = df.select(*df.columns, *part, F.monotonically_increasing_id().alias("_at"))
+    parts = placed.groupBy("_file", "_from").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    # one row for each part of a file
+    before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
+    joined = placed.join(parts.select("_file", "_from", base.alias("_base")), ["_file", "_from"])
+    return joined.select(*df.columns, (F.col("_at") + F.col("_base")).alias(into))
+
+
+def read_aligned(spark: SparkSession, pairs: str, predictions: str, system: str = "system", multi_line: bool = True) -> DataFrame:
+    """(pair_id, normal, simple, predicted, system): two CSV folders without keys, row by row.
+
+    ``predictions`` has one column, ``Predicted``. A row more on one side is an error: nothing could then be aligned for sure.
+    """
+    base = read_pairs(spark, pairs, multi_line=multi_line)
+    schema = StructType([StructField("Predicted", StringType())])
+    told = with_positions(read_csv(spark, predictions, schema, multi_line), "_at").withColumnRenamed("Predicted", "predicted")
+    both = base.join(told, F.col("pair_id") == F.col("_at"), "full_outer")
+    lone = F.raise_error(F.lit("the files have different numbers of rows"))
+    known = F.when(F.col("pair_id").isNull() | F.col("_at").isNull(), lone.cast("bigint")).otherwise(F.col("pair_id"))
+    return both.select(known.alias("pair_id"), "normal", "simple", "predicted", F.lit(system).alias("system"))
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], key: str | None = None) -> DataFrame:
     """Named files as one table with a ``split`` column."""
     return reduce(DataFrame.unionByName, [read_pairs(spark, p, key).withColumn("split", F.lit(s)) for s, p in paths.items()])
@@ -79,7 +111,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def write_predictions(pairs: DataFrame, predictions: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Predictions next to their sources, matched by key."""
-    joined = pairs.join(predictions, "pair_id").withColumnsRenamed(
+    joined = align(pairs, predictions).withColumnsRenamed(
         {"normal": "Normal", "simple": "Simple", "predicted": "Predicted"})
     if fmt == "parquet":
         joined.write.mode("overwrite").parquet(path)
@@ -98,9 +130,13 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return df.withColumnsRenamed({"Normal": "normal", "Simple": "simple", "Predicted": "predicted"})
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """Append (system, metric, value) rows to a report table."""
-    rows.write.mode("append").parquet(path)
+def write_report(rows: DataFrame, path: str, run: str = "default") -> None:
+    """Write (system, metric, value) rows as one run of a report table; a run of that name gives way, others stay.
+
+    So a job that is repeated counts once. Columns: those of ``rows``, and ``run``.
+    """
+    (rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
 
 
 def training_tokens(pairs: DataFrame, tokenizer, pad, size: int = fixed.TRAINING_TOKENS, side: str = "left") -> DataFrame:

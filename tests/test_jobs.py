@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearlines import HEURISTIC, IDENTITY, THREE, TWO, UNGATED, Generator, Rule, fixed, simplify, simplify_and_translate, simplify_by_rule
+from clearlines.operators.generate import generate
 from clearlines.operators.ladder import run_ladder
 from clearlines.operators.translate import translate
 from clearlines.plans.staging import Staging, shared_folder
@@ -283,11 +284,81 @@ def test_pairs_round_trip(spark, tmp_path):
     assert sorted(r.pair_id for r in first.collect()) == [1, 2]
 
 
-def test_report_appends(spark, tmp_path):
-    rows = spark.createDataFrame([("s", "m", 1.0)], "system string, metric string, value double")
-    sources.write_report(rows, str(tmp_path / "r"))
-    sources.write_report(rows, str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+def test_a_repeated_run_counts_once(spark, tmp_path):
+    path = str(tmp_path / "r")
+    for run, value in (("one", 1.0), ("two", 2.0), ("one", 3.0)):
+        sources.write_report(spark.createDataFrame([("s", "m", value)], "system string, metric string, value double"), path, run)
+    assert sorted((r.run, r.value) for r in spark.read.parquet(path).collect()) == [("one", 3.0), ("two", 2.0)]
+
+
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    """5,000 rows in three CSV files and in Parquet, read in parts of 4 KB and whole; cells with line breaks."""
+    rows = spark.range(5000).select(F.concat(F.lit("row "), F.col("id").cast("string")).alias("Normal"),
+                                    F.when(F.col("id") % 11 > 0, F.repeat(F.lit("x"), (F.col("id") % 90).cast("int"))).alias("Simple"))
+    in_order = rows.coalesce(1).repartitionByRange(3, F.regexp_extract("Normal", "[0-9]+", 0).cast("int"))
+    sources.write_csv(in_order, str(tmp_path / "csv"))
+    in_order.write.option("parquet.block.size", 4096).parquet(str(tmp_path / "pairs.parquet"))
+    usual, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("4k", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            plain = sources.read_csv(spark, str(tmp_path / "csv"), multi_line=False)
+            seen.append(plain.rdd.getNumPartitions())
+            for read in (sources.read_pairs(spark, str(tmp_path / "csv"), multi_line=False), sources.read_pairs(spark, str(tmp_path / "csv")),
+                         sources.read_pairs(spark, str(tmp_path / "pairs.parquet"))):
+                found = read.select("pair_id", "normal").collect()
+                assert sorted(r.pair_id for r in found) == list(range(5000)) and all(r.normal == f"row {r.pair_id}" for r in found)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert seen[0] > 10 > seen[1]
+
+
+def test_aligned_files_of_unequal_length(spark, tmp_path):
+    pairs = spark.createDataFrame([("a\nb", "c"), ("d", None)], "Normal string, Simple string")
+    sources.write_csv(pairs.coalesce(1), str(tmp_path / "p"))
+    for n in (2, 3):
+        told = spark.createDataFrame([(f"t{i}",) for i in range(n)], "Predicted string")
+        sources.write_csv(told.coalesce(1), str(tmp_path / str(n)))
+    read = sources.read_aligned(spark, str(tmp_path / "p"), str(tmp_path / "2")).orderBy("pair_id").collect()
+    assert [tuple(r) for r in read] == [(0, "a\nb", "c", "t0", "system"), (1, "d", None, "t1", "system")]
+    with pytest.raises(Exception, match="different numbers of rows"):
+        sources.read_aligned(spark, str(tmp_path / "p"), str(tmp_path / "3")).collect()
+
+
+@pytest.mark.parametrize("bad, calls", [((), 1), ((37,), 13), ((0, 63), 23), (tuple(range(64)), 127)])
+def test_failing_batches_are_halved(spark, tmp_path, bad, calls):
+    """One bad prompt of 64 costs 1 + 2 log2(64) calls."""
+    log = str(tmp_path / "log")
+
+    def load():
+        def call(prompts, budgets):
+            with open(log, "a") as file:
+                file.write("x")
+            if any(int(p) in bad for p in prompts):
+                raise ValueError("bad prompt")
+            return [p + "!" for p in prompts]
+        return call
+
+    df = spark.range(0, 64, 1, 1).select(F.col("id").cast("string").alias("p"))
+    found = generate(df, Generator(load), F.col("p"), F.lit(9)).collect()
+    assert {int(r.p) for r in found if r.raw is None} == set(bad) == {int(r.p) for r in found if r.error == "ValueError: bad prompt"}
+    assert len(open(log).read()) == calls
+
+
+def test_lone_prompts_are_asked_again(spark, tmp_path):
+    def load():
+        asked = []
+
+        def call(prompts, budgets):
+            asked.append(prompts)
+            if len(asked) < 3:
+                raise TimeoutError("busy")
+            return list(prompts)
+        return call
+
+    df = spark.createDataFrame([("only",)], "p string")
+    assert generate(df, Generator(load, retries=1), F.col("p"), F.lit(9)).first().raw is None
+    assert generate(df, Generator(load, retries=2, wait=0.01), F.col("p"), F.lit(9)).first().raw == "only"
 
 
 def test_spread(spark):

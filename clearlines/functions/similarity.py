@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearlines.functions.blocks import block_ratio, block_ratio_reaches
@@ -59,7 +59,7 @@ def _ratio_udf(skip_frequent: bool):
     return F.pandas_udf(ratios, "double")
 
 
-def _reaches_udf(threshold: float, above: bool, skip_frequent: bool):
+def _reaches_udf(threshold: float, above: bool, skip_frequent: bool, arrays: bool = False):
     def reaches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from difflib import SequenceMatcher
 
@@ -78,9 +78,12 @@ def _reaches_udf(threshold: float, above: bool, skip_frequent: bool):
             return enough(match.quick_ratio()) and enough(match.ratio())
 
         for left, right in batches:
-            yield pd.Series([decide(a, b) for a, b in zip(left, right)], dtype="object")
+            if arrays:
+                yield pd.Series([[decide(a, b) for a, b in zip(x, y)] for x, y in zip(left, right)], dtype="object")
+            else:
+                yield pd.Series([decide(a, b) for a, b in zip(left, right)], dtype="object")
 
-    return F.pandas_udf(reaches, "boolean")
+    return F.pandas_udf(reaches, "array<boolean>" if arrays else "boolean")
 
 
 def similarity_ratio(a: Column, b: Column, skip_frequent: bool = False) -> Column:
@@ -94,17 +97,32 @@ def similarity_ratio(a: Column, b: Column, skip_frequent: bool = False) -> Colum
     return F.coalesce(known, _ratio_udf(skip_frequent)(F.when(open_, a), F.when(open_, b)))
 
 
+def _cheap_answer(a: Column, b: Column, threshold: float, above: bool, skip_frequent: bool) -> Column:
+    """Whether the ratio reaches the threshold, where lengths and containment tell; else NULL."""
+    def enough(ratio: Column) -> Column:
+        return ratio > threshold if above else ratio >= threshold
+
+    return F.coalesce(enough(closed_ratio(a, b, skip_frequent)), F.when(~enough(length_bound(a, b)), F.lit(False)))
+
+
+def with_reaches_each(df: DataFrame, a: str, b: str, threshold: float, into: str, above: bool = False,
+                      skip_frequent: bool = False) -> DataFrame:
+    """Add the answers of :func:`reaches` for two columns of arrays, element by element; NULL where one is NULL."""
+    cheap, left, right = f"{into}_cheap", f"{into}_left", f"{into}_right"
+    df = df.withColumn(cheap, F.zip_with(a, b, lambda x, y: _cheap_answer(x, y, threshold, above, skip_frequent)))
+    df = df.withColumns({left: F.zip_with(a, cheap, lambda x, known: F.when(known.isNull(), x)),
+                         right: F.zip_with(b, cheap, lambda y, known: F.when(known.isNull(), y))})
+    df = df.withColumn(into, _reaches_udf(threshold, above, skip_frequent, arrays=True)(F.col(left), F.col(right)))
+    return df.withColumn(into, F.zip_with(cheap, into, lambda known, asked: F.coalesce(known, asked))).drop(cheap, left, right)
+
+
 def reaches(a: Column, b: Column, threshold: float, above: bool = False,
             where: Column | None = None, skip_frequent: bool = False) -> Column:
     """Whether the ratio is at least (``above``: more than) the threshold.
 
     ``where`` names the rows that need the answer; the others get NULL or a cheap answer.
     """
-    def enough(ratio: Column) -> Column:
-        return ratio > threshold if above else ratio >= threshold
-
-    cheap = F.coalesce(enough(closed_ratio(a, b, skip_frequent)),
-                       F.when(~enough(length_bound(a, b)), F.lit(False)))
+    cheap = _cheap_answer(a, b, threshold, above, skip_frequent)
     open_ = cheap.isNull() if where is None else cheap.isNull() & where
     return F.coalesce(cheap, _reaches_udf(threshold, above, skip_frequent)(F.when(open_, a), F.when(open_, b)))
 

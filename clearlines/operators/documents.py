@@ -16,7 +16,7 @@ def explode_sentences(df: DataFrame, text: str) -> DataFrame:
     return df.select(*others, F.posexplode(split_sentences(F.col(text))).alias("pos", "sentence"))
 
 
-def _of_one(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+def of_one(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """``step`` with one argument: a second, optional one would be given the position."""
     return lambda sentence: step(sentence)
 
@@ -28,7 +28,7 @@ def map_sentences(text: Column, steps: Sequence[Callable[[Column], Column]]) ->
     """
     sentences = F.split(strip(text), BREAK, -1)
     for step in steps:
-        sentences = F.transform(sentences, _of_one(step))
+        sentences = F.transform(sentences, of_one(step))
     return F.when(strip(text) == "", text).otherwise(F.array_join(sentences, " "))
 
 

@@ -48,23 +48,28 @@ LOOSE = GateConfig(max_ratio=0.97, max_missing=0.60, min_added=4, added_share=0.
 
 def term_facts(source: Column, candidate: Column, gate: GateConfig) -> Column:
     """Sizes the rules compare: source terms, missing and added terms, new numbers."""
-    old, new = key_terms(source, gate.stop_words), key_terms(candidate, gate.stop_words)
+    return fact_sizes(key_terms(source, gate.stop_words), key_terms(candidate, gate.stop_words),
+                      extract_numbers(source), extract_numbers(candidate))
+
+
+def fact_sizes(old: Column, new: Column, old_numbers: Column, new_numbers: Column) -> Column:
+    """The same from the terms and numbers of both texts."""
     return F.struct(
         F.size(old).alias("terms"),
         F.size(F.array_except(old, new)).alias("missing"),
         F.size(F.array_except(new, old)).alias("added"),
-        F.size(F.array_except(extract_numbers(candidate), extract_numbers(source))).alias("numbers"),
+        F.size(F.array_except(new_numbers, old_numbers)).alias("numbers"),
     )
 
 
-def _early_reason(source: Column, candidate: Column, gate: GateConfig) -> Column:
+def early_reason(source: Column, candidate: Column, gate: GateConfig) -> Column:
     same = F.when(normalise(source) == normalise(candidate), "same")
     if gate.reject_blank:
         return F.when(strip(candidate) == "", "blank").otherwise(same)
     return same
 
 
-def _late_reason(facts: Column, gate: GateConfig) -> Column:
+def late_reason(facts: Column, gate: GateConfig) -> Column:
     allowed = facts["terms"] * gate.added_share
     allowed = F.greatest(F.lit(float(gate.min_added)), F.floor(allowed).cast("double") if gate.whole_added else allowed)
     missing = facts["missing"] / F.greatest(facts["terms"], F.lit(1))
@@ -78,8 +83,8 @@ def with_rules(df: DataFrame, source: str, candidate: str, gate: GateConfig, int
     """Add the first failed rule apart from similarity (NULL: none failed)."""
     facts = f"{into}_facts"
     df = df.withColumn(facts, term_facts(F.col(source), F.col(candidate), gate))
-    early = _early_reason(F.col(source), F.col(candidate), gate)
-    return df.withColumn(into, F.coalesce(early, _late_reason(F.col(facts), gate))).drop(facts)
+    early = early_reason(F.col(source), F.col(candidate), gate)
+    return df.withColumn(into, F.coalesce(early, late_reason(F.col(facts), gate))).drop(facts)
 
 
 def with_verdict(df: DataFrame, source: str, candidate: str, gate: GateConfig, into: str = "passed") -> DataFrame:
@@ -99,12 +104,12 @@ def with_reason(df: DataFrame, source: str, candidate: str, gate: GateConfig, in
     facts = f"{into}_facts"
     src, cand = F.col(source), F.col(candidate)
     df = df.withColumn(facts, term_facts(src, cand, gate))
-    reason = _early_reason(src, cand, gate)
+    reason = early_reason(src, cand, gate)
     if gate.max_ratio is not None:
         too_close = reaches(F.lower(src), F.lower(cand), gate.max_ratio, where=reason.isNull(),
                             skip_frequent=gate.skip_frequent)
         reason = F.coalesce(reason, F.when(too_close, "ratio"))
-    reason = F.coalesce(reason, _late_reason(F.col(facts), gate), F.lit("ok"))
+    reason = F.coalesce(reason, late_reason(F.col(facts), gate), F.lit("ok"))
     return df.withColumn(into, F.when(cand.isNotNull(), reason)).drop(facts)
 
 

@@ -60,21 +60,19 @@ HEURISTIC = heuristic()
 IDENTITY = Rule(())
 
 
-def batch_udf(factory: Callable, schema: str = "text string, error string", retries: int = 0, wait: float = 0.0):
-    """Arrow UDF (prompt, argument) -> (text, error) around a batch callable.
+def safe_asker(factory: Callable, retries: int = 0, wait: float = 0.0) -> Callable[[], Callable]:
+    """What a task calls to get its function (prompts, arguments) -> [(text, error)]; a worker loads a model once.
 
     A failing batch is halved until the bad prompts stand alone: ``k`` of them in ``n`` cost about ``2 k log2(n)`` calls, and
-    only their own answers, which are NULL. The package's functions travel by value: workers need not have it.
+    only their own answers, which are NULL.
     """
     token = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def make():
         import sys
         import time
         import types
 
-        import pandas as pd
-
         loaded = sys.modules.setdefault("_loaded_generators", types.ModuleType("_loaded_generators")).__dict__
         if token not in loaded:
             loaded[token] = factory()
@@ -101,6 +99,22 @@ def batch_udf(factory: Callable, schema: str = "text string, error string", retr
                         problem = later
                 return [(None, f"{type(problem).__name__}: {problem}")]
 
+        return ask_safely
+
+    return make
+
+
+def batch_udf(factory: Callable, schema: str = "text string, error string", retries: int = 0, wait: float = 0.0):
+    """Arrow UDF (prompt, argument) -> (text, error) around a batch callable, that asks as :func:`safe_asker` says.
+
+    The package's functions travel by value: workers need not have it.
+    """
+    asker = safe_asker(factory, retries, wait)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        ask_safely = asker()
         for prompts, arguments in batches:
             here = prompts.notna()
             answers = pd.DataFrame({"text": None, "error": None}, index=prompts.index, dtype=object)
@@ -114,6 +128,30 @@ def batch_udf(factory: Callable, schema: str = "text string, error string", retr
     return F.pandas_udf(run, schema).asNondeterministic()
 
 
+def row_batch_udf(generator: Generator, most: int = 1024):
+    """Arrow UDF (prompts, budgets) -> (texts, errors) on arrays: NULL prompts are not asked.
+
+    The prompts of a batch of rows are asked together, ``most`` at a time.
+    """
+    asker = safe_asker(generator.factory, generator.retries, generator.wait)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        ask_safely = asker()
+        for prompts, budgets in batches:
+            texts, errors = [[None] * len(p) for p in prompts], [[None] * len(p) for p in prompts]
+            places = [(row, i) for row, p in enumerate(prompts) for i, prompt in enumerate(p) if prompt is not None]
+            for at in range(0, len(places), most):
+                part = places[at:at + most]
+                got = ask_safely([prompts.iloc[r][i] for r, i in part], [int(budgets.iloc[r][i]) for r, i in part])
+                for (row, i), (text, error) in zip(part, got):
+                    texts[row][i], errors[row][i] = text, error
+            yield pd.DataFrame({"texts": texts, "errors": errors}, index=prompts.index)
+
+    return F.pandas_udf(run, "texts array<string>, errors array<string>").asNondeterministic()
+
+
 def generate(df: DataFrame, generator: Generator, prompt: Column, budget: Column,
              into: str = "raw", error: str = "error") -> DataFrame:
     """Add the model's raw text and, where the call failed, its error message.

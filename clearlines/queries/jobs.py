@@ -458,3 +458,15 @@ def stream_by_model(spark, folder):
     docs = _stream(spark, folder, "documents").select("doc_id", "text")
     simplify_stream(docs, staging.path("out"), staging.path("state"), Generator(shortening_model), TWO).awaitTermination()
     return spark.read.parquet(staging.path("out")).select("doc_id", "simplified")
+
+
+@query("stream_ladder", f"""WITH {sql.SENTENCES}, {_TWO_SQL}, {_joined('simplified', 'laddered')}, counted AS (
+  SELECT doc_id, count(*) AS n FROM sentences GROUP BY doc_id)
+SELECT joined.doc_id, simplified, coalesce(n, 0) AS sentences, 0::BIGINT AS failed_calls FROM joined LEFT JOIN counted USING (doc_id)""")
+def stream_ladder(spark, folder):
+    """The documents as a stream through the two-attempt ladder inside one streaming plan."""
+    staging = Staging(spark)
+    docs = _stream(spark, folder, "documents").select("doc_id", "text")
+    simplify_stream(docs, staging.path("out"), staging.path("state"), Generator(shortening_model), TWO,
+                    partitions=3 * spark.sparkContext.defaultParallelism, in_row=True).awaitTermination()
+    return spark.read.parquet(staging.path("out")).select("doc_id", "simplified", "sentences", "failed_calls")

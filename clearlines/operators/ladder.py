@@ -19,6 +19,7 @@ from clearlines import fixed
 from clearlines.functions.prompts import build_prompt, default_tokens, generation_budget
 from clearlines.functions.rewrite import heuristic_simplify
 from clearlines.functions.text import clean_sentence, decode_merged, decode_output, decode_quantised
+from clearlines.operators.answers import Answers
 from clearlines.operators.gate import LOOSE, STRICT, GateConfig, mostly_copy, simpler_surface, with_verdict
 from clearlines.operators.generate import Generator, Rule, generate
 from clearlines.plans.staging import Staging
@@ -104,7 +105,7 @@ def _with_fallback(df: DataFrame, ladder: Ladder, tries: list[str], staging: Sta
 
 
 def _ask(pending: DataFrame, generator: Generator | Rule, ladder: Ladder, number: int, keys: list[str],
-         partitions: int) -> DataFrame:
+         partitions: int, staging: Staging, answers: Answers | None = None) -> DataFrame:
     """Add the decoded answers to one prompt and the errors of failed calls."""
     name, error, attempt = f"_try_{number}", f"_error_{number}", ladder.attempts[number - 1]
     if isinstance(generator, Rule):
@@ -113,10 +114,13 @@ def _ask(pending: DataFrame, generator: Generator | Rule, ladder: Ladder, number
         by_size = generation_budget(F.size(ladder.tokens(F.col("sentence"))), ladder.max_length, ladder.min_budget,
                                     ladder.max_budget)
         budget = by_size if attempt.budget is None else F.lit(attempt.budget)
-        # model time per row dwarfs the shuffle: spread the rows that are left evenly
-        asked = (pending.repartition(partitions, *keys)
-                 .withColumn("_prompt", build_prompt(F.col("sentence"), attempt.template)).withColumn("_budget", budget))
-        answered = generate(asked, generator, F.col("_prompt"), F.col("_budget"), name, error).drop("_prompt", "_budget")
+        asked = pending.withColumn("_prompt", build_prompt(F.col("sentence"), attempt.template)).withColumn("_budget", budget)
+        if answers is None:
+            # model time per row dwarfs the shuffle: spread the rows that are left evenly
+            answered = generate(asked.repartition(partitions, *keys), generator, F.col("_prompt"), F.col("_budget"), name, error)
+        else:
+            answered = answers.ask(asked, generator, "_prompt", "_budget", name, error, partitions, staging, f"answers_{number}")
+        answered = answered.drop("_prompt", "_budget")
     return answered.withColumn(name, ladder.decode(F.col(name)))
 
 
@@ -128,11 +132,12 @@ def _with_errors(df: DataFrame, attempts: int) -> DataFrame:
 
 
 def run_ladder(sentences: DataFrame, keys: list[str], generator: Generator | Rule, ladder: Ladder,
-               staging: Staging | None = None, partitions: int | None = None) -> DataFrame:
+               staging: Staging | None = None, partitions: int | None = None, answers: Answers | None = None) -> DataFrame:
     """Add ``simplified``, ``error`` (of the first failed call) and ``failed_calls`` to rows that hold a ``sentence``.
 
     ``keys`` identify a row. ``partitions`` is the number of model tasks per attempt. A failed call
     has no text: it fails the gate and never competes; without any text the cleaned sentence stays.
+    With ``answers`` equal prompts are asked once, and what an earlier run was answered not at all.
     """
     spark = sentences.sparkSession
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -142,7 +147,7 @@ def run_ladder(sentences: DataFrame, keys: list[str], generator: Generator | Rul
     done, tries, pending = [], [], sentences
     for i in range(1, len(ladder.attempts) + 1):
         name, ok = f"_try_{i}", f"_ok_{i}"
-        answered = _ask(pending, generator, ladder, i, keys, partitions)
+        answered = _ask(pending, generator, ladder, i, keys, partitions, staging, answers)
         tries.append(name)
         if ladder.gate is None:
             pending = answered if isinstance(generator, Rule) else staging.write(answered, "attempt_1")

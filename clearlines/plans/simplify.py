@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clearlines.operators.answers import Answers
 from clearlines.operators.documents import explode_sentences, join_sentences, map_sentences
 from clearlines.operators.generate import HEURISTIC, Generator, Rule
 from clearlines.operators.ladder import TWO, Ladder, run_ladder
@@ -23,14 +24,15 @@ def simplify_by_rule(df: DataFrame, text: str = "text", rule: Rule = HEURISTIC,
 
 
 def simplify(df: DataFrame, key: str = "doc_id", text: str = "text", generator: Generator | Rule = HEURISTIC,
-             ladder: Ladder = TWO, staging: Staging | None = None, partitions: int | None = None) -> DataFrame:
+             ladder: Ladder = TWO, staging: Staging | None = None, partitions: int | None = None,
+             answers: Answers | None = None) -> DataFrame:
     """Add ``simplified``, ``sentences`` and ``failed_calls`` to a table of documents.
 
     ``key`` must be unique: a NULL key or one of two different texts with sentences raises an error. Documents without a sentence keep their text. Sentences, not
-    documents, are the unit of work, so one long document does not hold up a task.
+    documents, are the unit of work, so one long document does not hold up a task. ``answers`` keeps what models say by content.
     """
     sentences = explode_sentences(df.select(key, text, F.xxhash64(text).alias("_mark")), text)
-    answered = run_ladder(sentences, [key, "pos"], generator, ladder, staging, partitions)
+    answered = run_ladder(sentences, [key, "pos"], generator, ladder, staging, partitions, answers)
     joined = join_sentences(answered, [key], "simplified", "pos", "simplified",
                             F.count(F.lit(1)).alias("sentences"), F.sum("failed_calls").alias("failed_calls"),
                             F.first("_mark").alias("_mark"))

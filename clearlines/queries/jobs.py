@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clearlines import fixed
 from clearlines.functions.prompts import default_tokens
 from clearlines.functions.text import decode_output
+from clearlines.operators.answers import Answers
 from clearlines.operators.generate import IDENTITY, Generator, generate, heuristic
 from clearlines.operators.ladder import THREE, TWO, UNGATED, run_ladder
 from clearlines.operators.scores import length_ratio
@@ -401,6 +402,28 @@ def simplify_model(spark, folder):
     return simplify(docs, generator=Generator(shortening_model), ladder=TWO).drop("text")
 
 
+def _answered_twice(spark, folder):
+    """The two-attempt ladder over all sentences, twice with one table of answers: the second run, and the table."""
+    answers = Answers(Staging(spark).path("answers"), "shortening")
+    for run in ("first", "second"):
+        done = run_ladder(_sentences(spark, folder), ["doc_id", "pos"], Generator(shortening_model), TWO,
+                          answers=replace(answers, run=run))
+    return done, answers.read(spark)
+
+
+@query("ladder_answers", f"WITH {sql.SENTENCES}, {_TWO_SQL} SELECT doc_id, pos, simplified FROM laddered")
+def ladder_answers(spark, folder):
+    """A second run takes every answer from the table that the first one filled."""
+    return _answered_twice(spark, folder)[0].select("doc_id", "pos", "simplified")
+
+
+@query("answers_asked", f"""WITH {sql.SENTENCES}, {_TWO_SQL}
+SELECT 'first' AS run, count(DISTINCT sentence) + count(DISTINCT CASE WHEN NOT ok1 THEN sentence END) AS calls FROM judged""")
+def answers_asked(spark, folder):
+    """How many prompts each of the two runs asked: each distinct one once, and none in the second run."""
+    return _answered_twice(spark, folder)[1].groupBy("run").agg(F.count(F.lit(1)).alias("calls"))
+
+
 # --- translating --------------------------------------------------------------------------------
 
 @query("translate_identity", f"""WITH {TURNS_SQL}, tagged AS (SELECT conv_id, turn, language, 'eng_Latn ' || {TAG_SQL} || ' ' || text AS t FROM turns)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clearlines import fixed
 from clearlines.functions import languages, prompts, readability, rewrite, similarity, terms, text
+from clearlines.operators.lexicon import replace_terms
 from clearlines.queries import sql
 from clearlines.queries.data import TRIAL_LEXICON, clause, documents, near_pairs, pairs, sentences, table
 from clearlines.queries.registry import query
@@ -48,6 +49,36 @@ _per_sentence("first_clause", rewrite.first_clause, sql.first_clause("sentence")
 _per_sentence("heuristic_simplify", lambda s: rewrite.heuristic_simplify(s, TRIAL_LEXICON), sql.heuristic("sentence"))
 
 
+# Every word of 8 and more letters of the documents is an entry, so the lexicon grows with them.
+_LEXICON_TABLE = r"""WITH tokens AS (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]')) AS token,
+           generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]'), 1) AS i FROM documents),
+  lexicon AS (SELECT DISTINCT lower(token) AS key FROM tokens WHERE regexp_full_match(token, '[A-Za-z]{8,}')),
+  made AS (SELECT doc_id, string_agg(coalesce(left(key, 4) || '.', token), '' ORDER BY i) AS value
+           FROM tokens LEFT JOIN lexicon ON lower(token) = key GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(value, '') END AS value FROM documents LEFT JOIN made USING (doc_id)"""
+
+
+def _with_lexicon_table(spark, folder, **options):
+    docs = documents(spark, folder).select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
+    key = F.lower("word").alias("key")
+    lexicon = words.where(F.col("word").rlike(r"\A[A-Za-z]{8,}\z")).select(key).distinct()
+    lexicon = lexicon.select("key", F.concat(F.left("key", F.lit(4)), F.lit(".")).alias("replacement"))
+    return replace_terms(docs, "text", lexicon, "value", "doc_id", **options).select("doc_id", "value")
+
+
+@query("lexicon_table", _LEXICON_TABLE)
+def lexicon_table(spark, folder):
+    return _with_lexicon_table(spark, folder)
+
+
+@query("lexicon_table_joined", _LEXICON_TABLE)
+def lexicon_table_joined(spark, folder):
+    """The same where no entry may be broadcast."""
+    return _with_lexicon_table(spark, folder, broadcast_bytes=-1)
+
+
 def _model_output(prompt, answer):
     """What a model that echoes its prompt and runs on would return."""
     return F.concat(F.lit(" "), prompt, answer, F.lit(" And more.\n\n### Input:\nnext ### Response"))

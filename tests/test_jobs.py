@@ -17,6 +17,7 @@ from clearlines.plans.staging import Staging, shared_folder
 from clearlines.queries.jobs import shortening_model
 from clearlines.sources import pairs as sources
 from clearlines.sources.tables import spread
+from clearlines.queries import jobs as queries_jobs
 from clearlines.streaming.documents import simplify_stream
 
 LONG = "The committee, which had deliberated extensively, reached a unanimous decision regarding infrastructure spending."
@@ -387,3 +388,14 @@ def test_stream_equals_batch(spark, folder, tmp_path, by_model):
 def test_ladder_is_data(spark):
     once = replace(TWO, attempts=TWO.attempts[:1])
     assert ladder_result(spark, once, {LONG: CASES[LONG]})[LONG].startswith("The committee")
+
+
+def test_stream_of_a_table_of_many_files(spark, tmp_path):
+    rows = [(i, f"One thing, {i} of them. Another one.") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(3).write.parquet(str(tmp_path / "documents.parquet.old"))
+    stream = queries_jobs._stream(spark, str(tmp_path), "documents")
+    out = str(tmp_path / "out")
+    simplify_stream(stream, out, str(tmp_path / "state"), partitions=2).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(40))

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from clearlines.operators.gate import (
-    LOOSE, STRICT, mostly_copy, simpler_surface, with_reason, with_rules, with_verdict,
+    LOOSE, STRICT, mostly_copy, simpler_surface, source_facts, surface, with_facts, with_reason, with_rules, with_verdict,
 )
 from clearlines.operators.ladder import shortest_candidate
 from clearlines.queries import sql
@@ -17,18 +17,24 @@ from clearlines.queries.registry import query
 KEYS = ["doc_id", "pos", "kind"]
 
 
+def _candidates(spark, folder):
+    """Candidates with the facts that the gates compare; a sentence's own are found once for all its candidates."""
+    known = candidates(spark, folder, known=source_facts(F.col("normal"), STRICT))
+    return with_facts(known, "normal", "candidate", STRICT, "facts", "known").drop("known")
+
+
 def _rules_sql(loose: bool) -> str:
     return f"WITH {sql.CANDIDATES} SELECT doc_id, pos, kind, {sql.rule('normal', 'candidate', loose)} AS rule FROM candidates"
 
 
 @query("faithful_rules", _rules_sql(False))
 def faithful_rules(spark, folder):
-    return with_rules(candidates(spark, folder), "normal", "candidate", STRICT).select(*KEYS, "rule")
+    return with_rules(_candidates(spark, folder), "normal", "candidate", STRICT, facts="facts").select(*KEYS, "rule")
 
 
 @query("faithful_rules_loose", _rules_sql(True))
 def faithful_rules_loose(spark, folder):
-    return with_rules(candidates(spark, folder), "normal", "candidate", LOOSE).select(*KEYS, "rule")
+    return with_rules(_candidates(spark, folder), "normal", "candidate", LOOSE, facts="facts").select(*KEYS, "rule")
 
 
 def _clauses(spark, folder):
@@ -70,7 +76,8 @@ def faithful_loose(spark, folder):
 @query("faithful_kinds")
 def faithful_kinds(spark, folder):
     """The whole strict gate on all kinds of candidates; some ratios have no SQL form."""
-    return with_verdict(candidates(spark, folder), "normal", "candidate", STRICT).select("doc_id", "pos", "kind", "passed")
+    judged = with_verdict(_candidates(spark, folder), "normal", "candidate", STRICT, facts="facts")
+    return judged.select("doc_id", "pos", "kind", "passed")
 
 
 @query("gate_reasons", f"""WITH {sql.CANDIDATES}, judged AS (
@@ -79,9 +86,9 @@ def faithful_kinds(spark, folder):
 SELECT kind, gate, reason, count(*) AS sentences FROM judged GROUP BY kind, gate, reason""")
 def gate_reasons(spark, folder):
     """Reasons of both gates without the similarity rule."""
-    df = candidates(spark, folder)
+    df = _candidates(spark, folder)
     for name, gate in (("strict", STRICT), ("loose", LOOSE)):
-        df = with_reason(df, "normal", "candidate", replace(gate, max_ratio=None), into=name)
+        df = with_reason(df, "normal", "candidate", replace(gate, max_ratio=None), into=name, facts="facts")
     both = df.unpivot(["kind"], ["strict", "loose"], "gate", "reason")
     return both.groupBy("kind", "gate", "reason").agg(F.count(F.lit(1)).alias("sentences"))
 
@@ -97,7 +104,8 @@ def gate_reasons_whole(spark, folder):
 
 @query("simpler_surface", f"WITH {sql.CANDIDATES} SELECT doc_id, pos, kind, {sql.simpler('normal', 'candidate')} AS simpler FROM candidates")
 def simpler(spark, folder):
-    return candidates(spark, folder).select(*KEYS, simpler_surface(F.col("normal"), F.col("candidate")).alias("simpler"))
+    df = candidates(spark, folder, known=surface(F.col("normal")))
+    return df.select(*KEYS, simpler_surface(F.col("normal"), F.col("candidate"), F.col("known")).alias("simpler"))
 
 
 @query("mostly_copy", f"""WITH {sql.PAIRS} SELECT doc_id, pos, {sql.strip('clause')} = '' OR {sql.strip('lower(clause)')} = {sql.strip('lower(normal)')}

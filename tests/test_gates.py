@@ -90,3 +90,16 @@ def test_queries_without_sql(spark, folder):
         given = texts[r.doc_id, r.pos, r.kind]
         if len(given.normal) < 120:
             assert r.passed == (plain.reason(given.normal, given.candidate, STRICT) == "ok"), given
+
+
+def test_a_source_is_read_once_for_all_its_candidates(spark, folder):
+    from clearlines.operators.gate import with_rules
+    from clearlines.queries import data, gates
+
+    made = with_rules(gates._candidates(spark, folder), "normal", "candidate", LOOSE, facts="facts")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # above the explode the sentence itself is only compared as a whole
+    assert "regexp_extract_all(lower(sentence" not in plan.split("Generate explode")[0] and "regexp_extract_all(lower(normal" not in plan
+    alone = with_rules(data.candidates(spark, folder), "normal", "candidate", LOOSE)
+    rows = lambda df: sorted(map(repr, df.select("doc_id", "pos", "kind", "rule").collect()))
+    assert rows(made) == rows(alone)

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import plain
 import pytest
 
+from clearlines.functions import blocks
 from clearlines.functions.blocks import SuffixAutomaton, block_ratio, block_ratio_reaches, matched
 
 
@@ -65,3 +66,21 @@ def test_long_texts_take_no_square():
     assert block_ratio("x" * 100_000, "x" * 99_000 + "y") == 2 * 99_000 / 199_001
     assert not block_ratio_reaches(a, " ".join(rng.choices(words, k=17_000))[:100_000], 0.9)
     assert time.perf_counter() - began < 20
+
+
+def test_one_stretch_of_foreign_characters_needs_no_search(monkeypatch):
+    rng = random.Random(11)
+    made = []
+    for letters in ("ab", "abcdef"):
+        def text(most, signs):
+            return "".join(rng.choice(signs) for _ in range(rng.randint(0, most)))
+
+        for _ in range(1500):
+            before, behind = text(6, letters), text(6, letters)
+            made.append((before + text(2, "XY") + behind, before + text(2, "ZW") + behind))
+    wanted = [sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in made]
+    assert [blocks.matched(a, b) for a, b in made] == wanted
+    monkeypatch.setattr(blocks, "SequenceMatcher", None)
+    sentence = "The quick brown fox jumps over the lazy dog."
+    assert blocks.matched(sentence, sentence[:20] + "␀" * 5 + sentence[20:]) == len(sentence)
+    assert blocks.block_ratio_reaches(sentence.replace("q", "␀"), sentence, 0.97)

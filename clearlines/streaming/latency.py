@@ -7,12 +7,10 @@ batch operator spreads a large group over tasks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -20,35 +18,35 @@ from clearlines import fixed
 from clearlines.operators.latency import trailing_mean
 from clearlines.plans.staging import Staging
 
-#: Rows that leave a stateful task at a time.
-PIECE = 1 << 14
-
 
 def _processor(rows: int, forget_after_ms: int | None) -> StatefulProcessor:
-    """What is kept of a group: its last ``rows`` timings, as a list state."""
+    """What is kept of a group: its last ``rows`` timings, as a list state.
+
+    Groups are many and mostly small, so a group's rows are plain values: a frame for each would cost far more than its rows.
+    """
     class Trailing(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.recent = handle.getListState("recent", "seconds double", forget_after_ms)
 
-        def handleInputRows(self, key: tuple, parts: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            import numpy as np
-            import pandas as pd
-
-            recent = [math.nan if s is None else s for (s,) in self.recent.get()]
-            batch = pd.concat([p[["ts", "id", "seconds"]] for p in parts]).sort_values(["ts", "id"], ignore_index=True)
-            timings = np.concatenate([np.full(rows - len(recent), np.nan), recent, batch.pop("seconds").to_numpy(np.float64)])
-            ids, known = batch.pop("id"), len(recent)
-            for at in range(0, len(ids), PIECE):
-                end = min(at + PIECE, len(ids))
-                before = np.lib.stride_tricks.sliding_window_view(timings[at:end + rows - 1], rows)
-                counted = ~np.isnan(before)
-                sums, sizes = np.where(counted, before, 0.0).sum(axis=1), counted.sum(axis=1)
-                means = pd.Series(sums / np.maximum(sizes, 1)).where(sizes > 0)
-                yield pd.DataFrame({"session": pd.Series([key[0]] * (end - at)), "stage": pd.Series([key[1]] * (end - at)),
-                                    "id": ids[at:end].to_numpy(), "seconds": timings[at + rows:end + rows], "seconds_mean": means,
-                                    "history": np.minimum(np.arange(at, end) + known, rows)})
-            kept = timings[-min(rows, known + len(ids)):]
-            self.recent.put([(None if math.isnan(s) else float(s),) for s in kept])
+        def handleInputRows(self, key: tuple, parts: Iterator[Row], timers) -> Iterator[Row]:
+            from collections import deque
+
+            from pyspark.sql import Row
+
+            recent = deque((s for (s,) in self.recent.get()), maxlen=rows)
+            # NULLs come last
+            batch = sorted(((r["ts"] is None, r["ts"], r["id"] is None, r["id"], r["seconds"]) for r in parts), key=lambda r: r[:4])
+            for *_, at, seconds in batch:
+                if seconds is not None and seconds != seconds:
+                    seconds = None
+                total, known = 0.0, 0
+                for s in recent:
+                    if s is not None:
+                        total, known = total + s, known + 1
+                yield Row(session=key[0], stage=key[1], id=at, seconds=seconds, seconds_mean=total / known if known else None,
+                          history=len(recent))
+                recent.append(seconds)
+            self.recent.put([(s,) for s in recent])
 
         def close(self) -> None:
             pass
@@ -60,8 +58,8 @@ def trailing_mean_stream(timings: DataFrame, rows: int = fixed.HISTORY, forget_a
     """(session, stage, id, seconds, seconds_mean, history) for rows (session, stage, ts, id, seconds).
 
     Rows of one micro-batch are taken in the order of (ts, id), and later micro-batches must come later; bound the
-    micro-batch at the source (``maxFilesPerTrigger`` or the like): its rows of one group are sorted in one worker, as three bare
-    columns, and leave it in pieces. ``ts`` is a timestamp column. NULL timings count in the history, not in the mean.
+    micro-batch at the source (``maxFilesPerTrigger`` or the like): its rows of one group are sorted in one worker, as plain
+    values, and leave it one by one. ``ts`` is a timestamp column. NULL timings count in the history, not in the mean.
     Timings are forgotten ``forget_after_ms`` after their micro-batch; Spark then runs micro-batches without data too, so a query
     with ``availableNow`` only ends if ``spark.sql.streaming.noDataMicroBatches.enabled`` is false. Start the query within
     :func:`rocksdb_state`.
@@ -71,7 +69,7 @@ def trailing_mean_stream(timings: DataFrame, rows: int = fixed.HISTORY, forget_a
            "seconds double, seconds_mean double, history bigint")
     mode = "None" if forget_after_ms is None else "ProcessingTime"
     return (timings.select("session", "stage", "ts", "id", "seconds").groupBy("session", "stage")
-            .transformWithStateInPandas(_processor(rows, forget_after_ms), out, "append", mode))
+            .transformWithState(_processor(rows, forget_after_ms), out, "append", mode))
 
 
 @contextmanager

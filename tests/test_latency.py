@@ -136,3 +136,21 @@ def test_large_group_within_bounded_memory(spark, tmp_path):
 
     # the workers that served the stream serve this as well
     assert max(r.id for r in spark.range(0, 64, 1, 16).mapInPandas(peaks, "id long").collect()) < 900
+
+
+def test_stream_of_small_groups_with_null_numbers_and_times(spark, tmp_path):
+    """Groups are plain rows, not frames; a NULL session is a group of its own, and a NULL time comes last."""
+    rows = [(None if i % 9 == 0 else i % 4, None if i % 10 == 3 else "a", None if i % 13 == 5 else i // 2, i, float(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "session long, stage string, ts long, id long, seconds double").withColumn("ts", F.timestamp_seconds("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    done = streamed(spark, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path))
+    groups = {}
+    for session, stage, ts, id_, seconds in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[3])):
+        groups.setdefault((session, stage), []).append((id_, seconds))
+    wanted = {}
+    for key, timed in groups.items():
+        for at, (id_, _) in enumerate(timed):
+            before = [s for _, s in timed[max(0, at - 20):at]]
+            wanted[id_] = (*key, len(before), pytest.approx(sum(before) / len(before)) if before else None)
+    got = {r.id: (r.session, r.stage, r.history, r.seconds_mean) for r in done.collect()}
+    assert got == wanted

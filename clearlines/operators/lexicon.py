@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,17 @@ from clearlines.plans.staging import Staging
 
 BROADCAST_BYTES = 32 << 20
 ENTRY_BYTES = 400  # of an entry in the trie, beside its letters
+ROWS = 128  # that are Python objects at a time: the texts of a whole batch, with the entries of each, would fill a worker
+
+
+def _piecewise(step: Callable[..., list], batches: Iterator[tuple[pa.Array, ...]], kind: str) -> Iterator[pa.Array]:
+    """``step`` over lists of at most ``ROWS`` values of each column, as one array a batch."""
+    import pyarrow as pa
+
+    made = pa.string() if kind == "string" else pa.list_(pa.string())
+    for batch in batches:
+        parts = [pa.array(step(*[column.slice(at, ROWS).to_pylist() for column in batch]), made) for at in range(0, len(batch[0]), ROWS)]
+        yield pa.concat_arrays(parts or [pa.array([], made)])
 
 
 def _folded(keys: pd.Series) -> pd.DataFrame:
@@ -34,32 +46,32 @@ def _by_broadcast(df: DataFrame, text: str, into: str, entries: DataFrame) -> Da
     rows = [(row.key, row.replacement) for row in entries.select("key", "replacement").orderBy("key").collect()]
     shared = df.sparkSession.sparkContext.broadcast(rows)
 
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def replaced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = Lexicon(shared.value)
-        for batch in batches:
-            yield pd.Series([None if t is None else lexicon.replace(t) for t in batch], dtype=object)
+        yield from _piecewise(lambda texts: [None if t is None else lexicon.replace(t) for t in texts],
+                              ((batch,) for batch in batches), "string")
 
-    return df.withColumn(into, F.pandas_udf(replaced, "string")(F.col(text)))
+    return df.withColumn(into, F.arrow_udf(replaced, "string")(F.col(text)))
 
 
 def _by_join(df: DataFrame, text: str, into: str, entries: DataFrame, key: str) -> DataFrame:
     """Each row meets the entries it holds: its distinct runs of words are joined with the table."""
     lengths = [row.tokens for row in entries.select("tokens").distinct().collect()]
 
-    def held(batch: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else grams(t, lengths) for t in batch], dtype=object)
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _piecewise(lambda texts: [None if t is None else grams(t, lengths) for t in texts],
+                              ((batch,) for batch in batches), "array")
 
-    runs = df.select(F.col(key).alias("_row"), F.explode(F.pandas_udf(held, "array<string>")(F.col(text))).alias("gram"))
+    runs = df.select(F.col(key).alias("_row"), F.explode(F.arrow_udf(held, "array<string>")(F.col(text))).alias("gram"))
     own = runs.join(entries.hint("shuffle_merge"), "gram").groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("key", "replacement"))).alias("_own"))
 
-    def replaced(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, keys, news in batches:
-            yield pd.Series([t if k is None else Lexicon(zip(k, n)).replace(t) for t, k, n in zip(texts, keys, news)],
-                            dtype=object)
+    def replaced(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from _piecewise(lambda *columns: [t if k is None else Lexicon(zip(k, n)).replace(t) for t, k, n in zip(*columns)],
+                              batches, "string")
 
     joined = df.join(own, df[key] == own["_row"], "left")
-    made = F.pandas_udf(replaced, "string")(F.col(text), F.col("_own.key"), F.col("_own.replacement"))
+    made = F.arrow_udf(replaced, "string")(F.col(text), F.col("_own.key"), F.col("_own.replacement"))
     return joined.withColumn(into, made).drop("_row", "_own")
 
 

@@ -399,3 +399,16 @@ def test_stream_of_a_table_of_many_files(spark, tmp_path):
     out = str(tmp_path / "out")
     simplify_stream(stream, out, str(tmp_path / "state"), partitions=2).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
+def test_aligned_files_grow_in_number(spark, folder, monkeypatch):
+    """Files of a bounded size: a larger table is cut into more of them, and the two folders at different rows."""
+    parts, write = [], sources.write_csv
+    monkeypatch.setattr(sources, "write_csv", lambda df, path: (parts.append(df.rdd.getNumPartitions()), write(df, path)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert queries_jobs.aligned_files(spark, folder).count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert min(parts) > 8 and parts[0] != parts[1]

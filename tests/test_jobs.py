@@ -412,3 +412,23 @@ def test_aligned_files_grow_in_number(spark, folder, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert min(parts) > 8 and parts[0] != parts[1]
+
+
+def test_prompts_are_asked_in_bounded_pieces(spark, tmp_path):
+    """A batch of many or of long prompts is asked piece by piece, in order, without its NULLs."""
+    log = str(tmp_path / "log")
+
+    def load():
+        def call(prompts, budgets):
+            with open(log, "a") as file:
+                file.write(f"{len(prompts)} {sum(map(len, prompts))}\n")
+            return [f"{p[:4]}-{b}" for p, b in zip(prompts, budgets)]
+        return call
+
+    number = F.col("id") + 1000
+    long = F.when(F.col("id") < 40, F.repeat(F.lit("x"), 1 << 19)).otherwise("")
+    df = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 10 != 0, F.concat(number.cast("string"), long)).alias("p"))
+    found = generate(df, Generator(load), F.col("p"), F.col("id").cast("int")).select("id", "raw", "error").collect()
+    assert [(r.id, r.raw, r.error) for r in found] == [(i, f"{i + 1000}-{i}" if i % 10 else None, None) for i in range(3000)]
+    calls = [tuple(map(int, line.split())) for line in open(log)]
+    assert sum(n for n, _ in calls) == 2700 and max(n for n, _ in calls) <= 1024 and max(size for _, size in calls) <= 4 << 20

@@ -146,6 +146,8 @@ def training_tokens(pairs: DataFrame, tokenizer, pad, size: int = fixed.TRAINING
     ``tokenizer`` maps a text column to an array column (an Arrow UDF, say), ``pad`` is the padding value.
     """
     texts = pairs.withColumn("text", training_text(F.col("normal"), F.col("simple"))).drop("normal", "simple")
-    parts = F.posexplode(token_parts(tokenizer(F.col("text")), size)).alias("part", "tokens")
-    tokens = texts.select(*texts.columns, parts)
-    return tokens.withColumn("tokens", pad_tokens(F.col("tokens"), F.lit(pad), size, side)).drop("text")
+    # a column first: inside the parts' function the text would be cut into tokens again for each part
+    cut = texts.withColumn("text", tokenizer(F.col("text")))
+    others = [c for c in texts.columns if c != "text"]
+    tokens = cut.select(*others, F.posexplode(token_parts(F.col("text"), size)).alias("part", "tokens"))
+    return tokens.withColumn("tokens", pad_tokens(F.col("tokens"), F.lit(pad), size, side))

@@ -432,3 +432,12 @@ def test_prompts_are_asked_in_bounded_pieces(spark, tmp_path):
     assert [(r.id, r.raw, r.error) for r in found] == [(i, f"{i + 1000}-{i}" if i % 10 else None, None) for i in range(3000)]
     calls = [tuple(map(int, line.split())) for line in open(log)]
     assert sum(n for n, _ in calls) == 2700 and max(n for n, _ in calls) <= 1024 and max(size for _, size in calls) <= 4 << 20
+
+
+def test_training_texts_are_cut_into_tokens_once(spark):
+    """Not once for the number of parts and again for each part."""
+    df = spark.createDataFrame([(1, "one two", "three")], "pair_id long, normal string, simple string")
+    made = sources.training_tokens(df, lambda text: F.split(text, " "), "<pad>", 8)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert [r.part for r in made.collect()] == list(range(len(made.collect())))

@@ -6,16 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clearlines import fixed
-from clearlines.functions.text import NOT_WS, sentence_count, word_count
+from clearlines.functions.text import NOT_WS, not_ws_or, sentence_count, word_count
 
 def syllable_count(text: Column) -> Column:
-    """Vowel groups, and one for each word that has none.
-
-    A match from the first vowel of a word to its end counts the words that have one.
-    """
-    lower = F.lower(text)
-    with_vowel = F.regexp_count(lower, F.lit(f"{fixed.VOWELS[:-1]}{NOT_WS}*"))
-    return F.regexp_count(lower, F.lit(fixed.VOWELS)) + (word_count(text) - with_vowel)
+    """Vowel groups, and one for each word that has none, found in one pass."""
+    lone = f"(?<!{NOT_WS}){not_ws_or(fixed.VOWELS[1:-2])}++(?!{NOT_WS})"
+    return F.regexp_count(F.lower(text), F.lit(f"{fixed.VOWELS}|{lone}"))
 
 
 def text_counts(text: Column) -> Column:

@@ -441,3 +441,12 @@ def test_training_texts_are_cut_into_tokens_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
     assert [r.part for r in made.collect()] == list(range(len(made.collect())))
+
+
+def test_texts_are_folded_once_for_all_keys(spark):
+    """The search for keys folds a sentence once, also inside an array; the result is that of the patterns alone."""
+    df = spark.createDataFrame([("A rapid \u0130 manner. OF ALL Rapid things.",), (None,), ("",)], "text string")
+    made = simplify_by_rule(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert [r.simplified for r in made.collect()] == ["A fast \u0130 way. OF ALL fast things.", None, ""]

@@ -153,3 +153,15 @@ def test_decoders(spark):
 
 def test_awkward_texts_are_awkward():
     assert any(not t.strip() for t in plain.AWKWARD)
+
+
+def test_texts_are_read_once_for_syllables(spark):
+    """One pass over a text, whatever its words hold: vowels, none, or signs alone."""
+    rows = ["", "  ", "rhythm", "pst", "Pst! brrr -- 12", "queue au y\u2028xyz\u00a0tsk", "\u00c9t\u00e9 \u0130stanbul", "a", "strength's b", None]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").select("text", readability.syllable_count(F.col("text")).alias("n"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+    def plainly(text):
+        return sum(max(1, len(re.findall("[aeiouy]+", word.lower()))) for word in text.split())
+
+    assert [(r.text, r.n) for r in df.collect()] == [(t, None if t is None else plainly(t)) for t in rows]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clearlines import fixed
 from clearlines.functions.readability import fkgl, fre, text_counts
 from clearlines.functions.sari import with_sari
-from clearlines.functions.similarity import is_copy
+from clearlines.functions.similarity import is_copy, with_reaches
 from clearlines.functions.rewrite import strip_the as without_the
 from clearlines.functions.text import empty_fallback, word_count
 
@@ -37,7 +37,7 @@ def with_copy(df: DataFrame, source: str = "normal", prediction: str = "predicte
     def text(name: str) -> Column:
         return F.lower(F.col(name)) if lower else F.col(name)
 
-    return df.withColumn(into, is_copy(text(source), text(prediction), fixed.COPY_RATIO, skip_frequent))
+    return with_reaches(df, text(source), text(prediction), fixed.COPY_RATIO, into, above=True, skip_frequent=skip_frequent)
 
 
 def with_scores(df: DataFrame, source: str = "normal", prediction: str = "predicted", reference: str = "simple",

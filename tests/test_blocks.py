@@ -84,3 +84,17 @@ def test_one_stretch_of_foreign_characters_needs_no_search(monkeypatch):
     sentence = "The quick brown fox jumps over the lazy dog."
     assert blocks.matched(sentence, sentence[:20] + "␀" * 5 + sentence[20:]) == len(sentence)
     assert blocks.block_ratio_reaches(sentence.replace("q", "␀"), sentence, 0.97)
+
+
+def test_short_windows_are_searched_by_pieces(monkeypatch):
+    """Longest blocks and their ties as ``difflib`` finds them, without its loops over all pairs of characters."""
+    made = list(pairs(3000, 60, 12))
+    blocks_wanted = [SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)) for a, b in made]
+    assert [blocks.longest_block(a, b) for a, b in made] == [block if block.size else (0, 0, 0) for block in blocks_wanted]
+    wanted = [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in made]
+    monkeypatch.setattr(blocks, "SequenceMatcher", None)
+    monkeypatch.setattr(blocks, "SuffixAutomaton", None)
+    assert [block_ratio(a, b) for a, b in made] == wanted
+    for threshold in (0.0, 0.3, 0.92, 1.0, 1.5):
+        assert [block_ratio_reaches(a, b, threshold) for a, b in made] == [ratio >= threshold for ratio in wanted]
+        assert [block_ratio_reaches(a, b, threshold, above=True) for a, b in made] == [ratio > threshold for ratio in wanted]

@@ -103,3 +103,29 @@ def test_a_source_is_read_once_for_all_its_candidates(spark, folder):
     alone = with_rules(data.candidates(spark, folder), "normal", "candidate", LOOSE)
     rows = lambda df: sorted(map(repr, df.select("doc_id", "pos", "kind", "rule").collect()))
     assert rows(made) == rows(alone)
+
+
+def test_texts_are_compared_once_and_stay_behind(spark):
+    """One comparison a row, for rows that pass the rules; only keys and what Python is asked pass the exchange with it."""
+    rows = [(1, "The old harbour was busy.", None), (2, None, "The harbour."), (3, " The OLD harbour.", "the old harbour.\u2003"),
+            (4, "The old harbour was busy.", "The harbour was busy 3."), (5, "The old harbour was busy at noon.", "The old harbor was busy at noon."),
+            (6, "the old harbour was busy.", "the old harbour was busy today"), (7, "It is so.", " ")]
+    df = spark.createDataFrame(rows, "id int, s string, c string")
+    judged = with_verdict(df, "s", "c", STRICT)
+    assert {r.id: r.passed for r in judged.collect()} == {
+        r[0]: None not in r[1:] and plain.reason(r[1], r[2], STRICT) == "ok" for r in rows}
+    for made in (judged.select("id", "passed"), with_reason(df, "s", "c", STRICT).select("id", "reason")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Contains(") == 2  # each text in the other
+        given = plan.split("ArrowEvalPython")[1].split("\n")[1]
+        assert "_cheap" in given and "lower" not in given and " s#" not in given and " c#" not in given
+
+
+def test_facts_that_no_rule_asks_are_not_looked_for(spark):
+    from clearlines.operators.gate import with_facts
+
+    rows = [("Some plain text 5.", "some plain TEXT 5. "), ("Some plain text 5.", "Plain text 7 and more."), ("It is 5.", "It holds nothing."),
+            ("Some plain text 5, some.", "About plain words 5 5 words."), ("Some plain text.", "")]
+    facts = [tuple(r[0]) for r in with_facts(spark.createDataFrame(rows, "s string, c string"), "s", "c", STRICT, "f").select("f").collect()]
+    # same, terms, missing, added, numbers
+    assert facts == [(True, 2, None, None, None), (False, 2, None, None, 1), (False, 0, None, None, 0), (False, 2, 1, 1, 0), (False, 2, 2, 0, 0)]

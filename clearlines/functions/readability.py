@@ -15,9 +15,11 @@ def syllable_count(text: Column) -> Column:
 
 
 def text_counts(text: Column) -> Column:
-    """Struct of words, sentences and syllables, words and sentences at least 1."""
+    """Struct of words, sentences and syllables, words and sentences at least 1, and ``found``: words that may be 0."""
+    found = word_count(text)
     return F.struct(
-        F.greatest(word_count(text), F.lit(1)).cast("double").alias("words"),
+        found.cast("double").alias("found"),
+        F.greatest(found, F.lit(1)).cast("double").alias("words"),
         F.greatest(sentence_count(text), F.lit(1)).cast("double").alias("sentences"),
         syllable_count(text).cast("double").alias("syllables"),
     )

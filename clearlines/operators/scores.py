@@ -41,39 +41,42 @@ def with_copy(df: DataFrame, source: str = "normal", prediction: str = "predicte
 
 
 def with_scores(df: DataFrame, source: str = "normal", prediction: str = "predicted", reference: str = "simple",
-                tokenizer: str = "13a", skip_frequent: bool = False, tokens: tuple[str, str, str] | None = None) -> DataFrame:
-    """Add every per-pair score."""
-    df = with_copy(df, source, prediction, skip_frequent=skip_frequent)
-    df = df.withColumns({"_source": text_counts(F.col(source)), "_predicted": text_counts(F.col(prediction))})
+                tokenizer: str = "13a", skip_frequent: bool = False, tokens: tuple[str, str, str] | None = None,
+                counts: tuple[str, str] | None = None) -> DataFrame:
+    """Add every per-pair score. ``counts`` names columns of :func:`text_counts` of source and prediction."""
+    of = [F.col(name) for name in counts] if counts else [text_counts(F.col(source)), text_counts(F.col(prediction))]
+    df = df.withColumns({"_source": of[0], "_predicted": of[1]})
     df = df.withColumns({
-        "length_ratio": length_ratio(F.col(source), F.col(prediction)),
+        "length_ratio": F.col("_predicted")["found"] / F.col("_source")["words"],
         "source_fkgl": fkgl(F.col("_source")), "predicted_fkgl": fkgl(F.col("_predicted")),
         "source_fre": fre(F.col("_source")), "predicted_fre": fre(F.col("_predicted")),
-    }).drop("_source", "_predicted")
+    }).drop("_source", "_predicted", *(counts or ()))
+    df = with_copy(df, source, prediction, skip_frequent=skip_frequent)
     return with_sari(df, source, prediction, reference, "sari", tokenizer, tokens=tokens)
 
 
 def score_systems(df: DataFrame, system: str = "system", source: str = "normal", prediction: str = "predicted",
                   reference: str = "simple", tokenizer: str = "13a", skip_frequent: bool = False,
                   empty_to_source: bool = False, strip_the: bool = False, f1: DataFrame | None = None,
-                  tokens: tuple[str, str, str] | None = None) -> DataFrame:
+                  tokens: tuple[str, str, str] | None = None, counts: tuple[str, str] | None = None) -> DataFrame:
     """One row per system with all scores; pairs with a missing text are left out and counted.
 
     ``empty_to_source`` takes the source for a blank prediction. ``strip_the`` then drops each
     "the " from predictions that are nearly their source. ``f1`` is a table (system, f1_reference,
     f1_source), whose columns join the scores; systems without vectors have NULLs. ``tokens`` names
-    columns of ready SARI tokens of source, prediction and reference.
+    columns of ready SARI tokens of source, prediction and reference, ``counts`` of ready counts of source and prediction.
     """
-    if tokens and (empty_to_source or strip_the):
+    if (tokens or counts) and (empty_to_source or strip_the):
         raise ValueError("predictions that change have no ready tokens")
     if empty_to_source:
         df = df.withColumn(prediction, empty_fallback(F.col(prediction), F.col(source)))
     if strip_the:
         near = is_copy(F.lower(F.col(source)), F.lower(F.col(prediction)), fixed.COPY_RATIO, skip_frequent)
         df = df.withColumn(prediction, without_the(F.col(prediction), F.coalesce(near, F.lit(False))))
-    whole = F.col(source).isNotNull() & F.col(prediction).isNotNull() & F.col(reference).isNotNull()
-    scored = with_scores(df.select(system, source, prediction, reference, *(tokens or ())), source, prediction, reference,
-                         tokenizer, skip_frequent, tokens)
+    df = df.withColumn("_complete", F.col(source).isNotNull() & F.col(prediction).isNotNull() & F.col(reference).isNotNull())
+    whole = F.col("_complete")
+    scored = with_scores(df.select(system, source, prediction, reference, "_complete", *(tokens or ()), *(counts or ())), source, prediction,
+                         reference, tokenizer, skip_frequent, tokens, counts)
 
     def mean(value: Column) -> Column:
         return F.avg(F.when(whole, value))

@@ -19,7 +19,7 @@ KEYS = ["doc_id", "pos", "kind"]
 
 def _candidates(spark, folder):
     """Candidates with the facts that the gates compare; a sentence's own are found once for all its candidates."""
-    known = candidates(spark, folder, known=source_facts(F.col("normal"), STRICT))
+    known = candidates(spark, folder, by_key=False, known=source_facts(F.col("normal"), STRICT))
     return with_facts(known, "normal", "candidate", STRICT, "facts", "known").drop("known")
 
 

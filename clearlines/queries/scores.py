@@ -9,7 +9,7 @@ from clearlines.operators import scores
 from clearlines.operators.embedding_f1 import embedding_f1, mean_f1, vector_blocks
 from clearlines.plans.staging import Staging
 from clearlines.queries import sql
-from clearlines.queries.data import TOKENS, near_pairs, pairs, systems, systems_with_tokens, table
+from clearlines.queries.data import COUNTS, TOKENS, near_pairs, pairs, systems, systems_with_tokens, table
 from clearlines.queries.registry import query
 from clearlines.sources import pairs as sources
 
@@ -125,7 +125,7 @@ def token_blocks(spark, folder, block):
 
 def _report(spark, folder):
     meaning = mean_f1(token_blocks(spark, folder, 4), baseline=0.1)
-    return scores.score_systems(systems_with_tokens(spark, folder), f1=meaning, tokens=TOKENS)
+    return scores.score_systems(systems_with_tokens(spark, folder), f1=meaning, tokens=TOKENS, counts=COUNTS)
 
 
 @query("metric_report", _REPORT_SQL + " SELECT system, metric, value FROM metrics")

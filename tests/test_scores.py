@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import plain
 import pytest
@@ -117,3 +118,49 @@ def test_sari_counts_a_batch_at_once(spark):
             assert tuple(row.sari) == pytest.approx(plain.sari(row.s, row.c, row.refs)), row
         else:
             assert tuple(row.sari) == (1.0, 1.0, 1.0, 1.0)
+
+
+def test_ready_counts_and_tokens_change_no_score(spark, folder):
+    from clearlines.queries.data import COUNTS, TOKENS, systems_with_tokens
+
+    made = systems_with_tokens(spark, folder).where("length(normal) < 300")
+    plainly, ready = scores.score_systems(made), scores.score_systems(made, tokens=TOKENS, counts=COUNTS)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(plainly) == rows(ready)
+    # one exchange with Python: rows wait there, and where answers lag behind they wait on disk
+    assert ready._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert all(kind == "string" for name, kind in made.dtypes if name in TOKENS)
+    # the texts themselves are not among what waits
+    plan = ready.select("sari")._jdf.queryExecution().optimizedPlan().toString()
+    given = plan.split("ArrowEvalPython")[1].split("\n")[1].split("Project")[1]
+    assert not re.search(r"[\[,] ?(normal|simple)#| AS predicted#", given), given
+
+
+def test_texts_are_shuffled_only_where_files_hold_too_few_tasks(spark, folder, tmp_path):
+    """A table of many files is read as it stands, one file or one large file among small ones is spread; the rows are the same."""
+    import os
+
+    from clearlines.queries import all_queries
+    from clearlines.queries.data import documents, table
+
+    docs, seen = table(spark, folder, "documents"), []
+    for name in ("many", "uneven", "one"):
+        path = f"{tmp_path}/{name}"
+        if name == "many":
+            docs.repartition(16).write.parquet(f"{path}/documents.parquet")
+        else:
+            docs.coalesce(1).write.parquet(f"{path}/documents.parquet")
+        if name == "uneven":
+            docs.limit(0).repartition(15, "doc_id").write.mode("append").parquet(f"{path}/documents.parquet")
+            docs.limit(16).repartitionByRange(16, "doc_id").write.mode("append").parquet(f"{path}/documents.parquet")
+        os.symlink(f"{folder}/embeddings.parquet", f"{path}/embeddings.parquet")
+        usual = spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+        try:
+            plans = [documents(spark, path, by_key)._jdf.queryExecution().optimizedPlan().toString() for by_key in (False, True)]
+            plans.append(all_queries()["metric_report"](spark, path)._jdf.queryExecution().optimizedPlan().toString())
+            seen.append(["Repartition" in plan for plan in plans])
+            assert documents(spark, path, False).count() == spark.read.parquet(f"{path}/documents.parquet").count()
+        finally:
+            spark.conf.set("spark.sql.files.openCostInBytes", usual)
+    assert seen == [[False, True, False], [True, True, True], [True, True, True]]

@@ -165,3 +165,11 @@ def test_texts_are_read_once_for_syllables(spark):
         return sum(max(1, len(re.findall("[aeiouy]+", word.lower()))) for word in text.split())
 
     assert [(r.text, r.n) for r in df.collect()] == [(t, None if t is None else plainly(t)) for t in rows]
+
+
+def test_sentences_are_counted_as_they_are_cut(spark, texts):
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    own = blanks + [f"{b}A.{b}B!{b}{b}C? d{b}" for b in blanks] + ["", "a", ". A", "A.. B", "A. .B", "Is it? \n\n Yes.A", "​", "\x00"]
+    df = spark.createDataFrame([(t,) for t in texts + own], "t string")
+    for t, cut, counted in df.select("t", F.size(text.split_sentences(F.col("t"))), text.sentence_count(F.col("t"))).collect():
+        assert counted == (None if t is None else cut), repr(t)

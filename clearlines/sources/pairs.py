@@ -32,8 +32,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType = PA
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV that :func:`read_csv` gives back unchanged: all cells quoted, spaces kept."""
-    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    """CSV that :func:`read_csv` gives back unchanged: all cells quoted, spaces kept. Compressed if the path ends in ``.gz``."""
+    packed = "gzip" if path.rstrip("/").endswith(".gz") else "none"
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("compression", packed)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
@@ -66,7 +67,8 @@ def with_positions(df: DataFrame, into: str = "position") -> DataFrame:
     # one row for each part of a file
     before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
-    joined = placed.join(parts.select("_file", "_from", base.alias("_base")), ["_file", "_from"])
+    # sent to the rows: no row moves to learn its position
+    joined = placed.join(F.broadcast(parts.select("_file", "_from", base.alias("_base"))), ["_file", "_from"])
     return joined.select(*df.columns, (F.col("_at") + F.col("_base")).alias(into))
 
 

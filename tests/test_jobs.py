@@ -450,3 +450,48 @@ def test_texts_are_folded_once_for_all_keys(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
     assert [r.simplified for r in made.collect()] == ["A fast \u0130 way. OF ALL fast things.", None, ""]
+
+
+def test_rows_stay_while_they_learn_their_positions(spark, tmp_path):
+    """Two folders are put side by side by one shuffle of each; compressed ones give the same rows."""
+    rows = spark.createDataFrame([(f"n{i}\n,\"", f" s{i}" if i % 3 else None, f"p{i} ") for i in range(40)], "Normal string, Simple string, Predicted string")
+    for end in ("", ".gz"):
+        pairs, told = f"{tmp_path}/pairs{end}", f"{tmp_path}/told{end}"
+        sources.write_csv(rows.coalesce(1).select("Normal", "Simple"), pairs)
+        sources.write_csv(rows.coalesce(1).select("Predicted"), told)
+        assert all(name.endswith(f".csv{end}") for name in os.listdir(pairs) if name.startswith("part-"))
+        read = sources.read_aligned(spark, pairs, told)
+        assert sorted((r.pair_id, r.normal, r.simple, r.predicted) for r in read.collect()) == [(i, *r) for i, r in enumerate(rows.collect())]
+        plan = read._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        # the only sort-merge join is that of the two sides; the counts of parts are sent to the rows
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2
+
+
+def test_repeated_keys_stay_side_by_side(spark, tmp_path):
+    """Sentences of documents that share a key have one order in both folders; no shuffle file of the writes is left."""
+    docs = [(i // 3, "en", "a", " ".join(f"{w} {i} of {p}, and more {extraordinary}." for p, w in enumerate(("One", "Two", "Two")))) for i, extraordinary
+            in enumerate(["extraordinarily", "x", ""] * 8)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(name, "false")
+    found = queries_jobs.aligned_files(spark, str(tmp_path)).collect()
+    assert spark.conf.get(name, "false") == usual
+    assert len(found) == 72 and sorted(r.pair_id for r in found) == list(range(72))
+    assert all(r.predicted == r.normal.split(",")[0] for r in found)
+    assert all(int(a.normal.split()[1]) // 3 <= int(b.normal.split()[1]) // 3 for a, b in zip(*[sorted(found, key=lambda r: r.pair_id)[k:] for k in (0, 1)]))
+
+
+def test_shuffles_of_written_stages_are_removed(spark, tmp_path):
+    from clearlines.plans.staging import shuffles_removed
+
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    before = left()
+    with shuffles_removed(spark):
+        spark.range(1000).repartitionByRange(3, "id").write.parquet(f"{tmp_path}/a")
+    assert not left() - before
+    with pytest.raises(ValueError), shuffles_removed(spark):
+        raise ValueError
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
